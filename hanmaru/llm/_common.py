@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +20,6 @@ def read(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
-
-    Only where none is set, as in tests, a folder of this machine is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "hanmaru-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts of about limit characters; a longer text gets a range of its own."""
     start = total = 0
@@ -84,3 +72,23 @@ def bare(text: str) -> str:
     """Lower case, reduced to letters and numbers (categories L and N)."""
     a = codes(text.lower())
     return a[letters_and_numbers()[a]].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is set."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return named or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-checkpoints")
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/hanmaru-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

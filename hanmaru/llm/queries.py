@@ -4,12 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hanmaru.llm import bpe, leakage
+from hanmaru.llm import bpe, leakage, near_dup
 from hanmaru.llm._common import read
 
 
+#: Sentences have about a hundred 3-character sequences, bodies three times as many.
+VERSIONS = {
+    "ner_examples": near_dup.Settings(threshold=0.5, thin=2),
+    "weak_examples": near_dup.Settings(threshold=0.5, thin=6),
+}
+OVERLAPS = near_dup.Settings(threshold=0.6, thin=1, gram=10, share=0.5, shared=2, rounds=1)
+
+
+def versions(spark: SparkSession, root: str, name: str) -> near_dup.Join:
+    return near_dup.similarity_join(read(spark, root, name, "id", "sentence"), "id", near_dup.whitespace_normal(F.col("sentence")), VERSIONS[name])
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return near_dup.union_all([near_dup.row_pairs(versions(spark, root, t)).select(F.lit(t).alias("tbl"), "id_a", "id_b") for t in VERSIONS])
+
+
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    """One row per row of either table: the class of its versions and its number of links."""
+    return near_dup.union_all([near_dup.classes(versions(spark, root, t)).select(F.lit(t).alias("tbl"), "id", "class_id", "n_links") for t in VERSIONS])
+
+
+def split_role(hint: str) -> Column:
+    """1 for training, 2 for evaluation, null for anything else."""
+    name = F.lower(F.trim(F.col(hint)))
+    return F.when(name.isin("train", "training"), 1).when(name.isin("val", "valid", "validation", "dev", "test"), 2)
+
+
+def overlaps(spark: SparkSession, root: str) -> DataFrame:
+    rows = read(spark, root, "ner_examples", "id", "sentence", "split_hint")
+    joined = near_dup.similarity_join(rows, "id", near_dup.letters_and_numbers(F.col("sentence")), OVERLAPS, split_role("split_hint"))
+    return near_dup.row_pairs(joined, cross=True)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return overlaps(spark, root).select("id_a", "id_b")
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    """Overlaps by evaluation split and source: evaluation rows that have one, exact ones among them, and pairs."""
+    rows = read(spark, root, "ner_examples", "id", "split_hint", "source")
+    split = F.lower(F.trim("split_hint"))
+    split = F.when(split.isin("val", "valid", "validation", "dev"), "val").otherwise("test")
+    held_out = rows.where(split_role("split_hint") == 2).select(F.col("id").alias("eval_id"), split.alias("split"), "source")
+    pairs = overlaps(spark, root)
+    ends = pairs.select(F.col("id_a").alias("eval_id"), "similarity").unionAll(pairs.select(F.col("id_b").alias("eval_id"), "similarity"))
+    best = ends.groupBy("eval_id").agg(F.max("similarity").alias("best"), F.count("*").alias("n"))
+    return (
+        held_out.join(best, "eval_id", "left").groupBy("split", "source")
+        .agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.count_if(F.col("best") == 1).alias("n_exact"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    )
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(read(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -29,6 +81,10 @@ def p7_clean(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p6_ids": p6_ids,
     "p7_longest": p7_longest,
     "p7_found": p7_found,
