@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hanmaru.llm import bpe, leakage, near_dup
+from hanmaru.llm import bpe, encoding, leakage, near_dup
 from hanmaru.llm._common import read
 
 
 #: Sentences have about a hundred 3-character sequences, bodies three times as many.
 VERSIONS = {
-    "ner_examples": near_dup.Settings(threshold=0.5, thin=2),
-    "weak_examples": near_dup.Settings(threshold=0.5, thin=6),
+    "ner_examples": near_dup.Settings(threshold=0.5, thin=3),
+    "weak_examples": near_dup.Settings(threshold=0.5, thin=9),
 }
-OVERLAPS = near_dup.Settings(threshold=0.6, thin=1, gram=10, share=0.5, shared=2, rounds=1)
+OVERLAPS = near_dup.Settings(threshold=0.6, gram=12, thin=2, share=0.7, shared=2, rounds=1)
 
 
 def versions(spark: SparkSession, root: str, name: str) -> near_dup.Join:
@@ -62,6 +62,21 @@ def p2_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p3_restored(spark: SparkSession, root: str) -> DataFrame:
+    """Every damaged row with its restored text; statistics come from all undamaged sentences."""
+    sentences = read(spark, root, "ner_examples", "id", "sentence")
+    surnames = read(spark, root, "korean_surnames", "row_id", "surname")
+    model = encoding.corpus_model(sentences.select("sentence").unionAll(surnames.select("surname")), "sentence")
+    return near_dup.union_all([
+        encoding.restored(df, key, text, model).withColumn("tbl", F.lit(tbl))
+        for tbl, df, key, text in (("ner_examples", sentences, "id", "sentence"), ("korean_surnames", surnames, "row_id", "surname"))
+    ])
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return p3_restored(spark, root).select("tbl", "row_id")
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(read(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -85,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p6_ids": p6_ids,
     "p7_longest": p7_longest,
     "p7_found": p7_found,
