@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hanmaru.llm import bpe, encoding, leakage, near_dup
+from hanmaru.llm import bpe, encoding, leakage, lookalike, near_dup, truncation
 from hanmaru.llm._common import read
 
 
@@ -77,6 +77,18 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_restored(spark, root).select("tbl", "row_id")
 
 
+LOOKS = (("analyze_l0_deep", "mutated"), ("hard_cases_v0", "text"))
+
+
+def p4_canonical(spark: SparkSession, root: str) -> DataFrame:
+    """Every text of both tables in its consistent form."""
+    return near_dup.union_all([lookalike.canonical(read(spark, root, t, "id", c), "id", c).withColumn("tbl", F.lit(t)) for t, c in LOOKS])
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return near_dup.union_all([lookalike.alike(read(spark, root, t, "id", c), "id", c).select(F.lit(t).alias("tbl"), "key_a", "key_b") for t, c in LOOKS])
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(read(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -95,6 +107,19 @@ def p7_clean(spark: SparkSession, root: str) -> DataFrame:
     return leakage.without_leaks(read(spark, root, "documents", "doc_id", "source"), "doc_id", p7_longest(spark, root))
 
 
+def p8_scored(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.scored(read(spark, root, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_scored(spark, root).where("score >= 0.5").select("doc_id")
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.report(p8_scored(spark, root))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -102,9 +127,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_canonical": p4_canonical,
     "p6_ids": p6_ids,
     "p7_longest": p7_longest,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p8_found": p8_found,
+    "p8_scored": p8_scored,
+    "p8_report": p8_report,
 }
 ORACLES: dict[str, str] = {}
