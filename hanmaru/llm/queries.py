@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hanmaru.llm import bpe, encoding, leakage, lookalike, near_dup, truncation
+from hanmaru.llm import bpe, encoding, leakage, lookalike, near_dup, pii, truncation
 from hanmaru.llm._common import read
 
 
@@ -89,6 +89,28 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return near_dup.union_all([lookalike.alike(read(spark, root, t, "id", c), "id", c).select(F.lit(t).alias("tbl"), "key_a", "key_b") for t, c in LOOKS])
 
 
+TEXTS = (("ner_examples", "sentence"), ("weak_examples", "sentence"), ("hard_cases_v0", "text"))
+
+
+def p5_spotted(spark: SparkSession, root: str) -> DataFrame:
+    cases = read(spark, root, "hard_cases_v0", "id", "text", "labels")
+    field = pii.trained(cases)
+    frames = []
+    for tbl, text in TEXTS:
+        df = cases.where("labels is null") if tbl == "hard_cases_v0" else read(spark, root, tbl, "id", text)
+        frames.append(pii.found(df, "id", text, field).withColumn("tbl", F.lit(tbl)))
+    return near_dup.union_all(frames)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return p5_spotted(spark, root).select("tbl", "row_key", F.explode("spans").alias("s")).select("tbl", "row_key", "s.pii_type", "s.pos_from", "s.pos_to").distinct()
+
+
+def p5_masked(spark: SparkSession, root: str) -> DataFrame:
+    """The texts in which something was found, with typed placeholders in its stead."""
+    return pii.masked(p5_spotted(spark, root), "tbl")
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_column(read(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -129,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p6_ids": p6_ids,
     "p7_longest": p7_longest,
     "p7_found": p7_found,
