@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one NumPy step works on; bounds a worker's memory whatever the batch holds.
 CHUNK_CHARS = 1_000_000
+CHUNK_TEXTS = 1 << 14
 
 
 def read(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
@@ -21,10 +22,10 @@ def read(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
 
 
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b) of texts of about limit characters; a longer text gets a range of its own."""
+    """Ranges [a, b) of at most CHUNK_TEXTS texts of about limit characters; a longer text gets a range of its own."""
     start = total = 0
     for k, text in enumerate(texts):
-        if total and total + len(text) > limit:
+        if k > start and (total + len(text) > limit or k - start >= CHUNK_TEXTS):
             yield start, k
             start, total = k, 0
         total += len(text)
@@ -37,6 +38,12 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Distinct values in order. (np.unique hashes integers, which takes many times as long.)"""
+    a = np.sort(a)
+    return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     h = h ^ (h >> np.uint64(30))
