@@ -15,7 +15,7 @@ VERSIONS = {
     "ner_examples": near_dup.Settings(threshold=0.5, thin=3),
     "weak_examples": near_dup.Settings(threshold=0.5, thin=9),
 }
-OVERLAPS = near_dup.Settings(threshold=0.6, gram=12, thin=2, share=0.7, shared=2, rounds=1)
+OVERLAPS = near_dup.Settings(threshold=0.6, gram=12, thin=2, share=0.7, shared=3, rounds=1)
 
 
 def versions(spark: SparkSession, root: str, name: str) -> near_dup.Join:
