@@ -23,7 +23,7 @@ def digits(value: Column) -> Column:
 
 def digit(value: Column, k: int) -> Column:
     """The k-th digit (from 0) as a number."""
-    return F.substring(value, k + 1, 1).cast("int")
+    return F.substring(value, k + 1, 1).try_cast("int")
 
 
 def weighted(value: Column, weights: tuple[int, ...]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from hanmaru.functions import validate as V
 from hanmaru.functions.lists import COMPANIES, GIVEN_NAMES, HONORIFICS, HOSPITALS, LABELS, PARTICLES, RELATIONS, ROADS, SCHOOLS, SCORES, SURNAMES, UNITS
-from hanmaru.functions.text import literal, pieces
+from hanmaru.functions.text import let, literal, pieces
 
 #: start, end: half open, in code points of the stored text.
 SPAN = "array<struct<start:int,end:int,text:string,entity:string,score:double,detector:string>>"
@@ -125,6 +125,11 @@ def outside(found: Column, taken: Column) -> Column:
     return F.filter(found, lambda s: ~F.exists(taken, lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"])))
 
 
+def joined(taken: Column, more: Column) -> Column:
+    """taken, and what of more lies in none of it."""
+    return let(taken, lambda t: F.concat(t, outside(more, t)))
+
+
 AFTER = f"(?=(?:{either([*PARTICLES, *HONORIFICS])})*(?:[^가-힣]|$))"
 
 
@@ -141,7 +146,7 @@ def addresses(text: Column) -> Column:
         spans(text, f"(?<![가-힣]){numbered}", "dictionary.address.road", "ADDRESS_FULL", SCORES["road"]),
         spans(text, rf"(?<!\d)(?:\d{{1,3}}\s*동\s+)?\d{{1,4}}\s*호(?!\d)(?=(?:{either(PARTICLES)})*(?:[^가-힣]|$))", "dictionary.address.room", "ADDRESS_UNIT", SCORES["apartment"]),
     )
-    return F.concat(chains, outside(others, chains))
+    return joined(chains, others)
 
 
 def affiliations(text: Column) -> Column:
@@ -150,7 +155,7 @@ def affiliations(text: Column) -> Column:
     seen = F.array().cast(SPAN)
     for endings, entity, score in parts:
         found = spans(text, f"[가-힣A-Za-z0-9]+{either(endings)}(?=(?:{either(PARTICLES)})*(?:[^가-힣A-Za-z0-9]|$))", f"dictionary.{score}", entity, SCORES[score])
-        seen = F.concat(seen, outside(found, seen))
+        seen = joined(seen, found)
     return seen
 
 
@@ -163,7 +168,7 @@ def names(text: Column) -> Column:
     given = either(GIVEN_NAMES)
     full = spans(text, f"(?<![가-힣])[{SURNAMES}]{given}{AFTER}", "dictionary.full_name", "PERSON_NAME", SCORES["full"])
     bare = spans(text, f"(?<![가-힣]){either(n for n in GIVEN_NAMES if len(n) > 1)}{AFTER}", "dictionary.given_name", "PERSON_NAME", SCORES["given"])
-    return F.concat(full, outside(bare, full))
+    return joined(full, bare)
 
 
 STRUCTURED = {

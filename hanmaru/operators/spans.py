@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hanmaru.functions.lists import BANKS, COMPOSITES, FAMILY, HONORIFICS, LABELS, NEGATIVE, PARTICLES, PRIORITY, RISK, TITLES
-from hanmaru.functions.text import hmac_sha256, sentences
+from hanmaru.functions.text import hmac_sha256, let, sentences
 from hanmaru.operators.detect import candidates, compare, either
 
 FULL = "array<struct<start:int,end:int,text:string,entity:string,score:double,detector:string,suffix:string,sentence:int,composite:boolean,risk:string,action:string>>"
@@ -26,21 +26,22 @@ def suffix_after(text: Column, end: Column, entity: Column) -> Column:
 
 
 def with_sentence(text: Column, found: Column) -> Column:
-    """Adds suffix and sentence: the number of the first sentence that holds the start, else of the last."""
-    parts = sentences(text)
+    """Adds suffix and sentence: the number of the sentence in which it starts."""
 
-    def number(start: Column) -> Column:
-        holding = F.filter(F.transform(parts, lambda p, k: F.when((p["start"] <= start) & (start < p["end"]), k)), lambda k: k.isNotNull())
-        return F.coalesce(F.try_element_at(holding, F.lit(1)), F.size(parts) - 1)
+    def number(parts: Column, start: Column) -> Column:
+        before = F.size(F.filter(parts, lambda p: p["start"] <= start))
+        return F.greatest(before - 1, F.lit(0))
 
-    return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "text", "entity", "score", "detector")), suffix_after(text, s["end"], s["entity"]).alias("suffix"), number(s["start"]).alias("sentence")))
+    def add(parts: Column) -> Column:
+        return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "text", "entity", "score", "detector")), suffix_after(text, s["end"], s["entity"]).alias("suffix"), number(parts, s["start"]).alias("sentence")))
+
+    return let(sentences(text), add)
 
 
 def scored(text: Column, found: Column) -> Column:
     """Boosts and penalties of the context, in the order of the table, clamped to 0..1; composites of a sentence."""
-    parts = sentences(text)
 
-    def one(s: Column) -> Column:
+    def one(parts: Column, found: Column, s: Column) -> Column:
         sentence = F.coalesce(F.try_element_at(F.transform(parts, lambda p: p["text"]), s["sentence"] + 1), F.lit(""))
         left = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
         right = F.substring(text, s["end"] + 1, F.lit(8))
@@ -66,13 +67,13 @@ def scored(text: Column, found: Column) -> Column:
         risk = mapped(s["entity"], RISK, F.lit("P3"))
         return F.struct(*(s[c].alias(c) for c in ("start", "end", "text", "entity")), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6).alias("score"), s["detector"].alias("detector"), s["suffix"].alias("suffix"), s["sentence"].alias("sentence"), composite.alias("composite"), F.when(composite & risk.isin("P2", "P3"), "P1").otherwise(risk).alias("risk"))
 
-    return F.transform(found, one)
+    return let(F.struct(sentences(text).alias("parts"), found.alias("found")), lambda x: F.transform(x["found"], lambda s: one(x["parts"], x["found"], s)))
 
 
 def suppressed(found: Column) -> Column:
     """Names strictly inside a longer organisation, school or hospital go."""
-    outer = F.filter(found, lambda s: s["entity"].isin("ORGANIZATION", "SCHOOL", "HOSPITAL"))
-    return F.filter(found, lambda s: (s["entity"] != "PERSON_NAME") | ~F.exists(outer, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    inside = lambda o, s: o["entity"].isin("ORGANIZATION", "SCHOOL", "HOSPITAL") & (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    return let(found, lambda all_: F.filter(all_, lambda s: (s["entity"] != "PERSON_NAME") | ~F.exists(all_, lambda o: inside(o, s))))
 
 
 def resolved(found: Column) -> Column:
@@ -80,7 +81,8 @@ def resolved(found: Column) -> Column:
     rank = {e: f"{k:02d}" for k, e in enumerate(PRIORITY)}
     key = lambda s: mapped(s["entity"], rank, F.lit("99"))
     ordered = F.array_sort(found, lambda a, b: compare([(key(a), key(b), 1), (a["end"] - a["start"], b["end"] - b["start"], -1), (a["score"], b["score"], -1), (a["start"], b["start"], 1)]))
-    kept = F.aggregate(ordered, F.slice(ordered, F.lit(1), F.lit(0)), lambda acc, s: F.when(F.exists(acc, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(s))))
+    met = lambda acc, s: F.exists(acc, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    kept = let(ordered, lambda o: F.aggregate(o, F.slice(o, F.lit(1), F.lit(0)), lambda acc, s: F.when(met(acc, s), acc).otherwise(F.concat(acc, F.array(s)))))
     return F.array_sort(kept, lambda a, b: compare([(a["start"], b["start"], 1)]))
 
 
@@ -102,17 +104,18 @@ def masked(text: Column, found: Column) -> Column:
     """Spliced text; null if a span blocks. Equal values of a family share a number, in order of appearance."""
     family = lambda s: mapped(s["entity"], FAMILY, s["entity"])
     acting = F.filter(found, lambda s: s["action"] != "PASS")
-    distinct = F.array_distinct(F.transform(acting, lambda s: F.struct(family(s).alias("f"), s["text"].alias("t"))))
+    named = lambda s: F.struct(family(s).alias("f"), s["text"].alias("t"))
 
-    def token(s: Column) -> Column:
-        upto = F.slice(distinct, F.lit(1), F.greatest(F.array_position(distinct, F.struct(family(s).alias("f"), s["text"].alias("t"))).cast("int"), F.lit(1)))
+    def token(distinct: Column, s: Column) -> Column:
+        upto = F.slice(distinct, F.lit(1), F.greatest(F.array_position(distinct, named(s)).cast("int"), F.lit(1)))
         return F.concat(F.lit("["), family(s), F.lit("_"), F.size(F.filter(upto, lambda u: u["f"] == family(s))).cast("string"), F.lit("]"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    spliced = F.aggregate(
-        acting, start, lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), token(s)).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    def splice(acting: Column, distinct: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), token(distinct, s)).alias("out"), s["end"].alias("at"))
+        return F.aggregate(acting, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    spliced = let(acting, lambda a: let(F.array_distinct(F.transform(a, named)), lambda d: splice(a, d)))
     return F.when(F.exists(found, lambda s: s["action"] == "BLOCK"), F.lit(None).cast("string")).otherwise(spliced)
 
 
