@@ -138,6 +138,6 @@ def secret(value: Column) -> Column:
 
 def bio_valid(names: Column) -> Column:
     """Every I- label continues a B- or I- label of its type."""
-    before = F.concat(F.array(F.lit("O")), F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))))
-    pairs = F.zip_with(before, names, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    before = lambda k: F.when(k == 0, "O").otherwise(F.get(names, k - 1))
+    pairs = F.transform(names, lambda n, k: F.struct(before(k).alias("a"), n.alias("b")))
     return F.forall(pairs, lambda p: ~p["b"].startswith("I-") | (F.substring(p["a"], 3, 99) == F.substring(p["b"], 3, 99)) & (p["a"] != "O"))

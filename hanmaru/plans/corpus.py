@@ -1,3 +1,305 @@
-"""Queries."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the corpus store, sampling and labels."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from hanmaru.functions.text import content_hash, squash
+from hanmaru.operators import corpus as C
+from hanmaru.plans.normalisation import SQUASH, fixture, sql_fixture
+from hanmaru.sources import sinks
+from hanmaru.sources.readers import composed, inspected
+from hanmaru.sources.tables import table
+from hanmaru.streaming import ingest
+
+LICENCES = ["CC-BY", "CC0"]
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-tables")
+    path = f"{named}/hanmaru-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def examples(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return table(spark, root, "ner_examples", *(columns or ("id", "source", "license", "split_hint", "sentence")))
+
+
+def split_rows(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    rows = examples(spark, root).withColumn("split", C.split_name(F.col("split_hint")))
+    return rows.where("split = 'train'").drop("split"), rows.where("split in ('val', 'test')").drop("split")
+
+
+def first_wins(spark: SparkSession, root: str) -> DataFrame:
+    return C.first_wins(examples(spark, root, "id", "source", "sentence"), content_hash(F.col("sentence")), "id")
+
+
+def insert_counts(spark: SparkSession, root: str) -> DataFrame:
+    rows = examples(spark, root, "id", "source", "sentence", "tokens", "labels", "label_names")
+    return C.insert_counts(rows, content_hash(F.col("sentence")), C.example_valid())
+
+
+def bio_valid(spark: SparkSession, root: str) -> DataFrame:
+    rows = examples(spark, root, "id", "tokens", "labels", "label_names")
+    return rows.select("id", F.coalesce(C.example_valid(), F.lit(False)).alias("ok"))
+
+
+def gazetteer_insert(spark: SparkSession, root: str) -> DataFrame:
+    """Entries trimmed, blanks skipped, one of each type and value: the one with the smallest id."""
+    rows = table(spark, root, "gazetteers", "id", "entity_type", "entry_value").withColumn("value", F.trim("entry_value")).where("value <> '' and entity_type is not null")
+    return rows.groupBy("entity_type", "value").agg(F.min("id").alias("id"))
+
+
+def weak_insert(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "weak_examples", "id", "label_names").where("label_names is not null")
+    tags = F.array_sort(F.array_distinct(F.transform(F.filter("label_names", lambda x: x != "O"), lambda x: F.substring(x, 3, 99))))
+    return rows.select("id", F.array_join(tags, ",").alias("tag_set"), F.size(F.filter("label_names", lambda x: x.startswith("B-"))).alias("n_spans"))
+
+
+def leakage_semi(spark: SparkSession, root: str) -> DataFrame:
+    train, held = split_rows(spark, root)
+    return C.leaked(train, held, "sentence").select("id", "source")
+
+
+def leakage_by_source(spark: SparkSession, root: str) -> DataFrame:
+    return leakage_semi(spark, root).groupBy("source").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+def export(spark: SparkSession, root: str) -> DataFrame:
+    train, held = split_rows(spark, root)
+    return C.exported(train, LICENCES, C.leaked(train, held, "sentence"), "sentence").select("id", "source", "license")
+
+
+def corpus_stats(spark: SparkSession, root: str) -> DataFrame:
+    rows = examples(spark, root, "source", "license", "n_entities")
+    return rows.cube("source", "license").agg(F.count("*").alias("n"), F.sum("n_entities").alias("n_entities"), F.grouping_id().alias("level"))
+
+
+def tag_counts(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "weak_examples", "source", "label_names").select("source", F.explode("label_names").alias("l")).where("l like 'B-%'")
+    return rows.groupBy("source", F.substring("l", 3, 99).alias("tag")).agg(F.count("*").alias("n"))
+
+
+def bio_spans(spark: SparkSession, root: str) -> DataFrame:
+    return C.entities(examples(spark, root, "id", "tokens", "label_names"), "id")
+
+
+def bio_names(spark: SparkSession, root: str) -> DataFrame:
+    """Names read back from gold spans: particles stripped, two to five syllables."""
+    names = bio_spans(spark, root).where("entity = 'NAME'").select(F.regexp_replace("text", "(은|는|이|가|을|를|의|님|씨)$", "").alias("name"))
+    return names.where("name rlike '^[가-힣]{2,5}$'").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def bio_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """Spans of gold labels turned back into labels: equal, but for orphans."""
+    rows = examples(spark, root, "id", "sentence", "tokens", "label_names").where("sentence is not null and label_names is not null and size(tokens) = length(sentence) and size(label_names) = size(tokens)").where(C.bio_valid(F.col("label_names")))
+    spans = C.entities(rows, "id").groupBy("id").agg(F.collect_list(F.struct("start", "end", "entity")).alias("spans"))
+    back = rows.join(spans, "id").select("id", (C.spans_to_bio(F.col("sentence"), F.col("spans")) == F.col("label_names")).alias("same"))
+    return back.groupBy("same").agg(F.count("*").alias("n"))
+
+
+def word_bio(spark: SparkSession, root: str) -> DataFrame:
+    df = spark.createDataFrame([(1, ["김민수", "왔다"], ["B-NAME", "O"]), (2, ["서울", "강남구", "갔다"], ["B-ADDRESS", "I-ADDRESS", "O"]), (3, [], [])], "id int, words array<string>, names array<string>")
+    return df.select("id", F.array_join(C.word_to_char_bio(F.col("words"), F.col("names")), " ").alias("out"))
+
+
+def gazetteer(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "gazetteers", "entity_type", "entry_value").select(F.col("entity_type").alias("entity"), F.col("entry_value").alias("value")).where("entity is not null and value is not null")
+
+
+def weak_labels(spark: SparkSession, root: str) -> DataFrame:
+    found = C.weak_labels(table(spark, root, "weak_examples", "id", "sentence"), "id", "sentence", gazetteer(spark, root))
+    return found.select("id", F.inline("spans"))
+
+
+def dictionary_hits(spark: SparkSession, root: str) -> DataFrame:
+    """Sentences by type of the gazetteer entries in them."""
+    return weak_labels(spark, root).groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_rows"))
+
+
+def run_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """Runs once each (rows are delivered twice), by source: counts, and the state of the last one."""
+    rows = table(spark, root, "collector_runs").dropDuplicates(["run_id"])
+    return rows.groupBy("source").agg(F.count("*").alias("n_runs"), F.sum("n_seen").alias("n_seen"), F.sum("n_inserted").alias("n_inserted"), F.count_if(F.col("finished_at").isNull()).alias("n_open"), F.max_by("status", F.struct("started_at", "run_id")).alias("last_status"))
+
+
+def upsert(spark: SparkSession, root: str) -> DataFrame:
+    """Last row of each source by start time."""
+    rows = table(spark, root, "collector_runs", "run_id", "source", "started_at", "status").dropDuplicates(["run_id"]).where("started_at is not null")
+    return rows.groupBy("source").agg(F.max_by(F.struct("run_id", "status"), F.struct("started_at", "run_id")).alias("r")).select("source", "r.run_id", "r.status")
+
+
+def run_gaps(spark: SparkSession, root: str) -> DataFrame:
+    """Seconds since the run before of the same source."""
+    rows = table(spark, root, "collector_runs", "run_id", "source", "started_at").dropDuplicates(["run_id"]).where("started_at is not null")
+    before = F.lag("started_at").over(Window.partitionBy("source").orderBy("started_at", "run_id"))
+    return rows.select("run_id", "source", (F.unix_seconds("started_at") - F.unix_seconds(before)).alias("gap"))
+
+
+def md5_order(key: str) -> Column:
+    return F.md5(F.col(key).cast("string"))
+
+
+def balanced(spark: SparkSession, root: str) -> DataFrame:
+    """Twenty rows of each source, by a hash of the id."""
+    rows = examples(spark, root, "id", "source")
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(md5_order("id"), "id"))).where("k <= 20").select("id", "source")
+
+
+def stratified_sizes(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "analyze_l0_deep", "id", "lang", "validity_group").dropDuplicates(["id"])
+    return C.allocated(rows, ["lang", "validity_group"], 100)
+
+
+def stratified(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "analyze_l0_deep", "id", "lang", "validity_group").dropDuplicates(["id"])
+    return C.drawn(rows, ["lang", "validity_group"], C.allocated(rows, ["lang", "validity_group"], 100), "id", "s")
+
+
+def negatives(spark: SparkSession, root: str) -> DataFrame:
+    """All rows with entities and half as many without, by a hash of the id."""
+    rows = examples(spark, root, "id", "n_entities").where("n_entities is not null")
+    n = rows.agg(F.count_if(F.col("n_entities") > 0).alias("n_pos"))
+    ranked = rows.where("n_entities = 0").select("id", F.row_number().over(Window.partitionBy(F.pmod("id", F.lit(1))).orderBy(md5_order("id"), "id")).alias("k"))
+    kept = ranked.join(F.broadcast(n), F.col("k") <= F.floor(F.col("n_pos") * 0.5)).select("id")
+    return rows.where("n_entities > 0").select("id", F.lit(True).alias("positive")).unionAll(kept.select("id", F.lit(False).alias("positive")))
+
+
+def first_sentences(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "weak_examples", "id", "sentence").where("sentence is not null")
+    return rows.select("id", C.first_sentence(F.col("sentence"), 30, 200).alias("first"))
+
+
+def diverse(spark: SparkSession, root: str) -> DataFrame:
+    df = table(spark, root, "embeddings")
+    key, vector = df.columns[0], next(c for c, t in df.dtypes if t.startswith("array"))
+    return C.diverse(df.select(key, vector), key, vector, 0.9, stored)
+
+
+def composed_rows(spark: SparkSession, root: str) -> DataFrame:
+    rows = composed(table(spark, root, "gazetteers", "id", "entity_type", "entry_value", "source"), ["entity_type", "entry_value", "source"])
+    return rows.select("id", "text", F.size("fields").alias("n_fields"), F.coalesce(F.try_element_at("fields", F.lit(-1))["end"], F.lit(0)).alias("last_end"))
+
+
+def sized(spark: SparkSession, root: str) -> DataFrame:
+    parts = sinks.sized_parts(table(spark, root, "weak_examples", "id", "sentence"), 65_536)
+    return parts.select("part", "n_rows", "n_bytes")
+
+
+def audit_sink(spark: SparkSession, root: str) -> DataFrame:
+    """Events written as JSON lines and read again."""
+    from hanmaru.plans.detection import audit_events
+
+    path = folder(spark)
+    sinks.audit_lines(audit_events(spark, root), path)
+    return spark.read.schema("id string, start int, end int, entity string, action string, risk string, span_length int, value_hash string").json(path)
+
+
+def insert_sink(spark: SparkSession, root: str) -> DataFrame:
+    """Training rows inserted, then all rows: each hash is there once."""
+    path = folder(spark)
+    rows = examples(spark, root, "id", "sentence").select(content_hash(F.col("sentence")).alias("content_hash"))
+    sinks.insert_new(rows.where("content_hash < '8'"), path, "content_hash")
+    sinks.insert_new(rows, path, "content_hash")
+    return spark.read.parquet(path)
+
+
+def purge_sink(spark: SparkSession, root: str) -> DataFrame:
+    """One source replaced, all others untouched."""
+    path = folder(spark)
+    rows = examples(spark, root, "id", "source").where("source is not null")
+    sinks.replace_sources(rows, path)
+    one = rows.agg(F.min("source").alias("source"))
+    sinks.replace_sources(rows.join(F.broadcast(one), "source").select((F.col("id") * -1).alias("id"), "source"), path)
+    return spark.read.parquet(path).select("id", F.col("source").cast("string").alias("source"))
+
+
+def stream_dedup(spark: SparkSession, root: str) -> DataFrame:
+    stream = ingest.parquet_stream(spark, root, "documents").select("doc_id", "text", "collected_at").where("text is not null")
+    return ingest.run_once(ingest.deduplicated(stream, "text", "collected_at", "36500 days"), folder(spark)).select(content_hash(F.col("text")).alias("h"))
+
+
+def stream_mask(spark: SparkSession, root: str) -> DataFrame:
+    stream = ingest.parquet_stream(spark, root, "hard_cases_v0").select("id", "text")
+    return ingest.run_once(ingest.masked_stream(stream, "text"), folder(spark)).select("id", "masked", "blocked")
+
+
+def stream_insert(spark: SparkSession, root: str) -> DataFrame:
+    path = folder(spark)
+    ingest.insert_stream(ingest.parquet_stream(spark, root, "weak_examples").select("id", "sentence"), "sentence", f"{path}/table", f"{path}/state")
+    return spark.read.parquet(f"{path}/table").select("content_hash")
+
+
+def schema_columns(spark: SparkSession, root: str) -> DataFrame:
+    return inspected(table(spark, root, "collector_runs").drop("started_at", "finished_at"))
+
+
+PAGES = ["<html><script>var a=1;</script><p>안녕 <b>하세요</b></p>\n\n<style>p{}</style><p>끝</p></html>", "", "plain", "<div></div>"]
+FEEDS = ["<rss><link>https://a.example/1</link><link>https://a.example/rss</link><link>https://a.example/1</link></rss>", '<feed><link rel="x" href="https://b.example/2"/></feed>', "none"]
+PATHS = ['{"a": [{"b": "x"}]}', '{"a": []}', "broken"]
+VERDICTS = ['{"contains_pii": true, "confidence": 0.9}', '{"contains_pii": true, "confidence": 0.5}', '{"contains_pii": false, "confidence": 0.9}', "not json"]
+
+
+def judged(c: Column) -> Column:
+    """A verdict blocks if it names personal data with a confidence of 0.7 or more; what can't be read doesn't."""
+    v = F.from_json(c, "contains_pii boolean, confidence double")
+    return F.coalesce(v["contains_pii"] & (v["confidence"] >= 0.7), F.lit(False))
+
+
+QUERIES = {
+    "content_hash_dedup": first_wins, "insert_counts": insert_counts, "bio_validate": bio_valid, "gazetteer_insert": gazetteer_insert, "weak_insert": weak_insert, "leakage_semi": leakage_semi, "leakage_by_source": leakage_by_source, "license_filter_export": export,
+    "corpus_stats": corpus_stats, "tag_counts": tag_counts, "bio_spans": bio_spans, "bio_names": bio_names, "bio_round_trip": bio_round_trip, "word_bio": word_bio, "weak_label": weak_labels, "dictionary_hits": dictionary_hits, "run_ledger": run_ledger, "upsert_last_wins": upsert,
+    "run_gaps": run_gaps, "balanced_sample": balanced, "stratified_alloc": stratified_sizes, "stratified_sample": stratified, "negative_ratio": negatives, "first_sentences": first_sentences, "diversity_filter": diverse, "compose_records": composed_rows, "size_split": sized,
+    "audit_sink": audit_sink, "insert_sink": insert_sink, "purge_sink": purge_sink, "stream_dedup": stream_dedup, "stream_mask": stream_mask, "stream_insert": stream_insert, "schema_inspect": schema_columns,
+    "html_body": fixture(PAGES, C.html_body), "rss_links": fixture(FEEDS, lambda c: F.array_join(C.rss_links(c), " ")), "json_path": fixture(PATHS, lambda c: F.get_json_object(c, "$.a[0].b")), "judge_rule": fixture(VERDICTS, judged),
+}
+HASH = "sha256(" + SQUASH.replace("{t}", "{c}") + ")"
+NER_HASH = HASH.replace("{c}", "sentence")
+SPLIT = "CASE WHEN lower(trim(split_hint)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split_hint)) IN ('val', 'valid', 'validation', 'dev', 'test') THEN 'held' END"
+LEAKED = f"WITH r AS (SELECT *, {NER_HASH} AS h, {SPLIT} AS split FROM ner_examples), leaked AS (SELECT id, source FROM r WHERE split = 'train' AND h IN (SELECT h FROM r WHERE split = 'held' AND h IS NOT NULL)) "
+VALID = "coalesce(len(labels) = len(tokens) AND len(label_names) = len(tokens) AND list_bool_and([x IN ('O','B-NAME','I-NAME','B-ORG','I-ORG','B-ADDRESS','I-ADDRESS') FOR x IN label_names]) IS NOT FALSE AND list_bool_and([NOT starts_with(label_names[i], 'I-') OR (i > 1 AND label_names[i - 1] <> 'O' AND substring(label_names[i - 1], 3) = substring(label_names[i], 3)) FOR i IN range(1, len(label_names) + 1)]) IS NOT FALSE, false)"
+RUNS = "(SELECT DISTINCT ON (run_id) * FROM collector_runs)"
+ORACLES = {
+    "content_hash_dedup": f"SELECT id, source, sentence FROM (SELECT *, row_number() OVER (PARTITION BY {NER_HASH} ORDER BY id) AS k FROM ner_examples WHERE sentence IS NOT NULL) WHERE k = 1",
+    "bio_validate": f"SELECT id, {VALID} AS ok FROM ner_examples",
+    "insert_counts": f"WITH r AS (SELECT id, source, {NER_HASH} AS h, {VALID} AS ok FROM ner_examples), f AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY h, ok ORDER BY id) END AS k FROM r) SELECT source, count(*) AS n_seen, count(*) FILTER (WHERE k = 1) AS n_inserted, count(*) FILTER (WHERE k > 1) AS n_dup, count(*) FILTER (WHERE NOT ok) AS n_invalid FROM f GROUP BY source",
+    "gazetteer_insert": "SELECT entity_type, trim(entry_value) AS value, min(id) AS id FROM gazetteers WHERE trim(entry_value) <> '' AND entity_type IS NOT NULL GROUP BY 1, 2",
+    "weak_insert": "SELECT id, array_to_string(list_sort(list_distinct([substring(x, 3) FOR x IN label_names IF x <> 'O'])), ',') AS tag_set, CAST(len([x FOR x IN label_names IF starts_with(x, 'B-')]) AS INT) AS n_spans FROM weak_examples WHERE label_names IS NOT NULL",
+    "leakage_semi": LEAKED + "SELECT id, source FROM leaked",
+    "leakage_by_source": LEAKED + "SELECT source, count(*) AS n, min(id) AS first_id FROM leaked GROUP BY source",
+    "license_filter_export": LEAKED + ", k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY id) AS k FROM r WHERE split = 'train' AND h IS NOT NULL AND (starts_with(license, 'CC-BY') OR starts_with(license, 'CC0')) AND id NOT IN (SELECT id FROM leaked)) SELECT id, source, license FROM k WHERE k = 1",
+    "corpus_stats": "SELECT source, license, count(*) AS n, CAST(sum(n_entities) AS BIGINT) AS n_entities, CAST(grouping(source, license) AS BIGINT) AS level FROM ner_examples GROUP BY CUBE (source, license)",
+    "tag_counts": "SELECT source, substring(l, 3) AS tag, count(*) AS n FROM (SELECT source, unnest(label_names) AS l FROM weak_examples) WHERE starts_with(l, 'B-') GROUP BY ALL",
+    "bio_spans": "WITH u AS (SELECT id, k, label_names[k] AS l, tokens[k] AS t FROM (SELECT id, label_names, tokens, unnest(range(1, greatest(len(label_names), len(tokens)) + 1)) AS k FROM ner_examples WHERE label_names IS NOT NULL AND tokens IS NOT NULL)), "
+    "p AS (SELECT *, coalesce(starts_with(l, 'I-') AND substring(lag(l) OVER w, 3) = substring(l, 3) AND lag(l) OVER w <> 'O', false) AS goes FROM u WINDOW w AS (PARTITION BY id ORDER BY k)), "
+    "g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS run FROM p), r AS (SELECT id, run, arg_min(l, k) AS l, min(k) AS a, max(k) AS b, string_agg(t, '' ORDER BY k) AS text FROM g GROUP BY id, run) "
+    "SELECT id, substring(l, 3) AS entity, CAST(a - 1 AS INT) AS \"start\", CAST(b AS INT) AS \"end\", text FROM r WHERE starts_with(l, 'B-')",
+    "run_ledger": f"SELECT source, count(*) AS n_runs, CAST(sum(n_seen) AS BIGINT) AS n_seen, CAST(sum(n_inserted) AS BIGINT) AS n_inserted, count(*) FILTER (WHERE finished_at IS NULL) AS n_open, arg_max(status, (coalesce(started_at, TIMESTAMP '1900-01-01'), run_id)) AS last_status FROM {RUNS} GROUP BY source",
+    "upsert_last_wins": f"SELECT source, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, run_id DESC) AS k FROM {RUNS} WHERE started_at IS NOT NULL) WHERE k = 1",
+    "run_gaps": f"SELECT run_id, source, CAST(epoch(date_trunc('second', started_at)) - epoch(date_trunc('second', lag(started_at) OVER (PARTITION BY source ORDER BY started_at, run_id))) AS BIGINT) AS gap FROM {RUNS} WHERE started_at IS NOT NULL",
+    "balanced_sample": "SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM ner_examples) WHERE k <= 20",
+    "stratified_alloc": "WITH s AS (SELECT lang, validity_group, count(*) AS n FROM (SELECT DISTINCT ON (id) id, lang, validity_group FROM analyze_l0_deep) GROUP BY ALL), p AS (SELECT *, least(CAST(round(100 * n / sum(n) OVER ()) AS BIGINT), n) AS share, row_number() OVER (ORDER BY lang NULLS FIRST, validity_group NULLS FIRST) AS place, count(*) OVER () AS last FROM s) "
+    "SELECT lang, validity_group, n, CAST(CASE WHEN place = last THEN least(greatest(100 - coalesce(sum(share) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), n) ELSE share END AS BIGINT) AS size FROM p",
+    "negative_ratio": "SELECT id, true AS positive FROM ner_examples WHERE n_entities > 0 UNION ALL SELECT id, false AS positive FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM ner_examples WHERE n_entities = 0) WHERE k <= (SELECT floor(count(*) * 0.5) FROM ner_examples WHERE n_entities > 0)",
+    "insert_sink": f"SELECT DISTINCT {NER_HASH} AS content_hash FROM ner_examples WHERE sentence IS NOT NULL",
+    "purge_sink": "SELECT CASE WHEN source = (SELECT min(source) FROM ner_examples) THEN -id ELSE id END AS id, source FROM ner_examples WHERE source IS NOT NULL",
+    "stream_dedup": "SELECT DISTINCT " + HASH.replace("{c}", "text") + " AS h FROM documents WHERE text IS NOT NULL AND collected_at IS NOT NULL",
+    "stream_insert": "SELECT DISTINCT " + NER_HASH + " AS content_hash FROM weak_examples WHERE sentence IS NOT NULL",
+    "json_path": sql_fixture(PATHS, "CASE WHEN json_valid(value) THEN json_extract_string(value, '$.a[0].b') END"),
+    "judge_rule": sql_fixture(VERDICTS, "CASE WHEN json_valid(value) THEN coalesce(CAST(json_extract_string(value, '$.contains_pii') AS BOOLEAN) AND CAST(json_extract_string(value, '$.confidence') AS DOUBLE) >= 0.7, false) ELSE false END"),
+    "rss_links": sql_fixture(FEEDS, "coalesce(array_to_string([x FOR x IN (SELECT list(u ORDER BY i) FROM (SELECT u, min(i) AS i FROM (SELECT unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT list_concat(regexp_extract_all(value, '<link>\\s*(https?://[^<\\s]+)\\s*</link>', 1), regexp_extract_all(value, '<link[^>]+href=\"(https?://[^\"]+)\"', 1)) AS l)) GROUP BY u)) IF NOT contains(lower(x), 'rss')], ' '), '')"),
+    "word_bio": "SELECT * FROM (VALUES (1, 'B-NAME I-NAME I-NAME O O O'), (2, 'B-ADDRESS I-ADDRESS I-ADDRESS I-ADDRESS I-ADDRESS I-ADDRESS O O O'), (3, '')) t(id, out)",
+}

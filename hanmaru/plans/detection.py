@@ -33,8 +33,9 @@ def spans_of(name: str):  # type: ignore[no-untyped-def]
     detector = (D.STRUCTURED | D.DICTIONARY)[name]
 
     def run(spark: SparkSession, root: str) -> DataFrame:
-        found = documents(spark, root).select("doc_id", F.explode(detector(F.col("text"))).alias("s"))
-        return found.select("doc_id", "s.start", "s.end", "s.entity", "s.text", "s.score")
+        rows = table(spark, root, "ner_examples", "id", "sentence")
+        found = rows.select("id", F.explode(detector(F.col("sentence"))).alias("s"))
+        return found.select("id", "s.start", "s.end", "s.entity", "s.text", "s.score")
 
     return run
 

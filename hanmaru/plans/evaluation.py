@@ -1,3 +1,166 @@
-"""Queries."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from hanmaru.operators import detect as D, evaluate as E, spans as S
+from hanmaru.sources.tables import table
+
+LAYER, OTHERS = "layer0", ("ner_span", "cloud_dlp", "prompt_guard")
+
+
+def results(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "analyze_l0_deep", "id", "pii_type", "pii_value", "mutation_level", "mutation_name", "mutated", "lang", "validity_group", "any_detected", "detected_by", "layer_results", "total_latency_ms")
+
+
+def cases(spark: SparkSession, root: str) -> DataFrame:
+    return E.classified(results(spark, root))
+
+
+def classify_cases(spark: SparkSession, root: str) -> DataFrame:
+    return cases(spark, root).select("id", "outcome")
+
+
+def miss_table(spark: SparkSession, root: str) -> DataFrame:
+    """Bypassed cases by mutation and level, most first."""
+    missed = cases(spark, root).where("outcome = 'BYPASS'")
+    return missed.groupBy("mutation_name", "mutation_level").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mutation_name", "mutation_level")
+
+
+def ablation(spark: SparkSession, root: str) -> DataFrame:
+    """Share of TRUE outcomes as layers are added one after the other."""
+    rows = results(spark, root).dropDuplicates(["id"])
+    layers = [LAYER, *OTHERS]
+    true = lambda names: E.outcome(F.col("layer_results"), F.col("pii_value"), F.col("mutated"), names) == "TRUE"
+    counted = rows.agg(F.count("*").alias("n"), *(F.count_if(true(layers[: k + 1])).alias(f"c{k}") for k in range(len(layers))))
+    stages = F.array(*(F.struct(F.lit(k + 1).alias("n_layers"), F.lit("+".join(layers[: k + 1])).alias("layers"), F.round(100 * F.col(f"c{k}") / F.col("n"), 2).alias("true_rate")) for k in range(len(layers))))
+    return counted.select(F.inline(stages))
+
+
+def smart_skip(spark: SparkSession, root: str) -> DataFrame:
+    """If the last layer were asked only where the others miss: calls needed, cases recovered, calls saved."""
+    rows = results(spark, root).dropDuplicates(["id"])
+    true = lambda names: E.outcome(F.col("layer_results"), F.col("pii_value"), F.col("mutated"), names) == "TRUE"
+    first, last = true([LAYER, "ner_span", "cloud_dlp"]), true(["prompt_guard"])
+    return rows.agg(F.count("*").alias("n"), F.count_if(~first).alias("needed"), F.count_if(~first & last).alias("recovered"), F.round(100 * F.count_if(first) / F.count("*"), 2).alias("saved"))
+
+
+def nearest_rank_latency(spark: SparkSession, root: str) -> DataFrame:
+    """Nearest-rank quantiles per layer. Latencies are counted first, so no layer's values gather in one array."""
+    from pyspark.sql import Window
+
+    rows = results(spark, root).dropDuplicates(["id"]).select(F.explode("layer_results").alias("x")).select("x.layer", "x.latency_ms").where("latency_ms is not null")
+    counts = rows.groupBy("layer", "latency_ms").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("layer").orderBy("latency_ms"))
+    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy("layer")))
+    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("total") - 1), 0), F.col("latency_ms")))
+    return ranked.groupBy("layer").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+def target_hits(spark: SparkSession, root: str) -> DataFrame:
+    """Per layer name: cases it is said to have detected, and among them those whose value is gone."""
+    rows = cases(spark, root).select("outcome", F.explode("detected_by").alias("layer"))
+    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "TRUE").alias("n_true"))
+
+
+def text_lengths(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "documents", "source", "lang", "text").where("text is not null")
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"), F.round(F.avg(F.length("text")), 2).alias("mean"))
+
+
+def gold(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "hard_cases_v0", "id", "text", "expected_masked_text", "labels").where("labels is not null and text is not null").dropDuplicates(["id"])
+    return rows.withColumn("gold", F.transform("labels", lambda x: F.struct(x["start_pos"].alias("start"), x["end_pos"].alias("end"), x["entity_type"].alias("entity"))))
+
+
+def predicted(spark: SparkSession, root: str) -> DataFrame:
+    done = S.guarded(gold(spark, root))
+    return done.withColumn("predicted", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"))))
+
+
+def entity_prf(spark: SparkSession, root: str) -> DataFrame:
+    return E.entity_metrics(E.matched(predicted(spark, root), "id", "gold", "predicted"))
+
+
+def actionable_prf(spark: SparkSession, root: str) -> DataFrame:
+    """As entity_prf, but only spans that are acted on count."""
+    done = S.guarded(gold(spark, root))
+    acted = done.withColumn("predicted", F.transform(F.filter("spans", lambda s: s["action"] != "PASS"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"))))
+    return E.entity_metrics(E.matched(acted, "id", "gold", "predicted"))
+
+
+def failure_rows(spark: SparkSession, root: str) -> DataFrame:
+    return E.matched(predicted(spark, root), "id", "gold", "predicted").where("kind <> 'exact'")
+
+
+def gate_table(spark: SparkSession, root: str) -> DataFrame:
+    metrics = entity_prf(spark, root).where("entity is not null").select(F.concat(F.lit("recall "), "entity").alias("gate"), F.col("recall").alias("value"))
+    return E.gates(metrics, {"recall RRN": (">=", 0.99), "recall EMAIL": (">=", 0.98), "recall PHONE_MOBILE": (">=", 0.98), "recall PASSPORT": (">=", 0.99)})
+
+
+def gold_counts(spark: SparkSession, root: str) -> DataFrame:
+    rows = gold(spark, root).select("id", F.explode("labels").alias("l"))
+    return rows.groupBy(F.col("l.entity_type").alias("entity"), F.col("l.risk_level").alias("risk")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_cases"))
+
+
+def exact_mask_rate(spark: SparkSession, root: str) -> DataFrame:
+    done = S.guarded(gold(spark, root)).where("expected_masked_text is not null")
+    return done.agg(F.count("*").alias("n"), F.count_if(F.col("masked") == F.col("expected_masked_text")).alias("n_equal"))
+
+
+def count_maps(spark: SparkSession, root: str) -> DataFrame:
+    """Counts of layers that detected, kept as maps per mutation and merged again over all."""
+    rows = results(spark, root).dropDuplicates(["id"]).select(F.coalesce("mutation_name", F.lit("none")).alias("m"), F.explode("detected_by").alias("layer"))
+    maps = rows.groupBy("m", "layer").agg(F.count("*").alias("n")).groupBy("m").agg(F.map_from_entries(F.collect_list(F.struct("layer", "n"))).alias("counts"))
+    return maps.select(F.explode("counts").alias("layer", "n")).groupBy("layer").agg(F.sum("n").alias("n"))
+
+
+def clean_findings(spark: SparkSession, root: str) -> DataFrame:
+    """Findings in reviewed cases that hold nothing, by type."""
+    clean = gold(spark, root).where(F.size("labels") == 0)
+    found = clean.select("id", F.explode(D.candidates(F.col("text"), list(D.STRUCTURED))).alias("s"))
+    return found.groupBy("s.entity").agg(F.countDistinct("id").alias("n_docs"))
+
+
+QUERIES = {
+    "classify_cases": classify_cases, "slice_grouping_sets": lambda s, d: E.sliced(cases(s, d)), "hardest_types": lambda s, d: E.hardest(cases(s, d)), "miss_table": miss_table, "layer_catch": lambda s, d: E.by_layer(results(s, d)),
+    "l0_contribution": lambda s, d: E.contribution(results(s, d), LAYER, OTHERS), "mcnemar_chi2": lambda s, d: E.mcnemar(results(s, d), OTHERS, [LAYER, *OTHERS[:1]]), "latency_percentiles": lambda s, d: E.latency(results(s, d)),
+    "nearest_rank": nearest_rank_latency, "ablation_union": ablation, "smart_skip": smart_skip, "target_hits": target_hits, "text_lengths": text_lengths, "entity_prf": entity_prf, "actionable_prf": actionable_prf, "failure_rows": failure_rows,
+    "release_gates": gate_table, "gold_counts": gold_counts, "exact_mask_rate": exact_mask_rate, "count_maps": count_maps, "clean_findings": clean_findings,
+}
+
+#: One row per case and usable layer result: whether it neutralises the value, and whether it changes the text.
+BASE = """WITH d AS (SELECT id, any_value(pii_type) AS pii_type, any_value(pii_value) AS v, any_value(mutation_level) AS mutation_level, any_value(mutation_name) AS mutation_name, any_value(mutated) AS t, any_value(lang) AS lang,
+ any_value(validity_group) AS validity_group, any_value(detected_by) AS detected_by, any_value(layer_results) AS lr FROM analyze_l0_deep GROUP BY id),
+x AS (SELECT id, v, coalesce(t, '') AS t, unnest(lr) AS r FROM d),
+y AS (SELECT id, r.layer AS layer, r.action AS action, r.detected AS detected, r.latency_ms AS latency_ms, coalesce(r.error, '') <> '' OR coalesce(r.action, '') = 'ERROR' AS failed, coalesce(r.output, '') AS o, t, v,
+ regexp_replace(v, '[^0-9]', '', 'g') AS dg, regexp_replace(coalesce(r.output, ''), '[^0-9]', '', 'g') AS og FROM x),
+z AS (SELECT *, o <> '' AND o <> t AS changed, o = '[BLOCKED]' OR (o <> '' AND o <> t AND NOT coalesce(v <> '' AND (contains(o, v) OR (length(dg) >= 6 AND contains(og, dg))), false)) AS hit FROM y),
+c AS (SELECT d.*, CASE WHEN EXISTS (SELECT 1 FROM z WHERE z.id = d.id AND NOT failed AND hit) THEN 'TRUE' WHEN EXISTS (SELECT 1 FROM z WHERE z.id = d.id AND NOT failed AND changed) THEN 'FALSE' ELSE 'BYPASS' END AS outcome FROM d)
+"""
+
+
+def true_of(*layers: str) -> str:
+    return "EXISTS (SELECT 1 FROM z WHERE z.id = d.id AND NOT failed AND hit AND layer IN (" + ", ".join(f"'{x}'" for x in layers) + "))"
+
+
+COUNTS = "count(*) AS n, count(*) FILTER (WHERE outcome = 'TRUE') AS n_true, count(*) FILTER (WHERE outcome = 'FALSE') AS n_false, count(*) FILTER (WHERE outcome = 'BYPASS') AS n_bypass, round(100 * count(*) FILTER (WHERE outcome = 'TRUE') / count(*), 2) AS true_rate"
+ORACLES = {
+    "classify_cases": BASE + "SELECT id, outcome FROM c",
+    "slice_grouping_sets": BASE + f"SELECT CAST(grouping(lang, validity_group, mutation_level, pii_type) AS BIGINT) AS slice, lang, validity_group, mutation_level, pii_type, {COUNTS} FROM c GROUP BY GROUPING SETS ((), (lang), (validity_group), (mutation_level), (pii_type), (lang, validity_group))",
+    "hardest_types": BASE + f"SELECT pii_type, {COUNTS}, round(100 * count(*) FILTER (WHERE outcome <> 'TRUE') / count(*), 2) AS bypass_rate FROM c GROUP BY pii_type HAVING count(*) >= 30 ORDER BY bypass_rate DESC, pii_type LIMIT 20",
+    "miss_table": BASE + "SELECT mutation_name, mutation_level, count(*) AS n FROM c WHERE outcome = 'BYPASS' GROUP BY ALL",
+    "layer_catch": BASE + "SELECT layer, count(*) AS n, count(*) FILTER (WHERE failed) AS errors, round(100 * count(*) FILTER (WHERE NOT failed AND detected) / count(*), 2) AS change_rate, round(100 * count(*) FILTER (WHERE NOT failed AND hit) / count(*), 2) AS neutralise_rate, round(avg(latency_ms) FILTER (WHERE NOT failed), 1) AS mean_latency FROM z GROUP BY layer",
+    "l0_contribution": BASE + f"SELECT count(*) FILTER (WHERE {true_of(LAYER)} AND NOT {true_of(*OTHERS)}) AS solo, count(*) FILTER (WHERE {true_of(LAYER)} AND {true_of(*OTHERS)}) AS redundant, (SELECT count(*) FROM z WHERE layer = '{LAYER}' AND NOT failed AND action IN ('BLOCK', 'MASK')) AS actions, "
+    f"(SELECT count(*) FROM z WHERE layer = '{LAYER}' AND NOT failed AND action = 'BLOCK') AS blocks, (SELECT count(*) FROM z WHERE layer = '{LAYER}' AND failed) AS errors FROM d",
+    "mcnemar_chi2": BASE + f", k AS (SELECT count(*) FILTER (WHERE {true_of(*OTHERS)} AND NOT {true_of(LAYER, OTHERS[0])}) AS b, count(*) FILTER (WHERE NOT {true_of(*OTHERS)} AND {true_of(LAYER, OTHERS[0])}) AS c FROM d) SELECT b, c, round(CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) END, 3) AS chi2 FROM k",
+    "latency_percentiles": BASE + "SELECT layer, count(*) AS n, min(latency_ms) AS least, CAST(trunc(quantile_cont(latency_ms, 0.5)) AS INT) AS p50, CAST(trunc(quantile_cont(latency_ms, 0.95)) AS INT) AS p95, CAST(trunc(quantile_cont(latency_ms, 0.99)) AS INT) AS p99, max(latency_ms) AS most, round(avg(latency_ms), 1) AS mean, round(stddev_pop(latency_ms), 3) AS deviation FROM y WHERE latency_ms IS NOT NULL GROUP BY layer",
+    "nearest_rank": BASE + ", o AS (SELECT layer, list_sort(list(latency_ms)) AS l FROM y WHERE latency_ms IS NOT NULL GROUP BY layer) SELECT layer, l[CAST(round_even(0.5 * (len(l) - 1), 0) AS INT) + 1] AS p50, l[CAST(round_even(0.95 * (len(l) - 1), 0) AS INT) + 1] AS p95 FROM o",
+    "ablation_union": BASE + " UNION ALL ".join(f"SELECT {k + 1} AS n_layers, '{'+'.join((LAYER, *OTHERS)[: k + 1])}' AS layers, round(100 * count(*) FILTER (WHERE {true_of(*(LAYER, *OTHERS)[: k + 1])}) / count(*), 2) AS true_rate FROM d" for k in range(4)),
+    "smart_skip": BASE + f"SELECT count(*) AS n, count(*) FILTER (WHERE NOT {true_of(LAYER, 'ner_span', 'cloud_dlp')}) AS needed, count(*) FILTER (WHERE NOT {true_of(LAYER, 'ner_span', 'cloud_dlp')} AND {true_of('prompt_guard')}) AS recovered, round(100 * count(*) FILTER (WHERE {true_of(LAYER, 'ner_span', 'cloud_dlp')}) / count(*), 2) AS saved FROM d",
+    "target_hits": BASE + "SELECT layer, count(*) AS n, count(*) FILTER (WHERE outcome = 'TRUE') AS n_true FROM (SELECT outcome, unnest(detected_by) AS layer FROM c) GROUP BY layer",
+    "text_lengths": "SELECT source, lang, count(*) AS n, min(length(text)) AS least, max(length(text)) AS most, round(avg(length(text)), 2) AS mean FROM documents WHERE text IS NOT NULL GROUP BY source, lang",
+    "gold_counts": "SELECT l.entity_type AS entity, l.risk_level AS risk, count(*) AS n, count(DISTINCT id) AS n_cases FROM (SELECT id, unnest(labels) AS l FROM (SELECT DISTINCT ON (id) id, labels FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL)) GROUP BY ALL",
+    "count_maps": "SELECT layer, count(*) AS n FROM (SELECT unnest(detected_by) AS layer FROM (SELECT DISTINCT ON (id) id, detected_by FROM analyze_l0_deep)) GROUP BY layer",
+}

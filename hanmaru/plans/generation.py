@@ -1,3 +1,56 @@
-"""Queries."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of generators and mutations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from hanmaru.functions import validate as V
+from hanmaru.functions.text import CIRCLED
+from hanmaru.operators import generate as G
+from hanmaru.plans.normalisation import fixture, sql_fixture
+from hanmaru.sources.tables import table
+
+N = 2000
+
+
+def generated(make, check):  # type: ignore[no-untyped-def]
+    """(n, n_distinct, n_valid) of generated numbers."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        return make(spark, N).agg(F.count("*").alias("n"), (F.countDistinct("value") > 0.99 * N).alias("distinct"), F.count_if(check(F.col("value"))).alias("n_valid"))
+
+    return run
+
+
+def values(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "analyze_l0_deep", "pii_type", "pii_value").where("pii_value is not null").distinct()
+
+
+def mutated(spark: SparkSession, root: str) -> DataFrame:
+    """All mutations of all values, one row for each type, mutation and text."""
+    rows = values(spark, root).select("pii_type", "pii_value", F.explode(G.mutations(F.col("pii_value"))).alias("m"))
+    return rows.select("pii_type", "m.name", "m.level", "m.text").distinct()
+
+
+def mutation_counts(spark: SparkSession, root: str) -> DataFrame:
+    return mutated(spark, root).groupBy("name", "level").agg(F.count("*").alias("n"))
+
+
+def simple_mutations(spark: SparkSession, root: str) -> DataFrame:
+    return mutated(spark, root).where("name in ('fullwidth', 'circled', 'kr_digits', 'no_dash', 'dots', 'soft_hyphen')").select("pii_type", "name", "text").distinct()
+
+
+PHONES = ["010-1234-5678", "02-123-4567", "a.b@c.example", "kim@x.co", "4111111111111111", "x"]
+QUERIES = {
+    "generate_resident": generated(G.resident_numbers, lambda c: V.resident(c, "strict")), "generate_business": generated(G.business_numbers, V.business), "generate_card": generated(G.card_numbers, V.card),
+    "mutation_explode": mutated, "mutation_counts": mutation_counts, "mutation_simple": simple_mutations, "partial_mask": fixture(PHONES, G.partly_masked),
+}
+SIMPLE = {
+    "fullwidth": ("translate(v, '" + G.ASCII_ALNUM + "', '" + G.WIDE_ALNUM + "')", "regexp_matches(v, '[0-9]')"), "circled": ("translate(v, '0123456789', '" + CIRCLED + "')", "regexp_matches(v, '[0-9]')"), "kr_digits": ("translate(v, '0123456789', '" + G.READINGS + "')", "regexp_matches(v, '[0-9]')"),
+    "no_dash": ("replace(v, '-', '')", "contains(v, '-')"), "dots": ("replace(v, '-', '.')", "contains(v, '-')"), "soft_hyphen": ("array_to_string([substring(v, CAST(i AS INT), 1) FOR i IN range(1, length(v) + 1)], chr(173))", "length(v) > 0"),
+}
+ORACLES = {
+    **{f"generate_{k}": f"SELECT CAST({N} AS BIGINT) AS n, true AS \"distinct\", CAST({N} AS BIGINT) AS n_valid" for k in ("resident", "business", "card")},
+    "mutation_simple": "WITH d AS (SELECT DISTINCT pii_type, pii_value AS v FROM analyze_l0_deep WHERE pii_value IS NOT NULL) SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT pii_type, '{name}' AS name, {made} AS text FROM d WHERE {ok}" for name, (made, ok) in SIMPLE.items()) + ")",
+    "partial_mask": sql_fixture(PHONES, "CASE WHEN regexp_full_match(value, '\\d{2,3}-\\d{3,4}-\\d{4}') THEN regexp_replace(value, '^(\\d{2,3})-(\\d{3,4})-(\\d{4})$', '\\1-****-\\3') WHEN contains(value, '@') THEN regexp_replace(value, '^(.{1,2})[^@]*(@.*)$', '\\1***\\2') WHEN value = '4111111111111111' THEN '************1111' ELSE value END"),
+}
