@@ -41,11 +41,16 @@ def with_sentence(text: Column, found: Column) -> Column:
 def scored(text: Column, found: Column) -> Column:
     """Boosts and penalties of the context, in the order of the table, clamped to 0..1; composites of a sentence."""
 
-    def one(parts: Column, found: Column, s: Column) -> Column:
-        sentence = F.coalesce(F.try_element_at(F.transform(parts, lambda p: p["text"]), s["sentence"] + 1), F.lit(""))
-        left = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-        right = F.substring(text, s["end"] + 1, F.lit(8))
-        types = F.transform(F.filter(found, lambda o: (o["sentence"] == s["sentence"]) & ((o["start"] != s["start"]) | (o["end"] != s["end"]) | (o["entity"] != s["entity"]))), lambda o: o["entity"])
+    def surroundings(parts: Column, found: Column, s: Column) -> Column:
+        others = F.filter(found, lambda o: (o["sentence"] == s["sentence"]) & ((o["start"] != s["start"]) | (o["end"] != s["end"]) | (o["entity"] != s["entity"])))
+        sentence = F.get(parts, s["sentence"])
+        return F.struct(
+            s.alias("s"), F.coalesce(sentence["text"], F.lit("")).alias("sentence"), F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))).alias("left"), F.substring(text, s["end"] + 1, F.lit(8)).alias("right"),
+            F.array_distinct(F.transform(others, lambda o: o["entity"])).alias("types"),
+        )
+
+    def one(c: Column) -> Column:
+        s, sentence, left, right, types = (c[k] for k in ("s", "sentence", "left", "right", "types"))
         has = lambda group, where=sentence: where.rlike("(?i)" + either(group))
         person, phone, address = s["entity"] == "PERSON_NAME", s["entity"].isin("PHONE_MOBILE", "PHONE_LANDLINE"), s["entity"].isin("ADDRESS_FULL", "ADDRESS_UNIT")
         account, organization = s["entity"] == "BANK_ACCOUNT", s["entity"] == "ORGANIZATION"
@@ -67,7 +72,7 @@ def scored(text: Column, found: Column) -> Column:
         risk = mapped(s["entity"], RISK, F.lit("P3"))
         return F.struct(*(s[c].alias(c) for c in ("start", "end", "text", "entity")), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6).alias("score"), s["detector"].alias("detector"), s["suffix"].alias("suffix"), s["sentence"].alias("sentence"), composite.alias("composite"), F.when(composite & risk.isin("P2", "P3"), "P1").otherwise(risk).alias("risk"))
 
-    return let(F.struct(sentences(text).alias("parts"), found.alias("found")), lambda x: F.transform(x["found"], lambda s: one(x["parts"], x["found"], s)))
+    return let(F.struct(sentences(text).alias("parts"), found.alias("found")), lambda x: F.transform(x["found"], lambda s: let(surroundings(x["parts"], x["found"], s), one)))
 
 
 def suppressed(found: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hanmaru.operators import detect as D, spans as S
 from hanmaru.plans.normalisation import EMAIL, quoted
 from hanmaru.sources.sinks import LEAKS, leaks
-from hanmaru.sources.tables import table
+from hanmaru.sources.tables import spread, table
 
 KEY = b"example-key"
 
@@ -18,7 +18,7 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
 
 def mask_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every document with its number of spans and its masked text."""
-    return S.guarded(documents(spark, root)).select("doc_id", F.size("spans").alias("n_spans"), "blocked", "masked")
+    return S.guarded(spread(documents(spark, root).select("doc_id", "text"))).select("doc_id", F.size("spans").alias("n_spans"), "blocked", "masked")
 
 
 def cases(spark: SparkSession, root: str) -> DataFrame:

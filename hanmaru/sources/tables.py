@@ -9,3 +9,12 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
     """Read ``root/name.parquet`` (file or folder); with columns, only these reach the scan."""
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for passes that are busy row by row.
+
+    A few large files give few partitions; many files already give more, and then nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
