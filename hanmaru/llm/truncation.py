@@ -8,7 +8,7 @@ Field limits come from all records: a source has a limit of n characters (or byt
 that length and hardly one is longer. The regression is fitted on a sample of at most ``SAMPLE`` records, taken by a
 hash of the key; the few that are cut themselves count as intact at first and are left out of the later fits.
 
-Null, empty and blank texts are never truncated. Rows of a null source are scored without a limit.
+Null, empty and blank texts are never truncated. Without any intact text of 20 characters to learn from, every score is 0. Rows of a null source are scored without a limit.
 """
 
 from __future__ import annotations
@@ -101,6 +101,7 @@ class Regression:
 
     def __init__(self) -> None:
         self.weights = np.zeros(1 << BITS, np.float32)
+        self.fitted = False
 
     def fit(self, rows: list[list[int]], labels: np.ndarray, steps: int = 120, rate: float = 0.4, decay: float = 2e-5) -> Regression:
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -113,10 +114,11 @@ class Regression:
             past += slope * slope
             w += rate * slope / np.sqrt(past)
         self.weights[used] = w
+        self.fitted = True
         return self
 
     def score(self, row: list[int]) -> float:
-        return float(1 / (1 + np.exp(-self.weights[row].sum(dtype=np.float64))))
+        return float(1 / (1 + np.exp(-self.weights[row].sum(dtype=np.float64)))) if self.fitted else 0.0
 
 
 def cut(text: str, dice: random.Random) -> str:
@@ -146,6 +148,8 @@ def fit(sample: list[tuple[str, int | None, int | None]]) -> Regression:
         off = offsets(text, chars, size)
         if len(text) >= 20 and not any(o is not None and -3 <= o <= 3 for o in off):
             intact.append((text, off))
+    if not intact:
+        return Regression()  # nothing to learn from: every record scores 0
     negative = [features(text, *off) for text, off in intact]
     # A complete text may lack its final stop, or be as long as the limit by chance.
     bare = [(text.rstrip()[:-1], off) for text, off in intact if re.search(r"[다요]\.$|[a-z]\.$", text.rstrip()) and dice.random() < 0.25]
