@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 SAMPLE = 8000
+#: Cuts to learn from, at least, if every text is cut at most eight times.
+CUTS = 8000
 BITS = 17
 #: What may follow a break: an ellipsis, a broken character, the beginning of an entity, an escape or a tag.
 MARKS = re.compile(r"(?:\s|…|�|&[A-Za-z#0-9]{0,6}|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|<[A-Za-z/]{0,6}|\[\.{3}\]?|\((?:더|더보|더보기|계속|생략|중략)?\)?)+$")
@@ -104,13 +106,17 @@ class Regression:
         self.fitted = False
 
     def fit(self, rows: list[list[int]], labels: np.ndarray, steps: int = 120, rate: float = 0.4, decay: float = 2e-5) -> Regression:
+        """Both classes weigh the same; a feature of a single row teaches nothing and is left out."""
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         slots = np.fromiter((s for r in rows for s in r), np.int64, len(owner))
-        used, at = np.unique(slots, return_inverse=True)
+        used, at, seen = np.unique(slots, return_inverse=True, return_counts=True)
+        often = (seen >= 3)[at]
+        owner, at = owner[often], at[often]
+        weight = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
         w, past = np.zeros(len(used)), np.full(len(used), 1e-6)
         for _ in range(steps):
-            error = labels - 1 / (1 + np.exp(-np.bincount(owner, w[at], len(rows))))
-            slope = np.bincount(at, error[owner], len(used)) / len(rows) - decay * w
+            error = weight * (labels - 1 / (1 + np.exp(-np.bincount(owner, w[at], len(rows)))))
+            slope = np.bincount(at, error[owner], len(used)) - decay * w
             past += slope * slope
             w += rate * slope / np.sqrt(past)
         self.weights[used] = w
@@ -152,22 +158,29 @@ def fit(sample: list[tuple[str, int | None, int | None]]) -> Regression:
         return Regression()  # nothing to learn from: every record scores 0
     negative = [features(text, *off) for text, off in intact]
     # A complete text may lack its final stop, or be as long as the limit by chance.
-    bare = [(text.rstrip()[:-1], off) for text, off in intact if re.search(r"[다요]\.$|[a-z]\.$", text.rstrip()) and dice.random() < 0.25]
-    bare = [features(text, *off) for text, off in bare]
+    bare = {k: features(text.rstrip()[:-1], *off) for k, (text, off) in enumerate(intact) if re.search(r"[다요]\.$|[a-z]\.$", text.rstrip()) and dice.random() < 0.25}
     level = {k: features(text, 0, 0) for k, (text, _) in enumerate(intact) if dice.random() < 0.1}
-    positive = []
-    for text, _ in intact:
-        damaged = cut(text, dice)
-        near = dice.choice([0, 0, 0, -1, 1]) if dice.random() < 0.5 else None
-        positive.append(features(damaged, near if dice.random() < 0.6 else None, near if dice.random() < 0.4 else None))
-    model = Regression()
-    kept = list(range(len(negative)))
-    for doubt in (0.2, 0.1, 0.06, 0.06):
-        rows = [negative[k] for k in kept] + bare + [level[k] for k in kept if k in level] + positive
+    times = max(1, min(8, CUTS // len(intact)))
+    positive: list[list[int]] = []
+    from_text: list[int] = []
+    for k, (text, _) in enumerate(intact):
+        for _ in range(times):
+            damaged = cut(text, dice)
+            near = dice.choice([0, 0, 0, -1, 1]) if dice.random() < 0.5 else None
+            positive.append(features(damaged, near if dice.random() < 0.6 else None, near if dice.random() < 0.4 else None))
+            from_text.append(k)
+
+    def trained(kept: list[int], cuts: list[list[int]]) -> Regression:
+        rows = [negative[k] for k in kept] + [bare[k] for k in kept if k in bare] + [level[k] for k in kept if k in level] + cuts
         labels = np.zeros(len(rows))
-        labels[-len(positive) :] = 1
-        model = Regression().fit(rows, labels)
-        kept = [k for k in range(len(negative)) if model.score(negative[k]) < doubt]
+        labels[len(rows) - len(cuts) :] = 1
+        return Regression().fit(rows, labels)
+
+    kept = list(range(len(negative)))
+    for doubt in (0.5, 0.3):  # each half of the texts is judged by a fit that hasn't seen it
+        halves = [trained([k for k in kept if k % 2 == h], [p for p, k in zip(positive, from_text) if k % 2 == h]) for h in (0, 1)]
+        kept = [k for k in range(len(negative)) if halves[1 - k % 2].score(negative[k]) < doubt]
+    model = trained(kept, positive)
     return model
 
 
