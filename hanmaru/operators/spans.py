@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hanmaru.functions.lists import BANKS, COMPOSITES, FAMILY, HONORIFICS, LABELS, NEGATIVE, PARTICLES, PRIORITY, RISK, TITLES
 from hanmaru.functions.text import hmac_sha256, let, sentences
-from hanmaru.operators.detect import candidates, compare, either
+from hanmaru.operators.detect import SPAN, candidates, compare, either
 
 FULL = "array<struct<start:int,end:int,text:string,entity:string,score:double,detector:string,suffix:string,sentence:int,composite:boolean,risk:string,action:string>>"
 
@@ -142,3 +142,30 @@ def islands(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     order = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("opens", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
+def without_suffix(value: Column, person: bool = False, rounds: int = 4) -> Column:
+    """Particles at the end go one by one, the longest first; two characters stay."""
+    ending = f"{either([*PARTICLES, *HONORIFICS] if person else PARTICLES)}$"
+    for _ in range(rounds):
+        value = let(value, lambda v: let(F.regexp_replace(v, ending, ""), lambda shorter: F.when(F.length(shorter) >= 2, shorter).otherwise(v)))
+    return value
+
+
+def joined_fragments(text: Column, found: Column, family: tuple[str, ...] = ("ADDRESS_FULL", "ADDRESS_UNIT")) -> Column:
+    """Neighbours of a family with nothing but white space between them become one; a full address makes it full.
+
+    found is in text order without overlaps.
+    """
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        gap = F.substring(text, last["end"] + 1, s["start"] - last["end"])
+        meets = F.coalesce(last["entity"].isin(*family) & s["entity"].isin(*family) & (s["start"] > last["end"]) & gap.rlike(r"^\s+$"), F.lit(False))
+        both = F.struct(
+            last["start"].alias("start"), s["end"].alias("end"), F.substring(text, last["start"] + 1, s["end"] - last["start"]).alias("text"),
+            F.when(last["entity"] == s["entity"], s["entity"]).otherwise(F.lit(family[0])).alias("entity"), F.greatest(last["score"], s["score"]).alias("score"), last["detector"].alias("detector"),
+        )
+        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both).cast(SPAN))).otherwise(F.concat(acc, F.array(s).cast(SPAN)))
+
+    return F.aggregate(found, F.array().cast(SPAN), step)
