@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from hanmaru.functions.lists import SURNAMES
 from hanmaru.functions.text import content_hash, squash
 from hanmaru.operators import corpus as C
 from hanmaru.plans.normalisation import SQUASH, fixture, sql_fixture
@@ -247,6 +248,42 @@ def schema_columns(spark: SparkSession, root: str) -> DataFrame:
     return inspected(table(spark, root, "collector_runs").drop("started_at", "finished_at"))
 
 
+def log_listing(spark: SparkSession, root: str) -> DataFrame:
+    """A page of the run log, newest first: fifty rows after the first ten."""
+    rows = table(spark, root, "collector_runs", "run_id", "source", "started_at", "status").dropDuplicates(["run_id"]).where("started_at is not null")
+    return rows.orderBy(F.desc("started_at"), F.desc("run_id")).offset(10).limit(50).select("run_id", "source", "status")
+
+
+def most_common(spark: SparkSession, root: str) -> DataFrame:
+    """The ten sources with most sentences; ties by name."""
+    return examples(spark, root, "source").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
+
+
+def separation(spark: SparkSession, root: str) -> DataFrame:
+    """Texts that both corpora hold: how many, and how many of either."""
+    gold = examples(spark, root, "sentence").select(content_hash(F.col("sentence")).alias("h")).where("h is not null").distinct()
+    weak = table(spark, root, "weak_examples", "sentence").select(content_hash(F.col("sentence")).alias("h")).where("h is not null").distinct()
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return count(gold, "gold").unionAll(count(weak, "weak")).unionAll(count(gold.intersect(weak), "both"))
+
+
+def judge_append(spark: SparkSession, root: str) -> DataFrame:
+    """A further layer's results joined to the cases by id, only where it is missing: layers of each case afterwards."""
+    rows = table(spark, root, "analyze_l0_deep", "id", "any_detected", "layer_results").dropDuplicates(["id"])
+    judge = rows.where("not any_detected").select("id", F.lit("judge").alias("layer"))
+    there = F.exists("layer_results", lambda x: x["layer"] == "judge")
+    names = F.transform(F.coalesce("layer_results", F.array().cast(rows.schema["layer_results"].dataType)), lambda x: x["layer"])
+    return rows.join(judge, "id", "left").select("id", F.array_join(F.array_sort(F.concat(names, F.when(F.col("layer").isNotNull() & ~F.coalesce(there, F.lit(False)), F.array("layer")).otherwise(F.array().cast("array<string>")))), ",").alias("layers"))
+
+
+def name_tiers(spark: SparkSession, root: str) -> DataFrame:
+    """Gazetteer names by form: script, length, family name of one or two syllables."""
+    v = F.trim("entry_value")
+    tier = F.when(v.rlike("[A-Za-z]"), "latin").when(v.rlike("^(남궁|황보|제갈|선우|독고|사공|서문)"), "double").when(v.rlike(f"^[{SURNAMES}][가-힣]{{2}}$"), "three").when(v.rlike(f"^[{SURNAMES}][가-힣]$"), "two").otherwise("other")
+    rows = table(spark, root, "gazetteers", "entity_type", "entry_value").where("entity_type = 'NAME' and trim(entry_value) <> ''")
+    return rows.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
 PAGES = ["<html><script>var a=1;</script><p>안녕 <b>하세요</b></p>\n\n<style>p{}</style><p>끝</p></html>", "", "plain", "<div></div>"]
 FEEDS = ["<rss><link>https://a.example/1</link><link>https://a.example/rss</link><link>https://a.example/1</link></rss>", '<feed><link rel="x" href="https://b.example/2"/></feed>', "none"]
 PATHS = ['{"a": [{"b": "x"}]}', '{"a": []}', "broken"]
@@ -264,6 +301,7 @@ QUERIES = {
     "corpus_stats": corpus_stats, "tag_counts": tag_counts, "bio_spans": bio_spans, "bio_names": bio_names, "bio_round_trip": bio_round_trip, "word_bio": word_bio, "weak_label": weak_labels, "dictionary_hits": dictionary_hits, "run_ledger": run_ledger, "upsert_last_wins": upsert,
     "run_gaps": run_gaps, "balanced_sample": balanced, "stratified_alloc": stratified_sizes, "stratified_sample": stratified, "negative_ratio": negatives, "first_sentences": first_sentences, "diversity_filter": diverse, "compose_records": composed_rows, "size_split": sized,
     "audit_sink": audit_sink, "insert_sink": insert_sink, "purge_sink": purge_sink, "stream_dedup": stream_dedup, "stream_mask": stream_mask, "stream_insert": stream_insert, "schema_inspect": schema_columns,
+    "log_listing": log_listing, "most_common": most_common, "separation_proof": separation, "judge_append": judge_append, "name_tiers": name_tiers,
     "html_body": fixture(PAGES, C.html_body), "rss_links": fixture(FEEDS, lambda c: F.array_join(C.rss_links(c), " ")), "json_path": fixture(PATHS, lambda c: F.get_json_object(c, "$.a[0].b")), "judge_rule": fixture(VERDICTS, judged),
 }
 HASH = "sha256(" + SQUASH.replace("{t}", "{c}") + ")"
@@ -298,6 +336,11 @@ ORACLES = {
     "purge_sink": "SELECT CASE WHEN source = (SELECT min(source) FROM ner_examples) THEN -id ELSE id END AS id, source FROM ner_examples WHERE source IS NOT NULL",
     "stream_dedup": "SELECT DISTINCT " + HASH.replace("{c}", "text") + " AS h FROM documents WHERE text IS NOT NULL AND collected_at IS NOT NULL",
     "stream_insert": "SELECT DISTINCT " + NER_HASH + " AS content_hash FROM weak_examples WHERE sentence IS NOT NULL",
+    "log_listing": f"SELECT run_id, source, status FROM {RUNS} WHERE started_at IS NOT NULL ORDER BY started_at DESC, run_id DESC LIMIT 50 OFFSET 10",
+    "most_common": "SELECT source, count(*) AS n FROM ner_examples GROUP BY source ORDER BY n DESC, source LIMIT 10",
+    "separation_proof": "WITH g AS (SELECT DISTINCT " + NER_HASH + " AS h FROM ner_examples WHERE sentence IS NOT NULL), w AS (SELECT DISTINCT " + NER_HASH + " AS h FROM weak_examples WHERE sentence IS NOT NULL) SELECT 'gold' AS part, count(*) AS n FROM g UNION ALL SELECT 'weak', count(*) FROM w UNION ALL SELECT 'both', count(*) FROM g JOIN w USING (h)",
+    "judge_append": "SELECT id, array_to_string(list_sort(list_concat([x.layer FOR x IN layer_results], CASE WHEN NOT any_detected THEN ['judge'] ELSE [] END)), ',') AS layers FROM (SELECT DISTINCT ON (id) id, any_detected, layer_results FROM analyze_l0_deep)",
+    "name_tiers": "SELECT CASE WHEN regexp_matches(v, '[A-Za-z]') THEN 'latin' WHEN regexp_matches(v, '^(남궁|황보|제갈|선우|독고|사공|서문)') THEN 'double' WHEN regexp_full_match(v, '[" + SURNAMES + "][가-힣]{2}') THEN 'three' WHEN regexp_full_match(v, '[" + SURNAMES + "][가-힣]') THEN 'two' ELSE 'other' END AS tier, count(*) AS n FROM (SELECT trim(entry_value) AS v FROM gazetteers WHERE entity_type = 'NAME' AND trim(entry_value) <> '') GROUP BY 1",
     "json_path": sql_fixture(PATHS, "CASE WHEN json_valid(value) THEN json_extract_string(value, '$.a[0].b') END"),
     "judge_rule": sql_fixture(VERDICTS, "CASE WHEN json_valid(value) THEN coalesce(CAST(json_extract_string(value, '$.contains_pii') AS BOOLEAN) AND CAST(json_extract_string(value, '$.confidence') AS DOUBLE) >= 0.7, false) ELSE false END"),
     "rss_links": sql_fixture(FEEDS, "coalesce(array_to_string([x FOR x IN (SELECT list(u ORDER BY i) FROM (SELECT u, min(i) AS i FROM (SELECT unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT list_concat(regexp_extract_all(value, '<link>\\s*(https?://[^<\\s]+)\\s*</link>', 1), regexp_extract_all(value, '<link[^>]+href=\"(https?://[^\"]+)\"', 1)) AS l)) GROUP BY u)) IF NOT contains(lower(x), 'rss')], ' '), '')"),
