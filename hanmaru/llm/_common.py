@@ -83,7 +83,8 @@ def bare(text: str) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     return named or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-checkpoints")
 
 
