@@ -22,7 +22,8 @@ LICENCES = ["CC-BY", "CC0"]
 
 def folder(spark: SparkSession) -> str:
     """A new folder where all executors can write."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-tables")
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-tables")
     path = f"{named}/hanmaru-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
