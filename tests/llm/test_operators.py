@@ -88,6 +88,18 @@ def test_copies_of_one_text_stay_linear_in_classes(spark):
     assert sum(r.class_id == 1 for r in rows) == 1000
 
 
+def test_many_copies_meet_in_their_first(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "WHOLE", 5)
+    rows = [(k, SENTENCES[0], 1 + k % 2) for k in range(1, 21)] + [(100, SENTENCES[0] + " 끝", 1), (101, SENTENCES[0] + " 끝", 2), (102, SENTENCES[1], 1)]
+    df = spark.createDataFrame(rows, "id long, sentence string, role int")
+    plain = near_dup.similarity_join(df, "id", near_dup.whitespace_normal(F.col("sentence")), near_dup.Settings(threshold=0.5))
+    got = [(r.id_a, r.id_b) for r in near_dup.row_pairs(plain).collect()]
+    assert sorted(got) == sorted([(1, k) for k in range(2, 21)] + [(1, 100), (1, 101), (100, 101)])
+    roles = near_dup.similarity_join(df, "id", near_dup.whitespace_normal(F.col("sentence")), near_dup.Settings(threshold=0.5), F.col("role"))
+    got = [(r.id_a, r.id_b) for r in near_dup.row_pairs(roles, cross=True).collect()]
+    assert sorted(got) == sorted({(1, 2)} | {(1, k) for k in range(4, 21, 2)} | {(2, k) for k in range(3, 21, 2)} | {(1, 100), (2, 101), (100, 101)})
+
+
 def test_roles_cross(spark):
     rows = [(1, SENTENCES[0], 1), (2, SENTENCES[0].replace(" ", "  ") + "!", 2), (3, SENTENCES[0] + " 끝", 1), (4, SENTENCES[1], 2), (5, SENTENCES[1].replace("첨부된", "정정된"), None), (6, SENTENCES[2], 2), (7, SENTENCES[2].replace("급히 ", ""), 1)]
     df = spark.createDataFrame(rows, "id long, sentence string, role int")
