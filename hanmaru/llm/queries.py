@@ -12,10 +12,10 @@ from hanmaru.llm._common import read
 
 #: Sentences have about a hundred 3-character sequences, bodies three times as many.
 VERSIONS = {
-    "ner_examples": near_dup.Settings(threshold=0.5, thin=3),
-    "weak_examples": near_dup.Settings(threshold=0.5, thin=9),
+    "ner_examples": near_dup.Settings(threshold=0.5, thin=3, shared=3),
+    "weak_examples": near_dup.Settings(threshold=0.5, thin=9, shared=3),
 }
-OVERLAPS = near_dup.Settings(threshold=0.6, gram=12, thin=2, share=0.7, shared=3, rounds=1)
+OVERLAPS = near_dup.Settings(threshold=0.6, gram=12, thin=2, share=0.7, shared=2, rounds=1)
 
 
 def versions(spark: SparkSession, root: str, name: str) -> near_dup.Join:
@@ -161,4 +161,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_scored": p8_scored,
     "p8_report": p8_report,
 }
-ORACLES: dict[str, str] = {}
+BARE = "regexp_replace(lower({c}), '[^\\p{L}\\p{N}]', '', 'g')"
+
+
+def looks_sql(table: str, column: str) -> str:
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in lookalike.HYPHENS)
+    narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide)
+    letters = "".join(lookalike.SHAPES)
+    from_ = lookalike.SPACES + lookalike.HYPHENS + letters + wide
+    to = " " * len(lookalike.SPACES) + "-" * len(lookalike.HYPHENS) + "".join(lookalike.SHAPES.values()) + narrow
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    form = f"nfc_normalize(translate({column}, {quote(from_ + lookalike.IGNORABLE)}, {quote(to)}))"
+    return f"SELECT '{table}' AS tbl, a.id AS key_a, b.id AS key_b FROM (SELECT DISTINCT id, {column} AS t, {form} AS f FROM {table} WHERE {column} IS NOT NULL) a JOIN (SELECT DISTINCT id, {column} AS t, {form} AS f FROM {table} WHERE {column} IS NOT NULL) b ON a.f = b.f AND a.id < b.id AND a.t <> b.t"
+
+
+RUNS_SQL = "SELECT DISTINCT {k}, substring(t, CAST(i AS INT), 40) AS g FROM (SELECT {k}, t, unnest(range(1, length(t) - 38)) AS i FROM (SELECT {k}, " + BARE.replace("{c}", "text") + " AS t FROM {n} WHERE text IS NOT NULL) WHERE length(t) >= 40)"
+ORACLES: dict[str, str] = {
+    "p4_found": " UNION ALL ".join(looks_sql(t, c) for t, c in LOOKS),
+    "p7_found": "SELECT DISTINCT doc_id, item_id FROM (" + RUNS_SQL.replace("{k}", "doc_id").replace("{n}", "documents") + ") d JOIN (" + RUNS_SQL.replace("{k}", "item_id").replace("{n}", "eval_items") + ") e ON d.g = e.g",
+}
