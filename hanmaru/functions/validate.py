@@ -56,7 +56,7 @@ def resident(value: Column, mode: str = "off", foreign: bool = False) -> Column:
     """13 digits with a real birth date; mode strict also wants the check digit."""
     d = digits(value)
     ok = d.rlike(r"^\d{13}$") & ~placeholder(d) & birth_date(d, foreign).isNotNull()
-    return ok & resident_check(d) if mode == "strict" else ok
+    return F.when(value.isNotNull(), ok & resident_check(d) if mode == "strict" else ok)
 
 
 def phone_class(value: Column) -> Column:
