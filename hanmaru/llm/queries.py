@@ -37,14 +37,13 @@ def split_role(hint: str) -> Column:
     return F.when(name.isin("train", "training"), 1).when(name.isin("val", "valid", "validation", "dev", "test"), 2)
 
 
-def overlaps(spark: SparkSession, root: str) -> DataFrame:
+def overlaps(spark: SparkSession, root: str) -> near_dup.Join:
     rows = read(spark, root, "ner_examples", "id", "sentence", "split_hint")
-    joined = near_dup.similarity_join(rows, "id", near_dup.letters_and_numbers(F.col("sentence")), OVERLAPS, split_role("split_hint"))
-    return near_dup.row_pairs(joined, cross=True)
+    return near_dup.similarity_join(rows, "id", near_dup.letters_and_numbers(F.col("sentence")), OVERLAPS, split_role("split_hint"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return overlaps(spark, root).select("id_a", "id_b")
+    return near_dup.every_pair(overlaps(spark, root)).select("id_a", "id_b")
 
 
 def p2_report(spark: SparkSession, root: str) -> DataFrame:
@@ -53,9 +52,7 @@ def p2_report(spark: SparkSession, root: str) -> DataFrame:
     split = F.lower(F.trim("split_hint"))
     split = F.when(split.isin("val", "valid", "validation", "dev"), "val").otherwise("test")
     held_out = rows.where(split_role("split_hint") == 2).select(F.col("id").alias("eval_id"), split.alias("split"), "source")
-    pairs = overlaps(spark, root)
-    ends = pairs.select(F.col("id_a").alias("eval_id"), "similarity").unionAll(pairs.select(F.col("id_b").alias("eval_id"), "similarity"))
-    best = ends.groupBy("eval_id").agg(F.max("similarity").alias("best"), F.count("*").alias("n"))
+    best = near_dup.overlap_counts(overlaps(spark, root)).withColumnRenamed("id", "eval_id")
     return (
         held_out.join(best, "eval_id", "left").groupBy("split", "source")
         .agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.count_if(F.col("best") == 1).alias("n_exact"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))

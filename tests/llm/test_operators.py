@@ -134,6 +134,20 @@ def test_many_copies_meet_in_their_first(spark, monkeypatch):
     assert sorted(got) == sorted({(1, 2)} | {(1, k) for k in range(4, 21, 2)} | {(2, k) for k in range(3, 21, 2)} | {(1, 100), (2, 101), (100, 101)})
 
 
+def test_no_overlapping_row_is_lost_among_many_copies(spark, tmp_path):
+    """601 evaluation copies and an almost equal training text; 501 training copies and two evaluation ones."""
+    spell = {1: ("train", " Training "), 2: ("val", "DEV"), 3: ("test", "test")}
+    rows = [(k, SENTENCES[0], 2) for k in range(1, 602)] + [(1000, SENTENCES[0] + " 끝", 1), (1001, SENTENCES[2], 3)]
+    rows += [(k, SENTENCES[1], 1) for k in range(2000, 2501)] + [(3000, SENTENCES[1], 3), (3001, SENTENCES[1] + "!", 3), (3002, SENTENCES[1] + " 끝", 2)]
+    df = spark.createDataFrame([(k, t, spell[r][k % 2], f"s{k % 2}") for k, t, r in rows], "id long, sentence string, split_hint string, source string")
+    df.write.parquet(f"{tmp_path}/ner_examples.parquet")
+    true = {(k, 1000) for k in range(1, 602)} | {(k, e) for k in range(2000, 2501) for e in (3000, 3001, 3002)}
+    got = [(r.id_a, r.id_b) for r in queries.p2_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(true) and set(got) == true
+    report = {(r.split, r.source): (r.n_rows, r.n_overlapping, r.n_exact, r.n_pairs) for r in queries.p2_report(spark, str(tmp_path)).collect()}
+    assert report == {("val", "s0"): (301, 301, 0, 300 + 501), ("val", "s1"): (301, 301, 0, 301), ("test", "s0"): (1, 1, 1, 501), ("test", "s1"): (2, 1, 1, 501)}
+
+
 def test_roles_cross(spark):
     rows = [(1, SENTENCES[0], 1), (2, SENTENCES[0].replace(" ", "  ") + "!", 2), (3, SENTENCES[0] + " 끝", 1), (4, SENTENCES[1], 2), (5, SENTENCES[1].replace("첨부된", "정정된"), None), (6, SENTENCES[2], 2), (7, SENTENCES[2].replace("급히 ", ""), 1)]
     df = spark.createDataFrame(rows, "id long, sentence string, role int")
