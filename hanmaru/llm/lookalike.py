@@ -23,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hanmaru.llm._common import stash
+
 # Letters of other scripts with the shape of a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTYX3aesijopcyxhdqwv"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρυκ", "ABEZHIKMNOPTYXovipuk"))
@@ -186,24 +188,24 @@ def canonical(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(rewritten, "text", "left").select("key", "text", F.coalesce("canonical", "text").alias("canonical"))
 
 
-#: Rows with one text up to which all take part in pairs; of more, the first one stands for them, and canonical() has all.
-WHOLE = 500
+#: Rows of one text that are paired at a time: a text under more keys is dealt over several tasks.
+BLOCK = 500
 
 
 def alike(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b), key_a < key_b: texts that differ and read the same.
 
-    Rows are paired by their canonical form; copies of a row under one key give no pair. See WHOLE for texts under very
-    many keys.
+    Rows are paired by their canonical form; copies of a row under one key give no pair. Every key of a text is paired,
+    so the pairs of two variants grow with the product of their rows.
     """
-    forms = canonical(df, key, text).where(F.col("text").isNotNull() & F.col("key").isNotNull()).distinct()
+    forms = stash(canonical(df, key, text).where(F.col("text").isNotNull() & F.col("key").isNotNull()).distinct())
     # Variants of a form meet as texts, so that copies under many keys aren't compared with each other.
-    variants = forms.select("canonical", "text").distinct()
-    a = variants.select("canonical", F.col("text").alias("text_a"))
-    b = variants.select("canonical", F.col("text").alias("text_b"))
-    pairs = a.join(b, "canonical").where("text_a <> text_b").select("text_a", "text_b")
-    keys = forms.groupBy("text").agg(F.count("*").alias("n"), F.min("key").alias("first"))
-    forms = forms.join(keys, "text").where((F.col("n") <= WHOLE) | (F.col("key") == F.col("first")))
-    left = forms.select(F.col("text").alias("text_a"), F.col("key").alias("key_a"))
-    right = forms.select(F.col("text").alias("text_b"), F.col("key").alias("key_b"))
-    return pairs.join(left, "text_a").join(right, "text_b").where("key_a < key_b").select("key_a", "key_b").distinct()
+    variants = forms.groupBy("canonical", "text").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    a, b = (variants.select("canonical", F.col("text").alias(f"text_{x}"), F.col("parts").alias(f"n_{x}")) for x in "ab")
+    pairs = a.join(b, "canonical").where("text_a <> text_b")
+    for x in "ab":
+        pairs = pairs.withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.col(f"n_{x}") - 1)))
+    many = variants.where("parts > 1").select("text", "parts")
+    forms = forms.join(many, "text", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
+    left, right = (forms.select(F.col("text").alias(f"text_{x}"), F.col("part").alias(f"part_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
+    return pairs.join(left, ["text_a", "part_a"]).join(right, ["text_b", "part_b"]).where("key_a < key_b").select("key_a", "key_b").distinct()

@@ -199,6 +199,13 @@ def test_look_alikes_pair_up(spark):
     assert lookalike.alike(df.limit(0), "id", "t").count() == 0
 
 
+def test_look_alikes_of_many_copies_pair_up(spark):
+    rows = [(f"a{k:04d}", "번호 ABC") for k in range(601)] + [(f"b{k:04d}", "번호 АBC") for k in range(502)] + [("a9", "번호 ＡBC"), ("c", "번호 abc")]
+    df = spark.createDataFrame([*rows, rows[0]], "id string, t string")
+    got = [(r.key_a, r.key_b) for r in lookalike.alike(df, "id", "t").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x, t in rows for y, u in rows if x < y and t != u and "c" not in (x, y)}
+
+
 def test_the_automaton_follows_shapes_only():
     trie = lookalike.Trie()
     for word, n in (("ABC", 3), ("ABD", 1), ("가나", 1)):
