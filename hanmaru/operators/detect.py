@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from hanmaru.functions import validate as V
 from hanmaru.functions.lists import COMPANIES, GIVEN_NAMES, HONORIFICS, HOSPITALS, LABELS, PARTICLES, RELATIONS, ROADS, SCHOOLS, SCORES, SURNAMES, UNITS
-from hanmaru.functions.text import let, literal, pieces
+from hanmaru.functions.text import let, literal, original_span, pieces, variants
 
 #: start, end: half open, in code points of the stored text.
 SPAN = "array<struct<start:int,end:int,text:string,entity:string,score:double,detector:string>>"
@@ -177,16 +177,39 @@ STRUCTURED = {
 DICTIONARY = {"address": addresses, "affiliation": affiliations, "relation": relations, "name": names}
 
 
+def restored(text: Column, variant: Column, found: Column) -> Column:
+    """Spans of a variant where they stand in the text, and with what stands there."""
+
+    def build(s: Column, place: Column) -> Column:
+        return F.struct(place["start"].alias("start"), place["end"].alias("end"), F.substring(text, place["start"] + 1, place["end"] - place["start"]).alias("text"), *(s[c].alias(c) for c in ("entity", "score", "detector")))
+
+    return F.transform(found, lambda s: let(original_span(variant["runs"], s["start"], s["end"]), lambda place: build(s, place))).cast(SPAN)
+
+
 def candidates(text: Column, detectors: Iterable[str] | None = None) -> Column:
     """All candidates of the named detectors (all by default), duplicates folded, by start, end and type.
 
-    A detector that isn't named isn't part of the plan. Null text gives null, empty text an empty array.
+    The text is scanned as it is, then its variants, whose spans go back to the offsets of the text: structured values in
+    all of them, words of the dictionaries in the folded text. A detector that isn't named isn't part of the plan. Null
+    text gives null, empty text an empty array.
     """
     known = STRUCTURED | DICTIONARY
-    unknown = set(detectors or ()) - set(known)
+    named = list(detectors or known)
+    unknown = set(named) - set(known)
     if unknown:
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
-    return fold(F.concat(*(known[name](text) for name in (detectors or known))))
+    scan = lambda names, t: F.concat(*(known[name](t) for name in names))
+    structured, dictionary = [n for n in named if n in STRUCTURED], [n for n in named if n in DICTIONARY]
+
+    def all_of(others: Column) -> Column:
+        parts = [scan(named, text)]
+        if structured:
+            parts.append(F.flatten(F.transform(others, lambda v: restored(text, v, scan(structured, v["text"])))))
+        if dictionary:
+            parts.append(F.flatten(F.transform(F.filter(others, lambda v: v["name"] == "folded"), lambda v: restored(text, v, scan(dictionary, v["text"])))))
+        return F.concat(*parts)
+
+    return fold(let(variants(text), all_of))
 
 
 def fold(found: Column) -> Column:

@@ -126,7 +126,8 @@ def masked(text: Column, found: Column) -> Column:
 
 def guarded(df: DataFrame, text: str = "text", target: str = "llm_input", detectors: list[str] | None = None) -> DataFrame:
     """df with spans, masked and blocked. One narrow pass; each step is a column of its own, so none is computed twice."""
-    steps = df.withColumn("spans", with_sentence(F.col(text), candidates(F.col(text), detectors)))
+    steps = df.withColumn("spans", candidates(F.col(text), detectors))
+    steps = steps.withColumn("spans", with_sentence(F.col(text), F.col("spans")))
     steps = steps.withColumn("spans", decided(resolved(suppressed(scored(F.col(text), F.col("spans")))), target))
     return steps.withColumn("masked", masked(F.col(text), F.col("spans"))).withColumn("blocked", F.exists("spans", lambda s: s["action"] == "BLOCK"))
 

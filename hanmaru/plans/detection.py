@@ -30,11 +30,9 @@ def case_spans(spark: SparkSession, root: str) -> DataFrame:
 
 
 def spans_of(name: str):  # type: ignore[no-untyped-def]
-    detector = (D.STRUCTURED | D.DICTIONARY)[name]
-
     def run(spark: SparkSession, root: str) -> DataFrame:
         rows = table(spark, root, "ner_examples", "id", "sentence")
-        found = rows.select("id", F.explode(detector(F.col("sentence"))).alias("s"))
+        found = rows.select("id", F.explode(D.candidates(F.col("sentence"), [name])).alias("s"))
         return found.select("id", "s.start", "s.end", "s.entity", "s.text", "s.score")
 
     return run

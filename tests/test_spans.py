@@ -76,6 +76,21 @@ def test_emails_equal_a_scan(spark):
         assert got[k] == [m.group() for m in re.finditer(r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", t or "")]
 
 
+SPELT = [
+    ("연락처 ０１０－１２３４－５６７８ 끝", "phone", "０１０－１２３４－５６７８"), ("연락처 010\u200b-12\u200b34-5678\u200b 끝", "phone", "010\u200b-12\u200b34-5678"), ("메일 a\u200bb＠c.example로", "email", "a\u200bb＠c.example"), ("연락처 010–1234–5678", "phone", "010–1234–5678"),
+    ("연락처: 공일공-일이삼사-오육칠팔입니다", "phone", "공일공-일이삼사-오육칠팔"), ("번호 0 1 0 1 2 3 4 5 6 7 8", "phone", "0 1 0 1 2 3 4 5 6 7 8"), ("여 권 번호 ＭM12345678 여권번호 Ｍ12345678", "document", "Ｍ12345678"), ("고객명 김민\u200b수님", "name", "김민\u200b수"), ("키 ①⑨②.168.0.1", "network", "①⑨②.168.0.1"),
+]
+
+
+def test_variants_are_scanned_and_spans_stand_in_the_text(spark):
+    for detector in {d for _, d, _ in SPELT}:
+        chosen = [(t, v) for t, d, v in SPELT if d == detector]
+        for row, (text, value) in zip(run(spark, [t for t, _ in chosen], detectors=[detector]), chosen):
+            assert [(s.text, s.start) for s in row.spans] == [(value, text.index(value))], text
+    masked = [r.masked for r in run(spark, [SPELT[0][0], SPELT[1][0]])]
+    assert masked == ["연락처 [PHONE_1] 끝", "연락처 [PHONE_1]\u200b 끝"]
+
+
 def test_audit_never_holds_the_value(spark):
     df = spark.createDataFrame([(1, TEXT)], "id int, text string")
     for row in S.audit(S.guarded(df), "id", b"k").collect():
