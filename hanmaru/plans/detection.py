@@ -44,7 +44,7 @@ def entity_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def email_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Addresses of all texts of both corpora, and where they stand."""
+    """Addresses of the sentences of ner_examples as they are, and where they stand; weak_examples isn't read."""
     texts = table(spark, root, "ner_examples", "id", "sentence").select("id", F.col("sentence").alias("text")).where("text is not null")
     return texts.select("id", F.explode(D.emails(F.col("text"))).alias("s")).select("id", F.col("s.text").alias("address"), "s.start")
 
