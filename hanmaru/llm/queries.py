@@ -77,13 +77,23 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 LOOKS = (("analyze_l0_deep", "mutated"), ("hard_cases_v0", "text"))
 
 
+def looks(spark: SparkSession, root: str) -> DataFrame:
+    return near_dup.union_all([read(spark, root, t, "id", c).select(F.lit(t).alias("tbl"), "id", F.col(c).alias("looks")) for t, c in LOOKS])
+
+
 def p4_canonical(spark: SparkSession, root: str) -> DataFrame:
-    """Every text of both tables in its consistent form."""
-    return near_dup.union_all([lookalike.canonical(read(spark, root, t, "id", c), "id", c).withColumn("tbl", F.lit(t)) for t, c in LOOKS])
+    """Every text of both tables in its consistent form, under one vocabulary."""
+    return lookalike.canonical(looks(spark, root), "id", "looks", "tbl")
+
+
+def p4_spellings(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens that had to be decided: how many by a word and by the table, and how many are spelt otherwise than the table has it."""
+    found = lookalike.spellings(looks(spark, root).where("looks is not null").select(F.col("looks").alias("text")))
+    return found.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("canonical") != lookalike.by_table(F.col("token"))).alias("n_unlike_table"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return near_dup.union_all([lookalike.alike(read(spark, root, t, "id", c), "id", c).select(F.lit(t).alias("tbl"), "key_a", "key_b") for t, c in LOOKS])
+    return lookalike.alike(looks(spark, root), "id", "looks", "tbl")
 
 
 TEXTS = (("ner_examples", "sentence"), ("weak_examples", "sentence"), ("hard_cases_v0", "text"))
@@ -148,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p4_spellings": p4_spellings,
     "p5_found": p5_found,
     "p5_masked": p5_masked,
     "p6_ids": p6_ids,
@@ -161,19 +172,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 BARE = "regexp_replace(lower({c}), '[^\\p{L}\\p{N}]', '', 'g')"
 
 
-def looks_sql(table: str, column: str) -> str:
+def form_sql(column: str) -> str:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in lookalike.HYPHENS)
     narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide)
     letters = "".join(lookalike.SHAPES)
     from_ = lookalike.SPACES + lookalike.HYPHENS + letters + wide
     to = " " * len(lookalike.SPACES) + "-" * len(lookalike.HYPHENS) + "".join(lookalike.SHAPES.values()) + narrow
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    form = f"nfc_normalize(translate({column}, {quote(from_ + lookalike.IGNORABLE)}, {quote(to)}))"
+    return f"nfc_normalize(translate({column}, {quote(from_ + lookalike.IGNORABLE)}, {quote(to)}))"
+
+
+def looks_sql(table: str, column: str) -> str:
+    form = form_sql(column)
     return f"SELECT '{table}' AS tbl, a.id AS key_a, b.id AS key_b FROM (SELECT DISTINCT id, {column} AS t, {form} AS f FROM {table} WHERE {column} IS NOT NULL) a JOIN (SELECT DISTINCT id, {column} AS t, {form} AS f FROM {table} WHERE {column} IS NOT NULL) b ON a.f = b.f AND a.id < b.id AND a.t <> b.t"
 
 
 RUNS_SQL = "SELECT DISTINCT {k}, substring(t, CAST(i AS INT), 40) AS g FROM (SELECT {k}, t, unnest(range(1, length(t) - 38)) AS i FROM (SELECT {k}, " + BARE.replace("{c}", "text") + " AS t FROM {n} WHERE text IS NOT NULL) WHERE length(t) >= 40)"
 ORACLES: dict[str, str] = {
     "p4_found": " UNION ALL ".join(looks_sql(t, c) for t, c in LOOKS),
+    "p4_canonical": " UNION ALL ".join(f"SELECT '{t}' AS tbl, id AS key, {c} AS text, {form_sql(c)} AS canonical FROM {t}" for t, c in LOOKS),
     "p7_found": "SELECT DISTINCT doc_id, item_id FROM (" + RUNS_SQL.replace("{k}", "doc_id").replace("{n}", "documents") + ") d JOIN (" + RUNS_SQL.replace("{k}", "item_id").replace("{n}", "eval_items") + ") e ON d.g = e.g",
 }

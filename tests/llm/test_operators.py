@@ -215,6 +215,37 @@ def test_the_automaton_follows_shapes_only():
     assert trie.accept("ABX", bound=1.0) == (1.0, "ABC") and trie.accept("", bound=0.0) is None
 
 
+def test_words_compete_for_a_token(spark):
+    """A stroke of another script stands for I or l: the vocabulary decides, then cost, then counts; else the table."""
+    trie = lookalike.Trie()
+    for word, n in (("lab", 9), ("IDlab", 1), ("lDlab", 5), ("Ivy", 1), ("lvy", 8), ("clay", 2)):
+        trie.add(word, n)
+    assert trie.accept("Ιab") == (0.25, "lab") and trie.accept("ІDІab") == (0.25, "IDlab")
+    assert trie.accept("Іvy") == (0.0, "Ivy") and trie.accept("cӀаy") == (0.25, "clay") and trie.accept("Іzz") is None
+    texts = ["lab note", "lab", "Ivy lvy lvy", "Ιab", "Іvy", "Іzz ​lab"]
+    df = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)], "id string, t string")
+    rows = {r.token: (r.canonical, r.word, lookalike.table_form(r.token)) for r in lookalike.spellings(df.select(F.col("t").alias("text"))).collect()}
+    assert rows == {"Ιab": ("lab", True, "Iab"), "Іvy": ("Ivy", True, "Ivy"), "Іzz": ("Izz", False, "Izz"), "​lab": ("lab", True, "lab")}
+    assert {(r.key_a, r.key_b) for r in lookalike.alike(df, "id", "t").collect()} == {("k1", "k3")}
+
+
+@pytest.mark.parametrize("words, at_once, dealt", [(1, 1, 1), (2, 3, 2), (20_000, 20_000, 50_000)])
+def test_decisions_do_not_depend_on_how_words_are_dealt(spark, monkeypatch, words, at_once, dealt):
+    for name, value in (("WORDS", words), ("AT_ONCE", at_once), ("DEALT", dealt)):
+        monkeypatch.setattr(lookalike, name, value)
+    base = ["case", "email", "lab", "Iab", "resume"]
+    odd = [w[:k] + "​" + w[k:] for w in base for k in range(len(w) + 1)] + ["cаse", "emаil"]
+    df = spark.createDataFrame([(t,) for t in base + odd], "text string")
+    got = {r.token: r.canonical for r in lookalike.spellings(df).collect()}
+    assert got == {t: lookalike.table_form(t) for t in odd}
+
+
+@given(st.text(max_size=12), st.sampled_from(sorted(lookalike.SECOND)))
+def test_all_readings_share_a_skeleton(text, char):
+    for reading, _ in lookalike.readings(char):
+        assert lookalike.skeleton(text + char) == lookalike.skeleton(text + reading)
+
+
 @given(st.text(max_size=30))
 def test_table_form_is_stable(text):
     assert lookalike.table_form(lookalike.table_form(text)) == lookalike.table_form(text)
