@@ -251,25 +251,61 @@ def test_table_form_is_stable(text):
     assert lookalike.table_form(lookalike.table_form(text)) == lookalike.table_form(text)
 
 
-def test_personal_values_held_out():
+def f1(gold, found):
+    return 2 * len(gold & found) / max(1, len(gold) + len(found))
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_personal_values_of_forms_never_seen(half):
+    """Half of the marked sentences teach, the other half is searched: no sentence form is in both."""
     train, test = pii.Writer(11), pii.Writer(99)
-    finder = pii.Finder(pii.fit([train.sentence(f) for f in pii.MARKED for _ in range(12)]))
-    cases = [test.sentence(f) for f in pii.MARKED for _ in range(4)]
-    got = finder.find([t for t, _ in cases])
+    seen, other = pii.MARKED[half::2], pii.MARKED[1 - half :: 2]
+    loose = [train.anywhere(kind) for kind in ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS") for _ in range(pii.ANYWHERE)]
+    finder = pii.Finder(pii.fit([train.sentence(f) for f in seen for _ in range(pii.FILLS)] + loose + [(t, []) for t in pii.UNMARKED]))
+    cases = [test.sentence(f) for f in other for _ in range(4)]
     gold = {(k, kind, a, b) for k, (_, spans) in enumerate(cases) for a, b, kind in spans}
-    found = {(k, *s) for k, spans in enumerate(got) for s in spans}
-    assert len(gold & found) / len(gold) > 0.95 and len(gold & found) / len(found) > 0.95
+    found = {(k, *s) for k, spans in enumerate(finder.find([t for t, _ in cases])) for s in spans}
+    of = lambda kinds, values: {v for v in values if v[1] in kinds}
+    assert f1(of(("EMAIL", "PHONE", "ID_NUMBER"), gold), of(("EMAIL", "PHONE", "ID_NUMBER"), found)) > 0.8
+    assert f1(of(("ADDRESS",), gold), of(("ADDRESS",), found)) > 0.6 and f1(of(("NAME",), gold), of(("NAME",), found)) > 0.4
+
+
+def test_no_marked_sentence_stems_from_the_tables():
+    import duckdb
+
+    root = "/root/testdata/sf0.01"
+    texts = "\n".join(x[0] for t, c in queries.TEXTS for x in duckdb.execute(f"SELECT {c} FROM '{root}/{t}.parquet' WHERE {c} IS NOT NULL").fetchall())
+    for form in (*pii.MARKED, *pii.UNMARKED):
+        assert not [p for p in re.split(r"\{\w+\}", form) if len(p.strip()) > 5 and p in texts], form
+
+
+def test_values_are_exchanged_in_place():
+    rows = [("김민수는 010-1-2 씀", [(0, 3, "NAME"), (5, 12, "PHONE")]), ("이수지는 왔다", [(0, 3, "NAME")]), ("박하늘은 갔다", [(0, 3, "NAME")])]
+    made = pii.exchanged(rows, 20)
+    assert len(made) == 60 and all(text[a:b] in ("김민수", "이수지", "박하늘", "010-1-2") for text, spans in made for a, b, _ in spans)
+    assert {t for t, _ in made if "갔다" in t} == {"박하늘은 갔다"} and {t for t, _ in made if "왔다" in t} == {"이수지는 왔다", "김민수는 왔다"}
+    assert pii.exchanged([], 5) == [] and pii.exchanged([("", [])], 2) == [("", []), ("", [])]
+
+
+def test_texts_that_need_no_search_hold_nothing():
+    """Skipping by the bound changes nothing: all texts searched give the same spans."""
+    field = pii.fit(pii.learned_from([]))
+    quick, whole = pii.Finder(field), pii.Finder(field)
+    whole.most_gained = 1e9
+    writer = pii.Writer(5)
+    texts = [writer.sentence(f)[0] for f in pii.MARKED] + list(pii.UNMARKED) + ["그냥 글", "", "a"]
+    assert quick.find(texts) == whole.find(texts)
 
 
 def test_personal_values_in_rows(spark):
-    values = ["문의는 010-1234-5678으로 또는 a.b@mail.example 남겨 주십시오.", "０１０-１２３４-５６７８ 이 번호로 문자가 왔습니다.", "계​정 seul⁠@nae.example은 잠겨 있습니다.", "접수번호 2020-1294-0332 확인", "", None, "가" * 30_000]
+    values = ["급한 일은 010-1234-5678에 또는 a.b@mail.example 앞으로", "０１０-１２３４-５６７８에 전화하세요.", "제 메일 seul⁠@nae.example을 봐 주세요.", "주문번호 20200301-0332 확인", "", None, "가" * 30_000, "제 메일 seul⁠@nae.example을 봐 주세요."]
     df = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(values)], "id int, t string, text string, spans string")
-    writer = pii.Writer(11)
-    spotted = pii.found(df, "id", "t", pii.fit([writer.sentence(f) for f in pii.MARKED for _ in range(8)]))
+    spotted = pii.found(df, "id", "t", pii.fit(pii.learned_from([])))
     got = {(int(r.row_key), s.pii_type, values[int(r.row_key)][s.pos_from : s.pos_to]) for r in spotted.collect() for s in r.spans}
-    assert got == {(0, "PHONE", "010-1234-5678"), (0, "EMAIL", "a.b@mail.example"), (1, "PHONE", "０１０-１２３４-５６７８"), (2, "EMAIL", "seul⁠@nae.example")}
+    assert got == {(0, "PHONE", "010-1234-5678"), (0, "EMAIL", "a.b@mail.example"), (1, "PHONE", "０１０-１２３４-５６７８"), (2, "EMAIL", "seul⁠@nae.example"), (7, "EMAIL", "seul⁠@nae.example")}
     masked = {int(r.row_key): r.masked for r in pii.masked(spotted).collect()}
-    assert masked[0] == "문의는 [PHONE]으로 또는 [EMAIL] 남겨 주십시오." and masked[1] == "[PHONE] 이 번호로 문자가 왔습니다."
+    assert masked[0] == "급한 일은 [PHONE]에 또는 [EMAIL] 앞으로" and masked[1] == "[PHONE]에 전화하세요."
+    assert pii.found(df.limit(0), "id", "t", pii.fit(pii.learned_from([]))).count() == 0
 
 
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=40))
@@ -343,9 +379,12 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
 
 
 def test_truncation_on_made_cuts(spark):
-    writer = pii.Writer(3)
-    sentences = [x for x in (writer.filler() for _ in range(4000)) if x.endswith(".")]
-    complete = [" ".join(writer.pick(sentences) for _ in range(6)) + tail for tail in ("", "", "", " 감사합니다.", "\n이상 끝", "\n#별빛 #신청서") for _ in range(120)]
+    rng = np.random.default_rng(3)
+    pick = lambda options: options[int(rng.integers(0, len(options)))]
+    who, when = ("조합원", "주민 대표", "시설 담당", "구청 직원", "교장", "입찰 업체", "방문객", "의사"), ("지난봄", "어제 아침", "3월 4일", "퇴근 무렵", "장날", "올해 초")
+    what, did = ("도로 공사 일정", "급식 예산", "주차 요금표", "회의 기록", "수도 요금 고지서", "예방 접종 명단", "동네 소식지"), ("꼼꼼히 살폈습니다", "다시 나누어 주었다", "미루기로 했다", "모두에게 알렸습니다", "고쳐 적었다", "받아들이지 않았습니다")
+    sentences = [f"{pick(when)} {pick(who)}이 {pick(what)}를 {pick(did)}." for _ in range(2000)]
+    complete = [" ".join(pick(sentences) for _ in range(6)) + tail for tail in ("", "", "", " 감사합니다.", "\n이상 끝", "\n#별빛 #신청서") for _ in range(120)]
     rng = np.random.default_rng(1)
     cut = []
     while len(cut) < 80:
