@@ -12,10 +12,10 @@ from hanmaru.llm._common import read
 
 #: Sentences have about a hundred 3-character sequences, bodies three times as many.
 VERSIONS = {
-    "ner_examples": near_dup.Settings(threshold=0.5, thin=3, shared=3),
-    "weak_examples": near_dup.Settings(threshold=0.5, thin=9, shared=3),
+    "ner_examples": near_dup.Settings(threshold=0.5, thin=3, shared=4),
+    "weak_examples": near_dup.Settings(threshold=0.5, thin=9, shared=4),
 }
-OVERLAPS = near_dup.Settings(threshold=0.6, gram=12, thin=2, share=0.7, shared=2, rounds=1)
+OVERLAPS = near_dup.Settings(threshold=0.6, thin=2, shared=3)
 
 
 def versions(spark: SparkSession, root: str, name: str) -> near_dup.Join:

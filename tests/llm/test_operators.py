@@ -97,6 +97,53 @@ def test_near_duplicates_equal_brute_force(spark, threshold):
     assert set(got) == brute_pairs(rows, threshold, lambda t: re.sub(r"\s+", " ", t).strip())
 
 
+def test_the_exact_setting_misses_nothing(spark):
+    """Changes at every eighth character leave no long gram in common; the exact prefix finds the pairs all the same."""
+    rng = np.random.default_rng(6)
+    letters = list("가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허")
+    rows = []
+    for k in range(30):
+        text = "".join(rng.choice(letters, 90))
+        changed = "".join(c if (j + 1) % (8 + k % 6) else "#" for j, c in enumerate(text))
+        rows += [(2 * k, text), (2 * k + 1, changed)]
+    df = spark.createDataFrame(rows, "id long, sentence string")
+    for threshold in (0.5, 0.6):
+        join = near_dup.similarity_join(df, "id", F.col("sentence"), near_dup.Settings(threshold=threshold, exact=True))
+        assert {(r.id_a, r.id_b) for r in near_dup.row_pairs(join).collect()} == brute_pairs(rows, threshold, str)
+
+
+def test_texts_of_one_template_meet_though_all_their_grams_are_frequent(spark):
+    rng = np.random.default_rng(7)
+    body = "".join(rng.choice(list("가나다라마바사아자차카타파하"), 110))
+    rows = [(k, f"{body[:70]}{int(rng.integers(10**5, 10**6))}{body[70:]}") for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, sentence string")
+    join = near_dup.similarity_join(df, "id", F.col("sentence"), near_dup.Settings(threshold=0.5))
+    assert {(r.id_a, r.id_b) for r in near_dup.row_pairs(join).collect()} == brute_pairs(rows, 0.5, str)
+    rows_ = near_dup.prefixed(join.texts, near_dup.Settings(threshold=0.5), False).collect()
+    groups = {(tuple(r.prefix), r.n_shared) for r in rows_}
+    assert len(rows_) == 80 and len(groups) <= 60  # texts with equal prefixes and sizes are one group
+
+
+def test_a_common_phrase_brings_nobody_together(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"), n))
+    footer = word(30)
+    texts = [word(90) + footer for _ in range(400)] + ["아" * n for n in range(60, 100)] + [word(40) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, sentence string")
+    s = near_dup.Settings(threshold=0.5, thin=9)
+    join = near_dup.similarity_join(df, "id", F.col("sentence"), s)
+    assert near_dup.candidates(join.texts, s, False).count() <= 40 * 39 / 2
+    assert {(r.id_a, r.id_b) for r in near_dup.row_pairs(join).collect()} == brute_pairs(list(enumerate(texts)), 0.5, str)
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_meetings_are_all_pairs_of_a_key(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    df = spark.createDataFrame([(1, k) for k in range(17)] + [(2, k) for k in range(2)] + [(3, 5)], "k long, v long")
+    got = [(r.va, r.vb) for r in near_dup.meetings(df, "k", "v", []).collect()]
+    assert sorted(got) == sorted([(a, b) for a in range(17) for b in range(a + 1, 17)] + [(0, 1)])
+
+
 def test_classes_are_the_components(spark):
     rows = versions()
     df = spark.createDataFrame(rows, "id long, sentence string")
