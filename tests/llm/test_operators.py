@@ -136,10 +136,9 @@ def test_a_common_phrase_brings_nobody_together(spark):
     assert {(r.id_a, r.id_b) for r in near_dup.row_pairs(join).collect()} == brute_pairs(list(enumerate(texts)), 0.5, str)
 
 
-@pytest.mark.parametrize("block", [3, 500])
-def test_meetings_are_all_pairs_of_a_key(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dup, "BLOCK", block)
-    df = spark.createDataFrame([(1, k) for k in range(17)] + [(2, k) for k in range(2)] + [(3, 5)], "k long, v long")
+@pytest.mark.parametrize("parts", [1, 2, 6])
+def test_meetings_are_all_pairs_of_a_key(spark, parts):
+    df = spark.createDataFrame([(1, k, parts) for k in range(17)] + [(2, k, 1) for k in range(2)] + [(3, 5, 2)], "k long, v long, parts int")
     got = [(r.va, r.vb) for r in near_dup.meetings(df, "k", "v", []).collect()]
     assert sorted(got) == sorted([(a, b) for a in range(17) for b in range(a + 1, 17)] + [(0, 1)])
 
