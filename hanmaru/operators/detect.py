@@ -1,14 +1,23 @@
-"""Detectors: each turns a text column into an array of candidate spans, inside the row and without a UDF."""
+"""Detectors: each turns a text column into an array of candidate spans, inside the row.
+
+One Arrow pass scans a batch of texts and their variants with compiled patterns and notes the labels that stand before a
+match; validators are column expressions over the few matches that are left. (The same patterns as nested array
+expressions, which the JVM interprets, took ten times as long.)
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ipaddress
+import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from hanmaru.functions import validate as V
 from hanmaru.functions.lists import COMPANIES, GIVEN_NAMES, HONORIFICS, HOSPITALS, LABELS, PARTICLES, RELATIONS, ROADS, SCHOOLS, SCORES, SURNAMES, UNITS
-from hanmaru.functions.text import let, literal, original_span, pieces, variants
+from hanmaru.functions.text import let, literal, variants_of
 
 #: start, end: half open, in code points of the stored text.
 SPAN = "array<struct<start:int,end:int,text:string,entity:string,score:double,detector:string>>"
@@ -19,174 +28,186 @@ def either(terms: Iterable[str]) -> str:
     return "(?:" + "|".join(r"\s*".join(map(literal, t.split())) for t in sorted(terms, key=len, reverse=True)) + ")"
 
 
-TRAILER = r"\s*(?::|#|-|은|는|이|가)?\s*$"
-
-
-def labelled(text: Column, start: Column, group: str, window: int = 64) -> Column:
-    """Whether a label of a group stands right before a place."""
-    before = F.substring(text, F.greatest(start - window + 1, F.lit(1)), F.least(start, F.lit(window)))
-    return before.rlike("(?i)" + either(LABELS[group]) + TRAILER)
-
-
-def in_field(text: Column, start: Column, group: str, window: int = 64) -> Column:
-    """Whether a label of a group occurs between the last separator and a place."""
-    before = F.substring(text, F.greatest(start - window + 1, F.lit(1)), F.least(start, F.lit(window)))
-    return F.regexp_extract(before, r"[^\n\r,;.|]*$", 0).rlike("(?i)" + either(LABELS[group]))
-
-
-def spans(text: Column, pattern: str, detector: str, entity: Callable[[Column], Column] | str, score: Callable[[Column], Column] | float, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Matches of a pattern as candidate spans; entity, score and keep see the match."""
-
-    def build(p: Column) -> Column:
-        kind = F.lit(entity) if isinstance(entity, str) else entity(p)
-        value = F.lit(float(score)) if isinstance(score, (int, float)) else score(p)
-        return F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), kind.alias("entity"), value.cast("double").alias("score"), F.lit(detector).alias("detector"))
-
-    found = pieces(text, pattern)
-    if keep:
-        found = F.filter(found, keep)
-    return F.filter(F.transform(found, build), lambda s: s["entity"].isNotNull()).cast(SPAN)
-
-
-def of_value(text: Column, label: str, value: str, detector: str, entity: str) -> Column:
-    """label, separator, value: the span of the value alone, which ends the match."""
-    found = pieces(text, f"(?i){label}\\s*(?::|#|-|=|은|는|이|가)?\\s*{value}")
-    inner = F.transform(found, lambda p: F.struct(p["start"].alias("s"), p["end"].alias("e"), F.regexp_extract(p["text"], f"(?i)({value})$", 1).alias("v")))
-    return F.transform(inner, lambda p: F.struct((p["e"] - F.length(p["v"])).alias("start"), p["e"].alias("end"), p["v"].alias("text"), F.lit(entity).alias("entity"), F.lit(SCORES[entity]).alias("score"), F.lit(detector).alias("detector"))).cast(SPAN)
-
-
-def registration(text: Column) -> Column:
-    """Resident and foreigner registration numbers."""
-    entity = lambda p: F.when(V.resident(p["text"]), "RRN").when(V.resident(p["text"], foreign=True), "FRN")
-    keep = lambda p: ~labelled(text, p["start"], "corporate") | labelled(text, p["start"], "personal")
-    return spans(text, r"(?<!\d)\d{6}\s*-?\s*\d{7}(?!\d)", "regex.registration", entity, SCORES["RRN"], keep)
-
-
-def phones(text: Column) -> Column:
-    kind = lambda p: V.phone_class(p["text"])
-    score = lambda p: F.when(V.phone_class(p["text"]) == "PHONE_MOBILE", SCORES["PHONE_MOBILE"]).otherwise(SCORES["PHONE_LANDLINE"])
-    return spans(text, r"(?<!\d)0\d{1,2}[\s-]?\d{3,4}[\s-]?\d{4}(?!\d)", "regex.phone", kind, score, lambda p: ~labelled(text, p["start"], "order", 32))
-
-
-def emails(text: Column) -> Column:
-    return spans(text, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "regex.email", "EMAIL", SCORES["EMAIL"], lambda p: V.email(p["text"]))
-
-
-def networks(text: Column) -> Column:
-    v4 = spans(
-        text, r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)(?!\.\d)", "regex.network.ipv4", lambda p: F.when(V.ipv4_class(p["text"]).isNotNull(), "IP_ADDRESS"),
-        lambda p: F.when(V.ipv4_class(p["text"]) == "private", SCORES["IP_PRIVATE"]).otherwise(SCORES["IP_PUBLIC"]),
-    )
-    macs = spans(text, r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f])", "regex.network.mac", "MAC_ADDRESS", SCORES["MAC_ADDRESS"], lambda p: V.mac(p["text"]).isNotNull())
-    return F.concat(v4, macs)
-
-
-def cards(text: Column) -> Column:
-    """13 to 19 digits; a separator behind the last digit belongs to the match."""
-    keep = lambda p: V.card(p["text"]) & ~labelled(text, p["start"], "corporate") & ~labelled(text, p["start"], "business") & ~labelled(text, p["start"], "order", 32) & ~in_field(text, p["start"], "account")
-    return spans(text, r"(?<!\d)(?:\d[\s-]?){13,19}(?!\d)", "regex.credit_card", "CREDIT_CARD", SCORES["CREDIT_CARD"], keep)
-
-
-def businesses(text: Column) -> Column:
-    keep = lambda p: V.business(p["text"]) & V.phone_class(p["text"]).isNull() & ~labelled(text, p["start"], "order", 32) & ~labelled(text, p["start"], "record")
-    return spans(text, r"(?<!\d)\d{3}-?\d{2}-?\d{5}(?!\d)", "regex.business_reg_no", "BUSINESS_REG_NO", SCORES["BUSINESS_REG_NO"], keep)
-
-
-def documents(text: Column) -> Column:
-    """Numbers that count only behind their label, and those of corporations."""
-    return F.concat(
-        spans(text, r"(?i)(?<![A-Z0-9])[A-Z]\d{8}(?![A-Z0-9])", "regex.passport", "PASSPORT", SCORES["PASSPORT"], lambda p: labelled(text, p["start"], "passport")),
-        spans(text, r"(?<!\d)\d{2}-\d{2}-\d{6}-\d{2}(?!\d)", "regex.driver_license", "DRIVER_LICENSE", SCORES["DRIVER_LICENSE"], lambda p: labelled(text, p["start"], "licence")),
-        spans(text, r"(?<!\d)(?:110111|110114|110115|110121|134511)-?\d{7}(?!\d)", "regex.corporate_reg_no", "CORPORATE_REG_NO", SCORES["CORPORATE_REG_NO"]),
-    )
-
-
-def labelled_values(text: Column) -> Column:
-    return F.concat(
-        of_value(text, either(LABELS["record"]), r"MR-\d{4}-\d{6}", "regex.medical_record_no", "MEDICAL_RECORD_NO"),
-        of_value(text, either(["생년월일", "생일", "출생일", "DOB", "date of birth"]), r"(?:(?:19|20)\d{2}\s*년\s*\d{1,2}\s*월\s*\d{1,2}\s*일|(?:19|20)\d{2}-\d{2}-\d{2})", "regex.dob", "DOB"),
-        of_value(text, either(["기기번호", "단말기 ID", "디바이스 ID", "device id"]), r"device-[A-Za-z0-9-]{8,}", "regex.device_id", "DEVICE_ID"),
-        of_value(text, either(["차량번호", "차량 등록번호", "vehicle no"]), r"\d{2,3}[가-힣]\d{4}", "regex.vehicle_reg_no", "VEHICLE_REG_NO"),
-    )
-
-
-def accounts(text: Column) -> Column:
-    keep = lambda p: p["text"].rlike("[- ]") & V.bank_layout(p["text"]).isNotNull() & V.phone_class(p["text"]).isNull() & ~labelled(text, p["start"], "order", 32)
-    return spans(text, r"(?<!\d)\d{2,6}(?:[- ]\d{1,7}){1,4}(?!\d)", "regex.bank_account", "BANK_ACCOUNT", SCORES["BANK_ACCOUNT"], keep)
-
-
-def secrets(text: Column) -> Column:
-    pattern = r"(?<![A-Za-z0-9_=-])(?:sk-[A-Za-z0-9_=-]{16,}|gh[po]_[A-Za-z0-9]{16,}|xox[bp]-[A-Za-z0-9-]{16,}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9_=-])"
-    return spans(text, pattern, "regex.secret", "API_KEY_SECRET", SCORES["API_KEY_SECRET"], lambda p: V.secret(p["text"]))
-
-
-def outside(found: Column, taken: Column) -> Column:
-    """The spans that lie in none of the taken ones."""
-    return F.filter(found, lambda s: ~F.exists(taken, lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"])))
-
-
-def joined(taken: Column, more: Column) -> Column:
-    """taken, and what of more lies in none of it."""
-    return let(taken, lambda t: F.concat(t, outside(more, t)))
-
-
 AFTER = f"(?=(?:{either([*PARTICLES, *HONORIFICS])})*(?:[^가-힣]|$))"
+#: A number behind a road or unit, with house, building, room and floor as far as they follow.
+TRAILER = r"\s*\d{1,4}(?:\s*-\s*\d{1,4})?(?:\s*번지)?(?:\s+\d{1,3}\s*동)?(?:\s+\d{1,4}\s*호)?(?:\s+\d{1,3}\s*층)?"
+SEPARATOR = r"\s*(?::|#|-|=|은|는|이|가)?\s*"
+# Patterns by rule. A group v, where there is one, is the value.
+PATTERNS = {
+    "registration": r"(?<!\d)\d{6}\s*-?\s*\d{7}(?!\d)",
+    "phone": r"(?<!\d)0\d{1,2}[\s-]?\d{3,4}[\s-]?\d{4}(?!\d)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "network.ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)(?!\.\d)",
+    "network.ipv6": r"(?<![A-Fa-f0-9:])(?:[A-Fa-f0-9]{0,4}:){2,}[A-Fa-f0-9:]{0,4}(?![A-Fa-f0-9:])",
+    "network.mac": r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f])",
+    "credit_card": r"(?<!\d)(?:\d[\s-]?){13,19}(?!\d)",
+    "business_reg_no": r"(?<!\d)\d{3}-?\d{2}-?\d{5}(?!\d)",
+    "passport": r"(?i)(?<![A-Z0-9])[A-Z]\d{8}(?![A-Z0-9])",
+    "driver_license": r"(?<!\d)\d{2}-\d{2}-\d{6}-\d{2}(?!\d)",
+    "corporate_reg_no": r"(?<!\d)(?:110111|110114|110115|110121|134511)-?\d{7}(?!\d)",
+    "medical_record_no": f"(?i){either(LABELS['record'])}{SEPARATOR}(?P<v>MR-\\d{{4}}-\\d{{6}})",
+    "dob": f"(?i){either(['생년월일', '생일', '출생일', 'DOB', 'date of birth'])}{SEPARATOR}(?P<v>(?:19|20)\\d{{2}}\\s*년\\s*\\d{{1,2}}\\s*월\\s*\\d{{1,2}}\\s*일|(?:19|20)\\d{{2}}-\\d{{2}}-\\d{{2}})",
+    "device_id": f"(?i){either(['기기번호', '단말기 ID', '디바이스 ID', 'device id'])}{SEPARATOR}(?P<v>device-[A-Za-z0-9-]{{8,}})",
+    "vehicle_reg_no": f"(?i){either(['차량번호', '차량 등록번호', 'vehicle no'])}{SEPARATOR}(?P<v>\\d{{2,3}}[가-힣]\\d{{4}})",
+    "bank_account": r"(?<!\d)\d{2,6}(?:[- ]\d{1,7}){1,4}(?!\d)",
+    "secret": r"(?<![A-Za-z0-9_=-])(?:sk-[A-Za-z0-9_=-]{16,}|gh[po]_[A-Za-z0-9]{16,}|xox[bp]-[A-Za-z0-9-]{16,}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9_=-])",
+    "address": f"{either(UNITS)}{AFTER}(?:\\s+{either(UNITS)}{AFTER})*(?:\\s*{either(ROADS)}(?:{TRAILER})?)?",
+    "address.road": f"(?<![가-힣]){either(ROADS)}{TRAILER}",
+    "address.room": rf"(?<!\d)(?:\d{{1,3}}\s*동\s+)?\d{{1,4}}\s*호(?!\d)(?=(?:{either(PARTICLES)})*(?:[^가-힣]|$))",
+    "school": f"[가-힣A-Za-z0-9]+{either(SCHOOLS)}(?=(?:{either(PARTICLES)})*(?:[^가-힣A-Za-z0-9]|$))",
+    "hospital": f"[가-힣A-Za-z0-9]+{either(HOSPITALS)}(?=(?:{either(PARTICLES)})*(?:[^가-힣A-Za-z0-9]|$))",
+    "organization": f"[가-힣A-Za-z0-9]+{either(COMPANIES)}(?=(?:{either(PARTICLES)})*(?:[^가-힣A-Za-z0-9]|$))",
+    "relation": either(RELATIONS),
+    "full_name": f"(?<![가-힣])[{SURNAMES}]{either(GIVEN_NAMES)}{AFTER}",
+    "given_name": f"(?<![가-힣]){either(n for n in GIVEN_NAMES if len(n) > 1)}{AFTER}",
+}
+#: Detectors: the rules of each. What an earlier rule of a dictionary has found hides what a later one finds inside it.
+STRUCTURED = {
+    "registration": ("registration",), "phone": ("phone",), "email": ("email",), "network": ("network.ipv4", "network.ipv6", "network.mac"), "card": ("credit_card",), "business": ("business_reg_no",),
+    "document": ("passport", "driver_license", "corporate_reg_no"), "labelled": ("medical_record_no", "dob", "device_id", "vehicle_reg_no"), "account": ("bank_account",), "secret": ("secret",),
+}
+DICTIONARY = {"address": ("address", "address.road", "address.room"), "affiliation": ("school", "hospital", "organization"), "relation": ("relation",), "name": ("full_name", "given_name")}
+WINDOW = {"order": 32}
 
 
-def addresses(text: Column) -> Column:
-    """Chains of administrative units, with road, number and room if they follow; roads with a number; rooms."""
-    trailer = r"\s*\d{1,4}(?:\s*-\s*\d{1,4})?(?:\s*번지)?(?:\s+\d{1,3}\s*동)?(?:\s+\d{1,4}\s*호)?(?:\s+\d{1,3}\s*층)?"
-    unit, road = either(UNITS) + AFTER, either(ROADS)
-    chain = f"{unit}(?:\\s+{unit})*(?:\\s*{road}(?:{trailer})?)?"
-    numbered = f"(?:{road}){trailer}"
-    kind = lambda p: F.when(p["text"].rlike(numbered + "$"), "ADDRESS_FULL").otherwise("ADDRESS_UNIT")
-    score = lambda p: F.when(p["text"].rlike(numbered + "$"), SCORES["road"]).otherwise(SCORES["unit"])
-    chains = spans(text, chain, "dictionary.address", kind, score)
-    others = F.concat(
-        spans(text, f"(?<![가-힣]){numbered}", "dictionary.address.road", "ADDRESS_FULL", SCORES["road"]),
-        spans(text, rf"(?<!\d)(?:\d{{1,3}}\s*동\s+)?\d{{1,4}}\s*호(?!\d)(?=(?:{either(PARTICLES)})*(?:[^가-힣]|$))", "dictionary.address.room", "ADDRESS_UNIT", SCORES["apartment"]),
-    )
-    return joined(chains, others)
-
-
-def affiliations(text: Column) -> Column:
-    """Words that end in a school, hospital or company ending; the first of these kinds wins."""
-    parts = [(SCHOOLS, "SCHOOL", "school"), (HOSPITALS, "HOSPITAL", "hospital"), (COMPANIES, "ORGANIZATION", "organization")]
-    seen = F.array().cast(SPAN)
-    for endings, entity, score in parts:
-        found = spans(text, f"[가-힣A-Za-z0-9]+{either(endings)}(?=(?:{either(PARTICLES)})*(?:[^가-힣A-Za-z0-9]|$))", f"dictionary.{score}", entity, SCORES[score])
-        seen = joined(seen, found)
-    return seen
+@lru_cache(maxsize=None)
+def compiled(rule: str) -> re.Pattern:
+    return re.compile(PATTERNS[rule], re.ASCII)
 
 
-def relations(text: Column) -> Column:
-    return spans(text, either(RELATIONS), "dictionary.relation", "FAMILY_RELATION", SCORES["relation"])
+@lru_cache(maxsize=None)
+def label_before(group: str) -> re.Pattern:
+    """A label of a group right before a place."""
+    return re.compile("(?i)" + either(LABELS[group]) + r"\s*(?::|#|-|은|는|이|가)?\s*$", re.ASCII)
 
 
-def names(text: Column) -> Column:
-    """Given names of the list: with a family name before it a full name; alone only from two syllables on."""
-    given = either(GIVEN_NAMES)
-    full = spans(text, f"(?<![가-힣])[{SURNAMES}]{given}{AFTER}", "dictionary.full_name", "PERSON_NAME", SCORES["full"])
-    bare = spans(text, f"(?<![가-힣]){either(n for n in GIVEN_NAMES if len(n) > 1)}{AFTER}", "dictionary.given_name", "PERSON_NAME", SCORES["given"])
-    return joined(full, bare)
+@lru_cache(maxsize=None)
+def label_anywhere(group: str) -> re.Pattern:
+    return re.compile("(?i)" + either(LABELS[group]))
 
 
-STRUCTURED = {
-    "registration": registration, "phone": phones, "email": emails, "network": networks, "card": cards, "business": businesses, "document": documents, "labelled": labelled_values, "account": accounts, "secret": secrets,
+#: The labels that matter to a rule; account also counts where it occurs since the last separator.
+MINDED = {
+    "registration": ("corporate", "personal"), "phone": ("order",), "credit_card": ("corporate", "business", "order", "account"), "business_reg_no": ("order", "account", "business", "record"),
+    "passport": ("passport",), "driver_license": ("licence",), "bank_account": ("order",),
 }
-DICTIONARY = {"address": addresses, "affiliation": affiliations, "relation": relations, "name": names}
 
 
-def restored(text: Column, variant: Column, found: Column) -> Column:
-    """Spans of a variant where they stand in the text, and with what stands there."""
+def labels_of(text: str, start: int, groups: tuple[str, ...]) -> list[str]:
+    out = []
+    for group in groups:
+        before = text[max(0, start - WINDOW.get(group, 64)) : start]
+        if group == "account":
+            found = label_anywhere(group).search(re.split(r"[\n\r,;.|]", before)[-1])
+        else:
+            found = label_before(group).search(before)
+        if found:
+            out.append(group)
+    return out
 
-    def build(s: Column, place: Column) -> Column:
-        return F.struct(place["start"].alias("start"), place["end"].alias("end"), F.substring(text, place["start"] + 1, place["end"] - place["start"]).alias("text"), *(s[c].alias(c) for c in ("entity", "score", "detector")))
 
-    return F.transform(found, lambda s: let(original_span(variant["runs"], s["start"], s["end"]), lambda place: build(s, place))).cast(SPAN)
+#: What a text must hold for a rule to be tried.
+NEEDS: dict[str, Callable[[str], object]] = {
+    **dict.fromkeys((r for d in STRUCTURED.values() for r in d), re.compile(r"\d").search), "email": lambda t: "@" in t, "secret": re.compile("sk-|gh[po]_|xox|AKIA").search, "network.ipv6": lambda t: t.count(":") > 1, "network.mac": re.compile("[:-]").search,
+    "address.road": re.compile(r"\d").search, "address.room": lambda t: "호" in t,
+    "school": re.compile(either(SCHOOLS)).search, "hospital": re.compile(either(HOSPITALS)).search, "organization": re.compile(either(COMPANIES)).search,
+}
 
 
-def candidates(text: Column, detectors: Iterable[str] | None = None) -> Column:
+def matches(text: str, rules: Iterable[str]) -> Iterator[tuple[str, int, int, str, list[str]]]:
+    """(rule, start, end, value, labels) of one spelling of a text."""
+    for rule in rules:
+        need = NEEDS.get(rule)
+        if need and not need(text):
+            continue
+        for m in compiled(rule).finditer(text):
+            start, end = m.span("v") if "v" in m.re.groupindex else m.span()
+            value, labels = text[start:end], labels_of(text, start, MINDED.get(rule, ()))
+            if rule == "network.ipv6":
+                try:
+                    ip = ipaddress.IPv6Address(value)
+                except ValueError:
+                    continue
+                labels = ["private"] if ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast else []
+            yield rule, start, end, value, labels
+
+
+FOUND = "array<struct<rule:string,start:int,end:int,value:string,labels:array<string>>>"
+
+
+def scan(text: Column, detectors: list[str], others: bool) -> Column:
+    """All matches of the rules of these detectors in a text and, if asked for, its variants; in order of spelling and detector."""
+    structured, dictionary = [d for d in detectors if d in STRUCTURED], [d for d in detectors if d in DICTIONARY]
+
+    def of_spelling(spelling: str, named: list[str], starts: list[int] | None, ends: list[int] | None) -> Iterator[dict]:
+        for detector in named:
+            taken: list[tuple[int, int]] = []
+            for rule in (STRUCTURED | DICTIONARY)[detector]:
+                new = []
+                for _, a, b, value, labels in matches(spelling, (rule,)):
+                    if detector in DICTIONARY and any(x <= a and b <= y for x, y in taken):
+                        continue
+                    new.append((a, b))
+                    if starts is not None and ends is not None:
+                        a, b = min(starts[a:b]), max(ends[a:b])
+                    yield {"rule": rule, "start": a, "end": b, "value": value, "labels": labels}
+                taken += new
+
+    def all_of(value: str | None) -> list[dict] | None:
+        if value is None:
+            return None
+        out = list(of_spelling(value, detectors, None, None))
+        if others:
+            for name, spelling, starts, ends in variants_of(value):
+                out += of_spelling(spelling, structured + (dictionary if name == "folded" else []), starts, ends)
+        return out
+
+    @F.pandas_udf(FOUND)
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([all_of(t) for t in column], dtype=object)
+
+    return run(text)
+
+
+def decision(m: Column) -> list[tuple[str, Column | str, Column | float]]:
+    """(rule, type or null for a match that fails its validator, score)."""
+    v = m["value"]
+    has = lambda *groups: F.arrays_overlap(m["labels"], F.array(*map(F.lit, groups)))
+    kept = lambda ok, entity: F.when(ok, entity)
+    phone = V.phone_class(v)
+    private = F.when(V.ipv4_class(v) == "private", SCORES["IP_PRIVATE"]).otherwise(SCORES["IP_PUBLIC"])
+    full = v.rlike(f"{either(ROADS)}{TRAILER}$")
+    return [
+        ("registration", F.when(has("corporate") & ~has("personal"), None).when(V.resident(v), "RRN").when(V.resident(v, foreign=True), "FRN"), SCORES["RRN"]),
+        ("phone", F.when(~has("order"), phone), F.when(phone == "PHONE_MOBILE", SCORES["PHONE_MOBILE"]).otherwise(SCORES["PHONE_LANDLINE"])),
+        ("email", kept(V.email(v), "EMAIL"), SCORES["EMAIL"]),
+        ("network.ipv4", kept(V.ipv4_class(v).isNotNull(), "IP_ADDRESS"), private),
+        ("network.ipv6", "IP_ADDRESS", F.when(has("private"), SCORES["IP_PRIVATE"]).otherwise(SCORES["IP_PUBLIC"])),
+        ("network.mac", kept(V.mac(v).isNotNull(), "MAC_ADDRESS"), SCORES["MAC_ADDRESS"]),
+        ("credit_card", kept(V.card(v) & ~has("corporate", "business", "order", "account"), "CREDIT_CARD"), SCORES["CREDIT_CARD"]),
+        ("business_reg_no", kept(V.business(v) & phone.isNull() & ~has("order", "record") & (~has("account") | has("business")), "BUSINESS_REG_NO"), SCORES["BUSINESS_REG_NO"]),
+        ("passport", kept(has("passport"), "PASSPORT"), SCORES["PASSPORT"]),
+        ("driver_license", kept(has("licence"), "DRIVER_LICENSE"), SCORES["DRIVER_LICENSE"]),
+        ("corporate_reg_no", "CORPORATE_REG_NO", SCORES["CORPORATE_REG_NO"]),
+        ("medical_record_no", "MEDICAL_RECORD_NO", SCORES["MEDICAL_RECORD_NO"]),
+        ("dob", "DOB", SCORES["DOB"]),
+        ("device_id", "DEVICE_ID", SCORES["DEVICE_ID"]),
+        ("vehicle_reg_no", "VEHICLE_REG_NO", SCORES["VEHICLE_REG_NO"]),
+        ("bank_account", kept(v.rlike("[- ]") & V.bank_layout(v).isNotNull() & phone.isNull() & ~has("order"), "BANK_ACCOUNT"), SCORES["BANK_ACCOUNT"]),
+        ("secret", kept(V.secret(v), "API_KEY_SECRET"), SCORES["API_KEY_SECRET"]),
+        ("address", F.when(full, "ADDRESS_FULL").otherwise("ADDRESS_UNIT"), F.when(full, SCORES["road"]).otherwise(SCORES["unit"])),
+        ("address.road", "ADDRESS_FULL", SCORES["road"]),
+        ("address.room", "ADDRESS_UNIT", SCORES["apartment"]),
+        ("school", "SCHOOL", SCORES["school"]),
+        ("hospital", "HOSPITAL", SCORES["hospital"]),
+        ("organization", "ORGANIZATION", SCORES["organization"]),
+        ("relation", "FAMILY_RELATION", SCORES["relation"]),
+        ("full_name", "PERSON_NAME", SCORES["full"]),
+        ("given_name", "PERSON_NAME", SCORES["given"]),
+    ]
+
+
+def candidates(text: Column, detectors: Iterable[str] | None = None, variants: bool = True) -> Column:
     """All candidates of the named detectors (all by default), duplicates folded, by start, end and type.
 
     The text is scanned as it is, then its variants, whose spans go back to the offsets of the text: structured values in
@@ -198,25 +219,50 @@ def candidates(text: Column, detectors: Iterable[str] | None = None) -> Column:
     unknown = set(named) - set(known)
     if unknown:
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
-    scan = lambda names, t: F.concat(*(known[name](t) for name in names))
-    structured, dictionary = [n for n in named if n in STRUCTURED], [n for n in named if n in DICTIONARY]
+    used = {rule for name in named for rule in known[name]}
+
+    def build(m: Column) -> Column:
+        lines = [(rule, entity, score) for rule, entity, score in decision(m) if rule in used]
+        kind = F.coalesce(*(F.when(m["rule"] == rule, F.lit(e) if isinstance(e, str) else e) for rule, e, _ in lines))
+        score = F.coalesce(*(F.when(m["rule"] == rule, F.lit(s) if isinstance(s, float) else s) for rule, _, s in lines))
+        origin = F.when(m["rule"].isin([r for d in STRUCTURED.values() for r in d]), "regex.").otherwise("dictionary.")
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"), kind.alias("entity"), score.cast("double").alias("score"), F.concat(origin, m["rule"]).alias("detector"),
+        )
 
-    def all_of(others: Column) -> Column:
-        parts = [scan(named, text)]
-        if structured:
-            parts.append(F.flatten(F.transform(others, lambda v: restored(text, v, scan(structured, v["text"])))))
-        if dictionary:
-            parts.append(F.flatten(F.transform(F.filter(others, lambda v: v["name"] == "folded"), lambda v: restored(text, v, scan(dictionary, v["text"])))))
-        return F.concat(*parts)
+    return let(scan(text, named, variants), lambda found: fold(F.filter(F.transform(found, build), lambda s: s["entity"].isNotNull()).cast(SPAN)))
 
-    return fold(let(variants(text), all_of))
+
+#: Types that patterns alone would give, without validators, labels and variants.
+PATTERN_ONLY = {
+    "registration": ("RRN", "RRN"), "phone": ("PHONE_MOBILE", "PHONE_MOBILE"), "email": ("EMAIL", "EMAIL"), "network.ipv4": ("IP_ADDRESS", "IP_PUBLIC"), "network.mac": ("MAC_ADDRESS", "MAC_ADDRESS"),
+    "credit_card": ("CREDIT_CARD", "CARD_PATTERN"), "business_reg_no": ("BUSINESS_REG_NO", "BUSINESS_PATTERN"), "bank_account": ("BANK_ACCOUNT", "BANK_ACCOUNT"), "secret": ("API_KEY_SECRET", "API_KEY_SECRET"),
+}
+
+
+def by_pattern(text: Column) -> Column:
+    """Candidates of patterns alone, as a base line; a registration number counts as that of a resident and of a foreigner."""
+    names = [d for d, rules in STRUCTURED.items() if set(rules) & set(PATTERN_ONLY)]
+    pairs = F.create_map(*(F.lit(x) for r, (e, s) in PATTERN_ONLY.items() for x in (r, f"{e}")))
+    scores = F.create_map(*(x for r, (e, s) in PATTERN_ONLY.items() for x in (F.lit(r), F.lit(SCORES[s]))))
+    one = lambda m, entity: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("text"), entity.alias("entity"), F.element_at(scores, m["rule"]).alias("score"), F.concat(F.lit("pattern."), m["rule"]).alias("detector"))
+    kept = lambda found: F.filter(found, lambda m: m["rule"].isin(*PATTERN_ONLY))
+    both = lambda found: F.concat(F.transform(kept(found), lambda m: one(m, F.element_at(pairs, m["rule"]))), F.transform(F.filter(found, lambda m: m["rule"] == "registration"), lambda m: one(m, F.lit("FRN"))))
+    return let(scan(text, names, False), lambda found: both(found).cast(SPAN))
 
 
 def fold(found: Column) -> Column:
-    """One span for each start, end and type, with its best score."""
+    """One span for each start, end and type, with its best score and the names of all its detectors, joined by commas."""
     ordered = F.array_sort(found, lambda a, b: compare([(a["start"], b["start"], 1), (a["end"], b["end"], 1), (a["entity"], b["entity"], 1), (a["score"], b["score"], -1), (a["detector"], b["detector"], 1)]))
-    same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["entity"] == b["entity"])
-    return F.aggregate(ordered, F.array().cast(SPAN), lambda acc, s: F.when((F.size(acc) > 0) & same(F.element_at(acc, F.greatest(F.size(acc), F.lit(1))), s), acc).otherwise(F.concat(acc, F.array(s).cast(SPAN))))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        same = F.coalesce((last["start"] == s["start"]) & (last["end"] == s["end"]) & (last["entity"] == s["entity"]), F.lit(False))
+        names = F.when(F.array_contains(F.split(last["detector"], ","), s["detector"]), last["detector"]).otherwise(F.concat(last["detector"], F.lit(","), s["detector"]))
+        both = F.struct(*(last[c].alias(c) for c in ("start", "end", "text", "entity", "score")), names.alias("detector"))
+        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both).cast(SPAN))).otherwise(F.concat(acc, F.array(s).cast(SPAN)))
+
+    return F.aggregate(ordered, F.array().cast(SPAN), step)
 
 
 def compare(keys: list[tuple[Column, Column, int]]) -> Column:

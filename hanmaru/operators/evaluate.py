@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hanmaru.functions.text import let
+
 SLICES = ("lang", "validity_group", "mutation_level", "pii_type")
 
 
@@ -115,39 +116,43 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.try_element_at(ordered, (F.bround(F.lit(q) * (F.size(ordered) - 1), 0) + 1).cast("int"))
 
 
-def match_spans(gold: list, predicted: list, threshold: float = 0.5) -> list[tuple]:
-    """(kind, entity, gold, prediction) in label order: each label takes the first equal span of its type, else the last one that overlaps it enough."""
-    used: set[int] = set()
-    out = []
-    for g in gold:
-        best, kind = None, "miss"
-        for k, p in enumerate(predicted):
-            if k in used or p["entity"] != g["entity"]:
-                continue
-            if (p["start"], p["end"]) == (g["start"], g["end"]):
-                best, kind = k, "exact"
-                break
-            common = min(p["end"], g["end"]) - max(p["start"], g["start"])
-            if common > 0 and common / max(p["end"] - p["start"], g["end"] - g["start"]) >= threshold:
-                best, kind = k, "partial"
-        if best is not None:
-            used.add(best)
-        out.append((kind, g["entity"], g, None if best is None else predicted[best]))
-    return out + [("spurious", p["entity"], None, p) for k, p in enumerate(predicted) if k not in used]
+SPANS = "array<struct<start:int,end:int,entity:string>>"
 
 
-def matched(df: DataFrame, key: str, gold: str, predicted: str) -> DataFrame:
-    """(key, kind, entity): a row for each label and each prediction without one. Both columns are arrays of (start, end, entity)."""
+def matches(gold: Column, predicted: Column, threshold: float = 0.5) -> Column:
+    """ARRAY<STRUCT<kind, entity, start, end>>: each label as exact, partial or miss, then each prediction that is left as spurious.
+
+    A label takes a free prediction of its type: the first one with its places, else the last one that overlaps it by
+    the threshold, measured against the longer of both. Labels choose in their order; a null array is an empty one.
+    """
+    length = lambda x: x["end"] - x["start"]
+    common = lambda g, p: F.least(g["end"], p["end"]) - F.greatest(g["start"], p["start"])
+    equal = lambda g, p: (g["start"] == p["start"]) & (g["end"] == p["end"])
+    enough = lambda g, p: (common(g, p) > 0) & (common(g, p) >= threshold * F.greatest(length(g), length(p)))
+    row = lambda kind, x: F.struct(kind.alias("kind"), x["entity"].alias("entity"), x["start"].alias("start"), x["end"].alias("end"))
+    out, state = "array<struct<kind:string,entity:string,start:int,end:int>>", "struct<taken:array<int>,out:array<struct<kind:string,entity:string,start:int,end:int>>>"
+
+    def fold(numbered: Column) -> Column:
+        def step(acc: Column, g: Column) -> Column:
+            free = F.filter(numbered, lambda n: (n["p"]["entity"] == g["entity"]) & (equal(g, n["p"]) | enough(g, n["p"])) & ~F.array_contains(acc["taken"], n["k"]))
+            # Exact ones before partial ones; of the former the first, of the latter the last.
+            ranked = F.transform(free, lambda n: F.struct(equal(g, n["p"]).alias("exact"), F.when(equal(g, n["p"]), -n["k"]).otherwise(n["k"]).alias("rank"), n["k"].alias("k")))
+            return let(F.array_max(ranked), lambda best: F.struct(
+                F.when(best.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(best["k"]))).alias("taken"),
+                F.concat(acc["out"], F.array(row(F.when(best.isNull(), "miss").when(best["exact"], "exact").otherwise("partial"), g))).alias("out"),
+            ).cast(state))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, g, p in zip(batch[key], batch["gold"], batch["predicted"]):
-                rows += [(k, kind, entity) for kind, entity, _, _ in match_spans([] if g is None else list(g), [] if p is None else list(p))]
-            yield pd.DataFrame(rows, columns=[key, "kind", "entity"])
+        rest = lambda acc: F.transform(F.filter(numbered, lambda n: ~F.array_contains(acc["taken"], n["k"])), lambda n: row(F.lit("spurious"), n["p"]))
+        start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(out).alias("out")).cast(state)
+        return F.aggregate(labels, start, step, lambda acc: F.concat(acc["out"], rest(acc).cast(out)))
 
-    slim = df.select(key, F.col(gold).alias("gold"), F.col(predicted).alias("predicted"))
-    return slim.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, kind string, entity string")
+    labels = F.coalesce(gold.cast(SPANS), F.array().cast(SPANS))
+    return let(F.transform(F.coalesce(predicted.cast(SPANS), F.array().cast(SPANS)), lambda p, k: F.struct(k.alias("k"), p.alias("p"))), fold)
+
+
+def matched(df: DataFrame, key: str, gold: str, predicted: str) -> DataFrame:
+    """(key, kind, entity, start, end): a row for each label and each prediction without one. Both columns are arrays of (start, end, entity)."""
+    return df.select(key, F.inline(matches(F.col(gold), F.col(predicted))))
 
 
 def entity_metrics(matches: DataFrame) -> DataFrame:

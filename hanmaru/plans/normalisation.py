@@ -195,8 +195,8 @@ ORACLES = {
 }
 
 
-def bank_sql() -> str:
-    plain = "replace(trim(value), ' ', '')"
+def bank_sql(value: str = "value") -> str:
+    plain = f"replace(trim({value}), ' ', '')"
     cases = []
     for bank, segments, prefixes in V.BANKS:
         first = "(" + "|".join(prefixes) + ")" if prefixes else "\\d{%d}" % segments[0]

@@ -45,9 +45,9 @@ def tags(spark: SparkSession, root: str) -> DataFrame:
 
 
 def address_merge(spark: SparkSession, root: str) -> DataFrame:
+    """Addresses of documents after neighbouring fragments were joined."""
     rows = spread(table(spark, root, "documents", "doc_id", "text"))
-    found = rows.select("doc_id", "text", F.array_sort(D.addresses(F.col("text")), lambda a, b: D.compare([(a["start"], b["start"], 1), (a["end"], b["end"], 1)])).alias("f"))
-    return found.select("doc_id", F.inline(S.joined_fragments(F.col("text"), F.col("f")))).select("doc_id", "start", "end", "entity", "text")
+    return S.guarded(rows, detectors=["address"]).select("doc_id", F.inline("spans")).select("doc_id", "start", "end", "entity", "text")
 
 
 WORDS = ["김민수에게서", "김민수님께서는", "서울시에서", "가나", "은는", "박서준"]
@@ -58,10 +58,10 @@ QUERIES = {
 
 
 def keyword_sql() -> str:
-    rows = [(kind, word, context) for kind, (context, words) in screen.KEYWORDS.items() for word in words.split("|") if word]
-    listed = ", ".join(f"({quoted(k)}, {quoted(w)}, {quoted(c)})" for k, w, c in rows)
+    rows = [(kind, word, context) for kind, (context, words) in screen.KEYWORDS.items() for word in words]
+    listed = ", ".join(f"({quoted(k)}, {quoted(w)}, [{', '.join(map(quoted, c))}])" for k, w, c in rows)
     return (
-        f"WITH k AS (SELECT kind, word, string_split(context, '|') AS context FROM (VALUES {listed}) t(kind, word, context)), "
+        f"WITH k AS (SELECT * FROM (VALUES {listed}) t(kind, word, context)), "
         "h AS (SELECT doc_id, kind, word, list_bool_or([contains(text, c) FOR c IN context]) AS near FROM documents JOIN k ON contains(text, word)) "
         "SELECT kind, word, count(*) AS n, count(*) FILTER (WHERE near) AS n_in_context FROM h WHERE near OR length(word) > 2 GROUP BY kind, word"
     )

@@ -69,13 +69,18 @@ def test_sampling_sizes_hold(spark):
     assert got == {r.k: r.size for r in sizes.collect()} and sum(got.values()) == 500
 
 
-def test_matching_takes_equal_spans_first():
-    span = lambda a, b, e="N": {"start": a, "end": b, "entity": e}
-    kinds = lambda g, p: [k for k, *_ in E.match_spans(g, p)]
-    assert kinds([span(0, 4)], [span(0, 3), span(0, 4)]) == ["exact", "spurious"]
-    assert kinds([span(0, 4)], [span(0, 2), span(1, 4)]) == ["partial", "spurious"]
-    assert kinds([span(0, 4)], [span(0, 4, "X")]) == ["miss", "spurious"]
-    assert kinds([], []) == []
+def test_matching_takes_equal_spans_first(spark):
+    n = lambda *spans: [(a, b, "N") for a, b in spans]
+    cases = [
+        (n((0, 4)), n((0, 3), (0, 4)), ["exact", "spurious"]), (n((0, 4)), n((0, 2), (1, 4)), ["partial", "spurious"]), (n((0, 4)), [(0, 4, "X")], ["miss", "spurious"]), ([], [], []), (None, n((1, 2)), ["spurious"]), (n((1, 2)), None, ["miss"]),
+        (n((0, 4), (0, 4)), n((0, 4)), ["exact", "miss"]), (n((0, 4), (0, 4)), n((0, 4), (0, 4)), ["exact", "exact"]), (n((0, 10)), n((0, 5), (5, 10), (0, 4)), ["partial", "spurious", "spurious"]), (n((0, 10)), n((0, 4)), ["miss", "spurious"]),
+    ]
+    kind = "array<struct<start:int,end:int,entity:string>>"
+    df = spark.createDataFrame([(k, g, p) for k, (g, p, _) in enumerate(cases)], f"id int, g {kind}, p {kind}")
+    got = df.orderBy("id").select(E.matches(F.col("g"), F.col("p")).alias("m")).collect()
+    assert [[x.kind for x in r.m] for r in got] == [kinds for _, _, kinds in cases]
+    taken = [(x.kind, x.start) for x in got[8].m]
+    assert taken == [("partial", 0), ("spurious", 0), ("spurious", 0)] and len(E.matched(df, "id", "g", "p").collect()) == sum(len(k) for *_, k in cases)
 
 
 def test_metrics_and_gates(spark):

@@ -15,8 +15,8 @@ def plain(text):
     for kind, pattern in screen.PATTERNS.items():
         out += [(kind, m.group(), m.start(), m.end(), 0.95) for m in re.finditer(pattern.replace("(?U)", ""), text)]
     for kind, (context, words) in screen.KEYWORDS.items():
-        near = any(c in text for c in context.split("|"))
-        out += [(kind, w, text.index(w), text.index(w) + len(w), 0.9 if near else 0.7) for w in words.split("|") if w and w in text and (len(w) > 2 or near)]
+        near = any(c in text for c in context)
+        out += [(kind, w, text.index(w), text.index(w) + len(w), 0.9 if near else 0.7) for w in words if w and w in text and (len(w) > 2 or near)]
         if kind in screen.VALUES:
             out += [(kind, m.group(), m.start(), m.end(), 0.85) for m in re.finditer(screen.VALUES[kind].replace("(?U)", ""), text)]
     return list({(f[0], f[1], f[2]): f for f in reversed(out)}.values())
@@ -58,10 +58,11 @@ def test_windows_cover_and_merge(spark):
 
 def test_fragments_join_over_blanks(spark):
     text = "서울 종로 12 끝"
-    df = spark.createDataFrame([(text,)], "t string")
-    found = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(text[a:b]).alias("text"), F.lit(e).alias("entity"), F.lit(s).alias("score"), F.lit("d").alias("detector")) for a, b, e, s in ((0, 2, "ADDRESS_UNIT", 0.4), (3, 8, "ADDRESS_FULL", 0.6), (9, 10, "X", 0.1))))
-    got = df.select(S.joined_fragments(F.col("t"), found).alias("f")).first().f
-    assert [(s.start, s.end, s.entity, s.text) for s in got] == [(0, 8, "ADDRESS_FULL", "서울 종로 12"), (9, 10, "X", "끝")]
+    rows = [(a, b, text[a:b], e, s, d, None, 0, False, "P2", [r]) for a, b, e, s, d, r in ((0, 2, "ADDRESS_UNIT", 0.4, "d", "x"), (3, 8, "ADDRESS_FULL", 0.6, "e", "y"), (9, 10, "X", 0.1, "d", "z"))]
+    df = spark.createDataFrame([(text, rows)], "t string, f " + S.SEEN)
+    got = df.select(S.joined_fragments(F.col("t"), F.col("f")).alias("f")).first().f
+    assert [(s.start, s.end, s.entity, s.text, s.score, s.detector) for s in got] == [(0, 8, "ADDRESS_FULL", "서울 종로 12", 0.6, "d,e"), (9, 10, "X", "끝", 0.1, "d")]
+    assert got[0].reasons == ["x", "y", "resolver.address.fragment_merge"] and got[0].risk == "P1"
 
 
 def test_suffixes_go_one_by_one(spark):

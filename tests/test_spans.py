@@ -17,7 +17,7 @@ def run(spark, texts, **options):
 
 def test_text_is_masked_with_numbered_placeholders(spark):
     row = run(spark, [TEXT])[0]
-    assert row.masked == "고객명 [PERSON_1]님 연락처는 [PHONE_1]입니다. 이메일 [EMAIL_1], 주민번호 [ID_1]"
+    assert row.masked == "고객명 [PERSON_1]님 연락처는 [PHONE_1]입니다. 이메일 [EMAIL_1], 주민번호 [REDACTED]"
     assert all(TEXT[s.start : s.end] == s.text for s in row.spans)
     assert [s.suffix for s in row.spans] == ["님", "입니다", None, None]
 
@@ -71,7 +71,7 @@ def test_resolution_leaves_no_overlap(spark):
 def test_emails_equal_a_scan(spark):
     texts = ["x a@b.example,c@d.co y", "a@b", "..a@b.com", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = {r.id: [s.text for s in (r.e or [])] for r in df.select("id", D.emails(F.col("text")).alias("e")).collect()}
+    got = {r.id: [s.text for s in (r.e or [])] for r in df.select("id", D.candidates(F.col("text"), ["email"], variants=False).alias("e")).collect()}
     for k, t in enumerate(texts):
         assert got[k] == [m.group() for m in re.finditer(r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", t or "")]
 
@@ -100,3 +100,75 @@ def test_audit_never_holds_the_value(spark):
 def test_islands(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 3, 8), (1, 8, 9)], "doc_id int, start int, end int")
     assert sorted((r.start, r.island) for r in S.islands(df).collect()) == [(0, 1), (3, 1), (8, 2)]
+
+
+def decided(spark, text, **options):
+    return {s.text: (s.action, s.method, [r for r in s.reasons if r.startswith("policy")]) for s in run(spark, [text], **options)[0].spans}
+
+
+def test_decisions_follow_the_list(spark):
+    assert decided(spark, "주민번호 900101-1234567") == {"900101-1234567": ("MASK", "full_redact", ["policy.override.full_redact"])}
+    assert decided(spark, "카드 4111-1111-1111-1111,")["4111-1111-1111-1111"] == ("MASK", "full_redact", ["policy.risk.p0_full_redact"])
+    assert decided(spark, "전화번호 010-1234-5678")["010-1234-5678"] == ("MASK", "label_mask", ["policy.risk.p1_threshold"])
+    assert decided(spark, "대표번호 02-123-4567")["02-123-4567"] == ("PASS", "pass", ["policy.negative_context.pass"])
+    assert decided(spark, "예시 a@b.example")["a@b.example"] == ("PASS", "pass", ["policy.negative_context.pass"])
+    assert decided(spark, "김민수 010-1234-5678")["김민수"] == ("MASK", "label_mask", ["policy.composite.mask"])
+    assert decided(spark, "외삼촌")["외삼촌"] == ("PASS", "pass", ["policy.risk.p2_no_context"])
+    assert decided(spark, "키 sk-abcDEF0123456789xyz_")["sk-abcDEF0123456789xyz_"] == ("BLOCK", "block", ["policy.override.block"])
+    assert decided(spark, "키 sk-abcDEF0123456789xyz_", target="external_output")["sk-abcDEF0123456789xyz_"][2] == ["policy.target.block_entity"]
+    with pytest.raises(ValueError):
+        S.decided(F.lit(None), "elsewhere")
+
+
+def test_an_audit_target_gets_hashes(spark):
+    row = run(spark, ["메일 a@b.example 끝"], target="audit_log")[0]
+    digest = __import__("hmac").new(S.SECRET, b"a@b.example", "sha256").hexdigest()
+    assert row.masked == f"메일 hmac-sha256:{S.KEY_ID}:{digest} 끝" and not row.blocked
+
+
+def test_outgoing_texts(spark):
+    df = spark.createDataFrame([(1, "전화번호 010-1234-5678"), (2, "키 sk-abcDEF0123456789xyz_"), (3, None), (4, "")], "id int, t string")
+    assert [r.shown for r in S.outgoing(df, "t").orderBy("id").collect()] == ["전화번호 [PHONE_1]", S.OUTPUT_BLOCKED, None, ""]
+    assert S.outgoing(df, "t", arguments=True).where("id = 2").first().shown == "{}"
+
+
+def test_ends_are_put_right(spark):
+    texts = ["김민수에게서 왔다", "연락처 010-1234-5678로, 끝", "서울 강남구청", "테헤란로", "김민수한", None]
+    found = [[(0, 6, "PERSON_NAME")], [(4, 17, "PHONE_MOBILE")], [(0, 6, "ADDRESS_UNIT")], [(0, 4, "ADDRESS_FULL")], [(0, 3, "PERSON_NAME")], None]
+    rows = [(k, t, f and [(a, b, t[a:b], e, 0.5, "dictionary.address.road" if t == "테헤란로" else "d") for a, b, e in f]) for k, (t, f) in enumerate(zip(texts, found))]
+    df = spark.createDataFrame(rows, "id int, t string, f " + D.SPAN)
+    got = [r.c and [(s.text, s.suffix, s.reasons) for s in r.c] for r in df.orderBy("id").select(S.corrected(F.col("t"), F.col("f")).alias("c")).collect()]
+    assert got == [
+        [("김민수", "에게서", ["boundary.suffix_trim"])], [("010-1234-5678", "로", ["boundary.suffix_lookahead"])], [("서울 강남구", None, [])], [("테헤란로", None, [])], [("김민수", None, [])], None,
+    ]
+    half = spark.createDataFrame([("서울 종로구 강남", [(0, 8, "서울 종로구 강", "ADDRESS_UNIT", 0.5, "d")])], "t string, f " + D.SPAN)
+    assert [(s.text, s.reasons) for s in half.select(S.corrected(F.col("t"), F.col("f")).alias("c")).first().c] == [("서울 종로구", ["boundary.address_partial_word_trim"])]
+
+
+def test_detectors_of_a_span_are_joined(spark):
+    rows = [(0, 2, "ab", "X", 0.4, "a"), (0, 2, "ab", "X", 0.9, "b"), (0, 2, "ab", "Y", 0.1, "c"), (0, 2, "ab", "X", 0.4, "a")]
+    df = spark.createDataFrame([(rows,)], "f " + D.SPAN)
+    assert [tuple(s) for s in df.select(D.fold(F.col("f")).alias("g")).first().g] == [(0, 2, "ab", "X", 0.9, "b,a"), (0, 2, "ab", "Y", 0.1, "c")]
+
+
+def test_addresses_of_the_sixth_version(spark):
+    texts = ["새 주소 2001:4860:4860::8888 끝", "안 fe80::1 끝", "12:30:45", "::", "a:b:c:d:e:f:1:2:3"]
+    rows = run(spark, texts, detectors=["network"])
+    assert [[(s.text, "context.penalty.private_ip" in s.reasons) for s in r.spans] for r in rows][:3] == [[("2001:4860:4860::8888", False)], [("fe80::1", False)], []]
+
+
+def test_nothing_found_is_stored(spark):
+    text = "메일 a@b.example, 다시 a@b.example"
+    df = spark.createDataFrame([(text, "앞 a@b.example 뒤", [(3, 14, "a@b.example", "EMAIL")])], "t string, m string, s array<struct<start:int,end:int,text:string,entity:string>>")
+    assert df.select(S.storable(F.col("m"), F.col("t"), F.col("s"))).first()[0] == "앞 [UNSTORED_EMAIL] 뒤"
+
+
+def test_fields_are_summed_up(spark):
+    df = spark.createDataFrame([([("a", 0, 5), ("b", 7, 9)], [(1, 3, "EMAIL", "MASK")]), ([], [])], "f array<struct<name:string,start:int,end:int>>, s array<struct<start:int,end:int,entity:string,action:string>>")
+    assert [r[0] for r in df.select(S.field_summary(F.col("f"), F.col("s"))).collect()] == ["a: [EMAIL:MASK]\nb: [NO_DETECTED_PII len=2]", "[NO_FIELDS]"]
+
+
+def test_overlapping_spans_are_an_error(spark):
+    df = spark.createDataFrame([("abcdef", [(0, 3, "abc", "X", "MASK", "label_mask"), (2, 4, "cd", "X", "MASK", "label_mask")])], "t string, s array<struct<start:int,end:int,text:string,entity:string,action:string,method:string>>")
+    with pytest.raises(Exception, match="overlapping"):
+        df.select(S.masked(F.col("t"), F.col("s"))).collect()
