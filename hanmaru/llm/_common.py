@@ -82,10 +82,14 @@ def bare(text: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is set and all runs on it."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    return named or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-checkpoints")
+    if named:
+        return named
+    if not (context.master or "").startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-checkpoints")
 
 
 def stash(df: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@
 A token that holds suspicious characters goes back through each channel (the encoding it was read with, the one it was
 written in) to a lattice of bytes, in which every replacement character is a wildcard for a lost byte. The characters
 that the original encoding allows from each byte on are the edges; where bytes are lost, all syllables of the corpus
-that agree with the known bytes are. A Viterbi search takes the path of the highest probability under syllable and
-word statistics of the whole corpus, which sit in arrays of fixed size.
-
-A row is damaged if a token of it has such a path whose syllables the corpus uses, or if it holds a replacement
-character, restorable or not. Foreign words, accents and symbols that belong there have no path: their bytes aren't
-valid in the original encoding. Null and empty values are never damaged.
+that agree with the known bytes are. An exact Viterbi search takes the path of the highest probability under word
+frequencies of the whole corpus: a syllable's probability is the share of the words with the letters so far that go on
+with it, mixed with that of pairs of syllables; states are the beginnings of corpus words that a path can stand in, and
+the last syllable where it has left them all. Nothing is pruned. Counts of beginnings, words and pairs sit in one table
+by hash, whose size follows their number (up to 2**24 bytes).
+
+A row is damaged if a token of it has such a path whose syllables the corpus uses, or if a byte stays lost on its best
+path, as a replacement character is a lost byte in every lattice. Foreign words, accents and symbols that belong there
+have no path: their bytes aren't valid in the original encoding. Null and empty values are never damaged.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hanmaru.llm._common import chunks, codes
+from hanmaru.llm._common import chunks, codes, stash
 
 LOST = "�"
-PAIR_BITS = WORD_BITS = 16
 FIRST, SYLLABLES = 0xAC00, 11172
+#: Bits of the table's places: enough for eight places an entry, MOST_BITS at most. Steps of the logarithm that a place holds.
+LEAST_BITS, MOST_BITS, STEPS = 16, 24, 8
+#: Weight of word frequencies against pairs, of pairs against single syllables; probability of a word's end outside the vocabulary.
+WORDS, PAIRS, END = 0.7, 0.6, 0.3
 #: Read as, written as. A cp1252 reader keeps undefined bytes as control characters.
 CHANNELS = [
     (reader, writer)
@@ -63,14 +69,35 @@ def lattice(token: str, reader: str) -> list[int] | None:
     return out
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+#: The beginning of every word; the hash of a path that has left the vocabulary.
+ROOT, OFF = np.uint64(1), np.uint64(0)
+ENDING = SYLLABLES
+
+
+def longer(h: np.ndarray, syllable: np.ndarray) -> np.ndarray:
+    """Hash of a beginning of a word with one more syllable (or the end)."""
+    with np.errstate(over="ignore"):
+        return mixed(h * np.uint64(0x9E3779B97F4A7C15) + syllable.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed((a.astype(np.uint64) * np.uint64(SYLLABLES) + b.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(2)) & ~np.uint64(1)
+
+
 class Model:
-    """Log probabilities of syllables, pairs of syllables and words, all of fixed size."""
+    """Counts of syllables, and by hash those of word beginnings, words and pairs of syllables."""
 
-    def __init__(self, single: np.ndarray, pair: np.ndarray, word: np.ndarray) -> None:
-        self.single = single
-        self.log_single = np.log((single + 0.05) / (single.sum() + 0.05 * SYLLABLES))
-        self.log_pair = np.log((pair + 0.05) / (pair.sum() / 2 + 1))
-        self.word = word
+    def __init__(self, single: np.ndarray, n_words: float, table: np.ndarray) -> None:
+        self.single, self.n_words, self.table = single, n_words, table
+        self.shift = np.uint64(64 - int(np.log2(len(table))))
+        self.p_single = (single + 0.05) / (single.sum() + 0.05 * SYLLABLES)
+        self.sizes = 2.0 ** (np.arange(256) / STEPS) - 1
         self.used = np.flatnonzero(single > max(3.0, single.sum() * 2e-6))
         self.is_used = np.zeros(SYLLABLES, bool)
         self.is_used[self.used] = True
@@ -79,6 +106,9 @@ class Model:
         ks = [chr(p).encode("euc-kr", "ignore") for p in points]
         self.euc = np.array([[b[0], b[1]] if len(b) == 2 else [0, 0] for b in ks], np.int64).reshape(-1, 2).T
 
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return self.sizes[self.table[(h >> self.shift).astype(np.int64)]]
+
     def fits(self, known: list[int], writer: str) -> np.ndarray:
         """Corpus syllables whose bytes agree with the known ones."""
         table = self.utf8 if writer == "utf-8" else self.euc
@@ -88,56 +118,80 @@ class Model:
                 ok &= row == byte
         return self.used[ok]
 
-    def step(self, before: int, syllables: np.ndarray) -> np.ndarray:
-        """Log probability of each syllable after another (-1: at the start of a word)."""
-        if before < 0:
-            return self.log_single[syllables]
-        at = pair_bucket(np.full(len(syllables), before), syllables)
-        return np.logaddexp(self.log_pair[at] - self.log_single[before] - 0.7, self.log_single[syllables] - 0.7)
-
-
-def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint64) * np.uint64(SYLLABLES) + b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def word_bucket(syllables: list[int]) -> int:
-    h = 0
-    for s in syllables:
-        h = (h * 0x9E3779B97F4A7C15 + s + 1) & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> 31
-    return (h * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> (64 - WORD_BITS)
+    def step(self, h: np.ndarray, last: np.ndarray, syllables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each syllable in each state, and the hash of the beginning it leads to (OFF: none of the corpus)."""
+        h, last, c = h[:, None], last[:, None], syllables[None, :]
+        after = PAIRS * self.count(pair(np.maximum(last, 0), c)) / (self.single[np.maximum(last, 0)] + 1) + (1 - PAIRS) * self.p_single[c]
+        plain = np.where(last >= 0, np.minimum(after, 1), self.p_single[c])
+        nxt = longer(h, c)
+        met = np.where(h == OFF, 0, self.count(nxt))
+        have = np.where(h == ROOT, self.n_words, self.count(h))
+        return np.log(WORDS * np.minimum(1, met / np.maximum(have, 1)) + (1 - WORDS) * plain), np.where(met > 0, nxt, OFF)
+
+    def leave(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Log probability that a word ends in a state; 0 where none has begun."""
+        ends = self.count(longer(h, np.full(len(h), ENDING)))
+        share = np.where(h == OFF, 0, np.minimum(1, ends / np.maximum(self.count(h), 1)))
+        return np.where(last >= 0, np.log(WORDS * share + (1 - WORDS) * END), 0.0)
+
+
+def word_entries(a: np.ndarray) -> tuple[np.ndarray, int]:
+    """Hashes of the pairs, beginnings and words of a run of code points, as often as they occur; and the number of words."""
+    a = a.astype(np.int64) - FIRST
+    hangul = (a >= 0) & (a < SYLLABLES)
+    both = np.flatnonzero(hangul[1:] & hangul[:-1])
+    out = [pair(a[both], a[both + 1])]
+    edge = np.diff(np.r_[0, hangul.astype(np.int8), 0])
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    h = np.full(len(start), ROOT)
+    for k in range(int((end - start).max(initial=0))):
+        on = np.flatnonzero(start + k < end)
+        h[on] = longer(h[on], a[start[on] + k])
+        out.append(h[on])
+    out.append(longer(h, np.full(len(h), ENDING)))
+    return np.concatenate(out), len(start)
 
 
 def corpus_model(df: DataFrame, text: str) -> Model:
-    """Counts over all undamaged rows; the result has 11172 + 2**16 + 2**16 numbers at most."""
+    """Counts over all undamaged rows. What reaches the driver is 11172 numbers and a table of 2**24 bytes at most."""
+    single, words = -1, -SYLLABLES - 1  # places below zero: syllables, and the number of words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYLLABLES + (1 << PAIR_BITS) + (1 << WORD_BITS), np.int64)
         for batch in batches:
             values = batch.column(0).to_pylist()
             for i, j in chunks(values):
-                a = codes("\n".join(values[i:j])).astype(np.int64) - FIRST
-                hangul = (a >= 0) & (a < SYLLABLES)
-                total[:SYLLABLES] += np.bincount(a[hangul], minlength=SYLLABLES)
-                both = np.flatnonzero(hangul[1:] & hangul[:-1])
-                total[SYLLABLES : SYLLABLES + (1 << PAIR_BITS)] += np.bincount(pair_bucket(a[both], a[both + 1]), minlength=1 << PAIR_BITS)
-                edge = np.diff(np.r_[0, hangul.astype(np.int8), 0])
-                start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                h = np.zeros(len(start), np.uint64)
-                for k in range(int((end - start).max(initial=0))):
-                    on = np.flatnonzero(start + k < end)
-                    h[on] = h[on] * np.uint64(0x9E3779B97F4A7C15) + a[start[on] + k].astype(np.uint64) + np.uint64(1)
-                h ^= h >> np.uint64(31)
-                bucket = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-                total[SYLLABLES + (1 << PAIR_BITS) :] += np.bincount(bucket, minlength=1 << WORD_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+                a = codes("\n".join(values[i:j]))
+                entries, n = word_entries(a)
+                places = np.sort((entries >> np.uint64(64 - MOST_BITS)).astype(np.int64))
+                last = np.flatnonzero(np.r_[places[1:] != places[:-1], True]) if len(places) else places
+                syllables = a.astype(np.int64) - FIRST
+                seen = np.bincount(syllables[(syllables >= 0) & (syllables < SYLLABLES)], minlength=SYLLABLES)
+                at = np.flatnonzero(seen)
+                place, count = np.concatenate([places[last], single - at, [words]]), np.concatenate([np.diff(np.r_[-1, last]), seen[at], [n]])
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(count.astype(np.int64))], names=["place", "n"])
 
     clean = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & ~suspicious(F.col("t")))
-    out = np.zeros(SYLLABLES + (1 << PAIR_BITS) + (1 << WORD_BITS))
-    for slot, n in clean.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # of bounded size
-        out[slot] = n
-    return Model(out[:SYLLABLES], out[SYLLABLES : SYLLABLES + (1 << PAIR_BITS)], out[SYLLABLES + (1 << PAIR_BITS) :])
+    counted = stash(clean.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")))
+    bits = max(LEAST_BITS, min(MOST_BITS, int(np.ceil(np.log2(8 * max(1, counted.where("place >= 0").count()))))))
+    block = 1 << 14
+
+    def packed(group: pa.Table) -> pa.Table:
+        out = np.zeros(block)
+        np.add.at(out, group.column("place").to_numpy() % block, group.column("n").to_numpy())
+        sizes = np.minimum(np.round(STEPS * np.log2(1 + out)), 255).astype(np.uint8)
+        return pa.table({"block": group.column("block").slice(0, 1), "sizes": pa.array([sizes.tobytes()], pa.binary())})
+
+    folded = counted.where("place >= 0").select(F.shiftright("place", MOST_BITS - bits).alias("place"), "n").withColumn("block", F.floor(F.col("place") / block).cast("int"))
+    table = np.zeros(1 << bits, np.uint8)
+    for k, sizes in folded.groupBy("block").applyInArrow(packed, "block int, sizes binary").collect():
+        table[k * block : (k + 1) * block] = np.frombuffer(bytes(sizes), np.uint8)
+    counts, n_words = np.zeros(SYLLABLES), 0.0
+    for place, n in counted.where("place < 0").collect():  # 11173 rows at most
+        if place == words:
+            n_words = float(n)
+        else:
+            counts[single - place] = n
+    return Model(counts, n_words, table)
 
 
 def edges(data: list[int], at: int, writer: str, model: Model) -> Iterator[tuple[int, object, bool]]:
@@ -166,50 +220,70 @@ def edges(data: list[int], at: int, writer: str, model: Model) -> Iterator[tuple
             yield width, char, True
 
 
+def other_cost(char: str) -> float:
+    """Log probability of a character that is no syllable."""
+    return -2.0 if ord(char) < 0x80 else -6.0 if "‐" <= char <= "⁄" else -12.0
+
+
 def decode(data: list[int], writer: str, model: Model) -> tuple[str, float, int, int] | None:
     """The best path: its text, log probability, fully known multi-byte characters, and restored ones.
 
-    A lost byte that no edge covers costs much and stays a replacement character.
+    A lost byte that no edge covers costs much and stays a replacement character. Each place keeps every state that a
+    path can be in there: the beginning of a corpus word, or the last syllable of a word that is none.
     """
+    if min(data) >= 0:
+        try:
+            bytes(data).decode(writer)  # without wildcards there is one path, or none
+        except UnicodeDecodeError:
+            return None
     n = len(data)
-    #: place -> last syllable -> (score, text, known, restored)
-    best: list[dict[int, tuple[float, str, int, int]]] = [{} for _ in range(n + 1)]
-    best[0][-1] = (0.0, "", 0, 0)
+    #: (place before, character, whether all its bytes are known) of each step taken.
+    steps: list[tuple[int, str, bool]] = [(-1, "", True)]
+    #: place -> state -> (score, beginning, last syllable, step)
+    best: list[dict[tuple[int, int], tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
+    best[0][int(ROOT), -1] = (0.0, int(ROOT), -1, 0)
+
+    def reach(place: int, score: float, h: int, last: int, before: int, char: str, sure: bool) -> None:
+        key = (h, last if h == int(OFF) else -1)
+        if key not in best[place] or best[place][key][0] < score:
+            steps.append((before, char, sure))
+            best[place][key] = (score, h, last, len(steps) - 1)
+
     for at in range(n):
         if not best[at]:
             continue
-        steps = list(edges(data, at, writer, model))
-        lost = data[at] < 0
-        states = sorted(best[at].items(), key=lambda x: -x[1][0])[:40]
-        for last, (score, text, known, restored) in states:
-            for width, char, sure in steps:
-                if isinstance(char, str):
-                    s = ord(char) - FIRST
-                    if 0 <= s < SYLLABLES:
-                        gain = float(model.step(last, np.array([s]))[0])
-                    else:
-                        s, gain = -1, (-2.0 if ord(char) < 0x80 else -6.0 if "‐" <= char <= "⁄" else -12.0)
-                    put(best[at + width], s, (score + gain, text + char, known + (ord(char) >= 0x80), restored))
-                else:
-                    gains = model.step(last, char)
-                    for k in np.argsort(-gains)[:24]:
-                        put(best[at + width], int(char[k]), (score + float(gains[k]), text + chr(FIRST + int(char[k])), known, restored + 1))
-            if lost:
-                put(best[at + 1], -1, (score - 25.0, text + LOST, known, restored))
+        rows = list(best[at].values())
+        score, h, last = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows])
+        left = score + model.leave(h, last)
+        top = int(left.argmax())
+        for width, char, sure in edges(data, at, writer, model):
+            if isinstance(char, str) and not 0 <= ord(char) - FIRST < SYLLABLES:
+                reach(at + width, left[top] + other_cost(char), int(ROOT), -1, rows[top][3], char, sure)
+                continue
+            syllables = np.array([ord(char) - FIRST]) if isinstance(char, str) else char
+            gain, nxt = model.step(h, last, syllables)
+            total = score[:, None] + gain
+            inside = nxt != OFF
+            outside = np.where(inside, -np.inf, total)
+            for k, row in enumerate(outside.argmax(axis=0)):
+                if outside[row, k] > -np.inf:
+                    reach(at + width, outside[row, k], int(OFF), int(syllables[k]), rows[row][3], chr(FIRST + int(syllables[k])), sure)
+            for row, k in zip(*np.nonzero(inside)):
+                reach(at + width, total[row, k], int(nxt[row, k]), int(syllables[k]), rows[row][3], chr(FIRST + int(syllables[k])), sure)
+        if data[at] < 0:
+            reach(at + 1, left[top] - 25.0, int(ROOT), -1, rows[top][3], LOST, False)
     if not best[n]:
         return None
-
-    def rated(x: tuple[float, str, int, int]) -> float:
-        word = [ord(c) - FIRST for c in x[1] if FIRST <= ord(c) < FIRST + SYLLABLES]
-        return x[0] + (float(np.log1p(model.word[word_bucket(word)])) if word else 0.0)
-
-    score, text, known, restored = max(best[n].values(), key=rated)
-    return text, score, known, restored
-
-
-def put(states: dict, key: int, value: tuple) -> None:
-    if key not in states or states[key][0] < value[0]:
-        states[key] = value
+    rows = list(best[n].values())
+    left = np.array([r[0] for r in rows]) + model.leave(np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows]))
+    top = int(left.argmax())
+    text, known, restored, step = [], 0, 0, rows[top][3]
+    while step > 0:
+        step, char, sure = steps[step]
+        text.append(char)
+        known += sure and ord(char) >= 0x80
+        restored += not sure and char != LOST
+    return "".join(reversed(text)), float(left[top]), known, restored
 
 
 def plausible(text: str, model: Model, writer: str) -> bool:
@@ -222,7 +296,10 @@ def plausible(text: str, model: Model, writer: str) -> bool:
 
 
 def restore_token(token: str, model: Model) -> tuple[str, str] | None:
-    """(restored token, channel) of the most probable channel; None for a token that was read rightly."""
+    """(restored token, channel) of the most probable channel; None for a token that was read rightly.
+
+    The channel is empty where bytes are lost and no channel restores any of them.
+    """
     best: tuple[float, str, str] | None = None
     for reader, writer in CHANNELS:
         if reader == "utf-8" and LOST not in token:
@@ -239,12 +316,14 @@ def restore_token(token: str, model: Model) -> tuple[str, str] | None:
         rate = score / max(1, len(text)) - 3.0 * text.count(LOST)
         if best is None or rate > best[0]:
             best = (rate, text, f"{writer} read as {reader}")
+    if best is None and LOST in token:  # a wildcard in every lattice, and none has a better path than the loss itself
+        return token, ""
     return best and best[1:]
 
 
 def restore(text: str, model: Model, cache: dict) -> tuple[str, str | None, bool]:
     """(restored text, channel or None, whether the row is damaged). Damage of damage is undone in turn."""
-    channel, damaged = None, LOST in text
+    channel, damaged = None, False
     for _ in range(3):
         out, changed = [], False
         for token in text.split(" "):
@@ -257,7 +336,7 @@ def restore(text: str, model: Model, cache: dict) -> tuple[str, str | None, bool
                 cache[token] = restore_token(token, model)
             got = cache[token]
             if got:
-                changed, damaged, channel = True, True, channel or got[1]
+                changed, damaged, channel = changed or got[0] != token, True, channel or got[1] or None
                 out.append(got[0])
             else:
                 out.append(token)

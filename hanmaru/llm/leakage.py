@@ -5,8 +5,9 @@ Both sides are lower-cased and reduced to letters and numbers. Each chunk of a s
 is extended to both sides. A run of at least 2 * STEP characters holds a sampled suffix with at least STEP characters
 after it, so for runs from 2 * STEP = 40 on the search is exact, at a twentieth of the suffixes.
 
-The test items are a stated query set: they go to the executors in blocks of a bounded number of characters, one pass
-over the training texts per block. Training texts are never shuffled; only the (document, item) matches are.
+The test items are a stated query set: they go to the executors in blocks of a bounded number of characters, ``WAVE``
+blocks in one pass over the training texts, which are read, folded and sorted once for all of them. Training texts are
+never shuffled; only the (document, item) matches are.
 
 Null, empty and blank texts and items match nothing; repeated documents each match; an item that occurs several times
 in a document gives one row with the longest match (the first in the document at equal length).
@@ -15,6 +16,7 @@ in a document gives one row with the longest match (the first in the document at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ STEP = RUN // 2
 #: Characters of test items in a block: what one broadcast holds at most, about 20 bytes each.
 BLOCK_CHARS = 2_000_000
 SHARD_CHARS = 3_000_000
+#: Blocks that one pass searches, and how many of them a worker keeps ready; the others are made ready for each shard.
+WAVE, READY = 32, 4
 
 
 def pack(a: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -54,6 +58,17 @@ def joined(texts: list[str], separator: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array(starts, np.int64)
 
 
+class Shard:
+    """Training texts in a row, with the suffix array of every STEP-th suffix."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.codes, self.starts = joined(texts, 2)
+        at = np.arange(RUN, len(self.codes) - 2 * RUN, STEP)
+        keys = pack(self.codes, at) if len(at) else np.zeros((STEP // 4, 0), np.uint64)
+        order = np.lexsort(keys[::-1])
+        self.at, self.keys = at[order], keys[:, order]
+
+
 class Queries:
     """The test suffixes of one block."""
 
@@ -66,15 +81,12 @@ class Queries:
         self.at = np.concatenate(spots) if spots else np.zeros(0, np.int64)
         self.keys = pack(self.codes, self.at) if len(self.at) else np.zeros((STEP // 4, 0), np.uint64)
 
-    def search(self, a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text number, item id, length, place in text, place in item) of every maximal hit in a chunk."""
+    def search(self, shard: Shard) -> tuple[np.ndarray, ...]:
+        """(text number, item id, length, place in text, place in item) of every maximal hit in a shard."""
         nothing = tuple(np.zeros(0, np.int64) for _ in range(5))
-        at = np.arange(RUN, len(a) - 2 * RUN, STEP)
+        a, starts, at, keys = shard.codes, shard.starts, shard.at, shard.keys
         if not len(at) or not len(self.at):
             return nothing
-        keys = pack(a, at)
-        order = np.lexsort(keys[::-1])
-        at, keys = at[order], keys[:, order]
         lo = np.searchsorted(keys[0], self.keys[0], "left")
         hi = np.searchsorted(keys[0], self.keys[0], "right")
         query = np.flatnonzero(lo < hi)
@@ -157,27 +169,36 @@ def matches(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key:
     spark = corpus.sparkSession
     source = corpus.where(F.length(text) >= RUN).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     passes = []
-    for block in blocks(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(block)
+    made = blocks(items, item_key, item_text)
+    while wave := list(islice(made, WAVE)):
+        shared = [spark.sparkContext.broadcast(block) for block in wave]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries = None
+            ready: dict[int, Queries] = {}
             ids: list[int] = []
             texts: list[str] = []
 
+            def of(k: int) -> Queries:
+                if k in ready:
+                    return ready[k]
+                queries = Queries(shared[k].value)
+                if len(ready) < READY:
+                    ready[k] = queries
+                return queries
+
             def flush() -> Iterator[pa.RecordBatch]:
                 for i, j in chunks(texts, SHARD_CHARS):
-                    a, starts = joined(texts[i:j], 2)
-                    number, item, *rest = queries.search(a, starts)
-                    if len(number):
-                        columns = [np.array(ids[i:j], np.int64)[number], item, *rest]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "length", "doc_pos", "item_pos"])
+                    shard = Shard(texts[i:j])
+                    for k in range(len(shared)):
+                        number, item, *rest = of(k).search(shard)
+                        if len(number):
+                            columns = [np.array(ids[i:j], np.int64)[number], item, *rest]
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "length", "doc_pos", "item_pos"])
                 ids.clear()
                 texts.clear()
 
             size = 0
             for batch in batches:
-                queries = queries or Queries(shared.value)
                 for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     value = bare(value)
                     if len(value) < RUN or number is None:

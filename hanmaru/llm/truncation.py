@@ -4,8 +4,9 @@ Positives are made: intact values are cut at random places, some with the mark t
 logistic regression learns, from the closing characters, the punctuation, the last line and the distance to the limit
 of the source's field, what tells their ends from ends of intact values; then it scores every record.
 
-Field limits come from all records: a source has a limit of n characters (or bytes) if many of its texts have exactly
-that length and hardly one is longer. The regression is fitted on a sample of at most ``SAMPLE`` records, taken by a
+Field limits come from all records: a source has a limit of n characters (or bytes) if at least 5 and 2 % of its texts
+have exactly that length and at most 5 % are longer; a limit that fewer texts reach isn't seen, and those texts are
+judged by their ends alone. The regression is fitted on a sample of at most ``SAMPLE`` records, taken by a
 hash of the key; the few that are cut themselves count as intact at first and are left out of the later fits.
 
 Null, empty and blank texts are never truncated. Without any intact text of 20 characters to learn from, every score is 0. Rows of a null source are scored without a limit.

@@ -231,6 +231,63 @@ def test_damage_is_found_and_undone(spark):
     assert encoding.restored(df.limit(0), "id", "sentence", empty).count() == 0
 
 
+CORPUS = ["상담원이 신청서를 점검했습니다", "간호사가 진료 기록을 등록하지 못했습니다", "담당 직원이 회의록을 조회했어요", "보호자가 다시 알아보았다", "사서가 서고 목록을 정리하기로 했다", "관리인이 주차권을 나누어 주었다"]
+
+
+def model_of(spark, texts=CORPUS):
+    return encoding.corpus_model(spark.createDataFrame([(t,) for t in texts * 40], "sentence string"), "sentence")
+
+
+def damaged(text, reader, writer, rng, lost):
+    """text written in writer and read with reader, some of its bytes lost."""
+    out = ""
+    for byte in text.encode(writer):
+        shown = bytes([byte]).decode(reader, "ignore") or chr(byte)
+        out += "�" if byte >= 0x80 and rng.random() < lost else shown
+    return out
+
+
+@pytest.mark.parametrize("reader, writer", [("cp1252", "utf-8"), ("cp1252", "euc-kr"), ("koi8-r", "euc-kr"), ("mac-roman", "utf-8"), ("cp437", "euc-kr")])
+def test_most_damaged_characters_are_restored(spark, reader, writer):
+    """Held-out sentences of the real table, damaged on purpose, a twentieth of their bytes lost."""
+    table = spark.read.parquet("/root/testdata/sf0.01/ner_examples.parquet").where("sentence is not null").where(~encoding.suspicious(F.col("sentence")))
+    model = encoding.corpus_model(table.where("id % 5 <> 0"), "sentence")
+    rng, right, total = np.random.default_rng(1), 0, 0
+    for row in table.where("id % 5 = 0").orderBy("id").limit(40).collect():
+        fixed = encoding.restore(damaged(row.sentence, reader, writer, rng, 0.05), model, {})[0]
+        for a, b in zip(row.sentence.split(" "), fixed.split(" ")):
+            letters = [k for k, c in enumerate(a) if "가" <= c <= "힣"]
+            total += len(letters)
+            right += sum(a[k] == b[k] for k in letters) if len(a) == len(b) else 0
+    assert right / total >= 0.9
+
+
+def test_the_search_is_exact(spark):
+    """The best path has the score of the best of all paths, spelt out one by one."""
+    import itertools
+
+    model = model_of(spark)
+    for word, lost in (("상담", (1, 4)), ("보호자", (2,)), ("기록을", (0, 8)), ("가가", (0, 1, 3)), ("주차권", (4, 7))):
+        data = list(word.encode("utf-8"))
+        for k in lost:
+            data[k] = -1
+        choices = [model.fits(data[3 * k : 3 * k + 3], "utf-8") for k in range(len(word))]
+        best = -np.inf
+        for path in itertools.product(*choices):
+            h, last, score = np.array([encoding.ROOT]), np.array([-1]), 0.0
+            for c in path:
+                gain, nxt = model.step(h, last, np.array([c]))
+                score, h, last = score + gain[0, 0], nxt[0], np.array([c])
+            best = max(best, score + model.leave(h, last)[0])
+        assert encoding.decode(data, "utf-8", model)[1] == pytest.approx(best)
+
+
+def test_lost_bytes_are_damage_even_if_nothing_comes_back(spark):
+    model = model_of(spark)
+    assert encoding.restore("��� 점검", model, {}) == ("��� 점검", None, True)
+    assert encoding.restore("점검 café", model, {})[2] is False
+
+
 LOOKS = [
     ("a", "번호 ABC-12 확인"), ("b", "번호 АВС‐12 확인"), ("c", "번​호 ＡＢＣ-１２ 확인"), ("d", unicodedata.normalize("NFD", "번호 ABC-12 확인")), ("e", "번호 abc-12 확인"), ("f", "번호 ABC-①2 확인"), ("g", "résumé"), ("h", "résumé"), ("i", "resume"), ("j", None), ("k", ""), ("l", "​"), ("a", "번호 ABC-12 확인"), (None, "résumé"),
 ]
@@ -412,8 +469,9 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     expected = {(d, i) for d, b in reduced.items() for i, r in runs.items() if any(b[p : p + 40] in r for p in range(len(b) - 39))}
     corpus = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, item_id int")
     held = spark.createDataFrame(items, "item_id long, text string")
-    for block in (2_000_000, 300):
-        monkeypatch.setattr(leakage, "BLOCK_CHARS", block)
+    for block, wave, ready in ((2_000_000, 32, 4), (300, 32, 1), (300, 2, 0)):
+        for name, value in (("BLOCK_CHARS", block), ("WAVE", wave), ("READY", ready)):
+            monkeypatch.setattr(leakage, name, value)
         rows = leakage.matches(corpus, "doc_id", "text", held, "item_id", "text").collect()
         assert {(r.doc_id, r.item_id) for r in rows} == expected and len(rows) == len(expected)
         for r in rows:
