@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hanmaru.functions.text import content_hash, squash
+from hanmaru.functions.text import content_hash, let, squash
 from hanmaru.functions.validate import bio_valid
 
 LABELS = ("O", "B-NAME", "I-NAME", "B-ORG", "I-ORG", "B-ADDRESS", "I-ADDRESS")
@@ -122,6 +122,28 @@ def drawn(df: DataFrame, keys: list[str], sizes: DataFrame, key: str, seed: str)
     return likely.withColumn("_rank", rank).where("_rank <= size").drop("_draw", "_rank", "n", "size")
 
 
+def hash_draw(key: str, seed: str = "") -> Column:
+    """A number below 2**32 from the hash of a key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def with_negatives(df: DataFrame, positive: Column, key: str, ratio: float) -> DataFrame:
+    """(key, positive): all positive rows and the first ratio times as many others in the order of their key's hash.
+
+    Others are counted by the first 16 bits of their hash; those below the class in which the number is reached are
+    taken, and only that class is ranked, so no task sorts more than a class.
+    """
+    rows = df.select(key, F.coalesce(positive, F.lit(False)).alias("positive"), F.md5(F.col(key).cast("string")).alias("h"))
+    kinds = rows.groupBy("positive", F.when(~F.col("positive"), F.substring("h", 1, 4)).alias("kind")).agg(F.count("*").alias("n"))  # 65537 rows at most
+    wanted = kinds.agg(F.floor(F.coalesce(F.sum(F.when(F.col("positive"), F.col("n"))), F.lit(0)) * ratio).alias("wanted"))
+    upto = F.coalesce(F.sum("n").over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = kinds.where("not positive").select("kind", "n", upto.alias("before")).crossJoin(wanted).where("before < wanted")
+    others = rows.where("not positive").withColumn("kind", F.substring("h", 1, 4)).join(F.broadcast(classes), "kind")
+    whole = others.where("before + n <= wanted").select(key, "positive")
+    border = others.where("before + n > wanted").withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("h", key))).where("before + k <= wanted").select(key, "positive")
+    return rows.where("positive").select(key, "positive").unionAll(whole).unionAll(border)
+
+
 def first_sentence(text: Column, least: int, most: int) -> Column:
     """The first sentence whose length lies between least and most."""
     parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: squash(s))
@@ -249,11 +271,34 @@ def diverse(df: DataFrame, key: str, vector: str, threshold: float, cut) -> Data
             return state.where("kept").select(F.col("k").alias(key))
 
 
-def html_body(html: Column, most: int = 100_000) -> Column:
-    """Text of a page: scripts, styles and tags dropped, blanks squeezed, blank lines gone."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1\s*>", " "), r"(?s)<[^>]+>", " ")
+def html_body(html: Column, selectors: Sequence[str] = (), most: int = 100_000) -> Column:
+    """Text of a page's main part: the first element whose class is one of the selectors, else the article, else the paragraphs.
+
+    Where there is no paragraph either, all text counts. Scripts, styles and navigation are dropped, then tags; blanks
+    are squeezed, blank lines go. An element ends at its first closing tag, so selectors should name innermost ones.
+    """
+    clean = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav)[^>]*>.*?</\1\s*>", " ")
+    picks = []
+    for name in selectors:
+        picks.append(lambda c, name=name: F.regexp_extract(c, rf'(?is)<(\w+)[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</\1\s*>', 2))
+    picks.append(lambda c: F.regexp_extract(c, r"(?is)<article[^>]*>(.*?)</article\s*>", 1))
+    picks.append(lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"), F.lit(1)), "\n"))
+    main = let(clean, lambda c: F.coalesce(*(F.nullif(pick(c), F.lit("")) for pick in picks), c))
+    text = F.regexp_replace(main, r"(?s)<[^>]+>", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), r" ?\n[ \n]*", "\n")
-    return F.nullif(F.trim(F.substring(F.trim(F.regexp_replace(text, r"^\n+|\n+$", "")), 1, most)), F.lit(""))
+    return F.nullif(F.trim(F.substring(F.trim(F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")), 1, most)), F.lit(""))
+
+
+def json_path(record: Column, path: str) -> Column:
+    """The value at a path such as a.0.b in a JSON text; null if there is none."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
+    return F.get_json_object(record, "$" + steps)
+
+
+def filled(template: Column, values: Column) -> Column:
+    """{{name}} in a template replaced by the value of the name, by nothing if it has none."""
+    parts = F.arrays_zip(F.split(template, r"\{\{\w+\}\}", -1).alias("g"), F.regexp_extract_all(template, F.lit(r"\{\{(\w+)\}\}"), F.lit(1)).alias("n"))
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["g"], F.coalesce(F.element_at(values, p["n"]), F.lit("")))), "")
 
 
 def rss_links(xml: Column, limit: int = 15) -> Column:

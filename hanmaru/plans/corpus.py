@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -11,20 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hanmaru.functions.lists import SURNAMES
 from hanmaru.functions.text import content_hash, squash
 from hanmaru.operators import corpus as C
-from hanmaru.plans.normalisation import SQUASH, fixture, sql_fixture
+from hanmaru.plans.normalisation import SQUASH
 from hanmaru.sources import sinks
 from hanmaru.sources.readers import composed, inspected
-from hanmaru.sources.tables import table
+from hanmaru.sources.tables import shared_folder, table
 from hanmaru.streaming import ingest
 
 LICENCES = ["CC-BY", "CC0"]
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-tables")
-    path = f"{named}/hanmaru-{uuid.uuid4().hex}"
+    """A new folder where all executors can write; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/hanmaru-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
@@ -114,8 +110,10 @@ def bio_round_trip(spark: SparkSession, root: str) -> DataFrame:
 
 
 def word_bio(spark: SparkSession, root: str) -> DataFrame:
-    df = spark.createDataFrame([(1, ["김민수", "왔다"], ["B-NAME", "O"]), (2, ["서울", "강남구", "갔다"], ["B-ADDRESS", "I-ADDRESS", "O"]), (3, [], [])], "id int, words array<string>, names array<string>")
-    return df.select("id", F.array_join(C.word_to_char_bio(F.col("words"), F.col("names")), " ").alias("out"))
+    """Labels of words (every third one begins an organisation that the next goes on with) as labels of characters."""
+    rows = table(spark, root, "ner_examples", "id", "sentence").where("sentence is not null").withColumn("words", F.split("sentence", " ")).where(~F.array_contains("words", ""))
+    names = F.transform("words", lambda _, k: F.when(k % 3 == 0, "B-ORG").when(k % 3 == 1, "I-ORG").otherwise("O"))
+    return rows.select("id", F.array_join(C.word_to_char_bio(F.col("words"), names), " ").alias("out"))
 
 
 def gazetteer(spark: SparkSession, root: str) -> DataFrame:
@@ -174,10 +172,7 @@ def stratified(spark: SparkSession, root: str) -> DataFrame:
 def negatives(spark: SparkSession, root: str) -> DataFrame:
     """All rows with entities and half as many without, by a hash of the id."""
     rows = examples(spark, root, "id", "n_entities").where("n_entities is not null")
-    n = rows.agg(F.count_if(F.col("n_entities") > 0).alias("n_pos"))
-    ranked = rows.where("n_entities = 0").select("id", F.row_number().over(Window.partitionBy(F.pmod("id", F.lit(1))).orderBy(md5_order("id"), "id")).alias("k"))
-    kept = ranked.join(F.broadcast(n), F.col("k") <= F.floor(F.col("n_pos") * 0.5)).select("id")
-    return rows.where("n_entities > 0").select("id", F.lit(True).alias("positive")).unionAll(kept.select("id", F.lit(False).alias("positive")))
+    return C.with_negatives(rows, F.col("n_entities") > 0, "id", 0.5)
 
 
 def first_sentences(spark: SparkSession, root: str) -> DataFrame:
@@ -231,7 +226,7 @@ def purge_sink(spark: SparkSession, root: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, root: str) -> DataFrame:
     stream = ingest.parquet_stream(spark, root, "documents").select("doc_id", "text", "collected_at").where("text is not null")
-    return ingest.run_once(ingest.deduplicated(stream, "text", "collected_at", "36500 days"), folder(spark)).select(content_hash(F.col("text")).alias("h"))
+    return ingest.run_once(ingest.deduplicated(stream, "text", "collected_at", "30 days"), folder(spark)).select(content_hash(F.col("text")).alias("h"))
 
 
 def stream_mask(spark: SparkSession, root: str) -> DataFrame:
@@ -285,10 +280,40 @@ def name_tiers(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-PAGES = ["<html><script>var a=1;</script><p>안녕 <b>하세요</b></p>\n\n<style>p{}</style><p>끝</p></html>", "", "plain", "<div></div>"]
-FEEDS = ["<rss><link>https://a.example/1</link><link>https://a.example/rss</link><link>https://a.example/1</link></rss>", '<feed><link rel="x" href="https://b.example/2"/></feed>', "none"]
-PATHS = ['{"a": [{"b": "x"}]}', '{"a": []}', "broken"]
-VERDICTS = ['{"contains_pii": true, "confidence": 0.9}', '{"contains_pii": true, "confidence": 0.5}', '{"contains_pii": false, "confidence": 0.9}', "not json"]
+def pages(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as pages of a site, and the body that is read from each: the main part by selector, else the densest one."""
+    rows = table(spark, root, "documents", "doc_id", "text").where("text is not null")
+    plain = F.regexp_replace("text", "[<>&]", " ")
+    page = F.concat(
+        F.lit("<html><head><style>p{}</style><script>var a=1;</script></head><body><nav><p>메뉴</p></nav>"),
+        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("<article><p>"), plain, F.lit("</p></article>"))).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit('<div class="view_cont"><b>'), plain, F.lit("</b></div>"))).otherwise(F.concat(F.lit("<p>"), plain, F.lit("</p>"))),
+        F.lit("</body></html>"),
+    )
+    return rows.select("doc_id", C.html_body(page, ["view_cont", "article_body"]).alias("body"))
+
+
+def feeds(spark: SparkSession, root: str) -> DataFrame:
+    """Feeds made of sources and their runs, and the links read from them: each once, in order, without the feed's own."""
+    rows = table(spark, root, "collector_runs", "run_id", "source").dropDuplicates(["run_id"]).where("source is not null")
+    n = F.col("run_id").cast("string")
+    link = lambda *parts: F.concat(F.lit("<link>https://a.example/"), *parts, F.lit("</link>"))
+    feed = F.concat(F.lit("<rss>"), link(F.lit("rss")), link(n), link(F.lit("x")), link(n), F.lit('<link rel="x" href="https://b.example/'), n, F.lit('"/></rss>'))
+    return rows.select("run_id", F.array_join(C.rss_links(feed), " ").alias("links"))
+
+
+def paths(spark: SparkSession, root: str) -> DataFrame:
+    """A value by its path in a record, and a template filled with it."""
+    rows = table(spark, root, "collector_runs", "run_id", "source").dropDuplicates(["run_id"]).where("source is not null")
+    record = F.to_json(F.struct(F.array(F.struct(F.col("source").alias("b"))).alias("a")))
+    return rows.select("run_id", C.json_path(record, "a.0.b").alias("value"), C.filled(F.lit("run {{id}} of {{source}}, {{none}}"), F.create_map(F.lit("id"), F.col("run_id").cast("string"), F.lit("source"), F.col("source"))).alias("text"))
+
+
+def verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """Verdicts of a judge as it might write them, and whether each blocks."""
+    rows = table(spark, root, "analyze_l0_deep", "id", "any_detected", "total_latency_ms").dropDuplicates(["id"]).where("any_detected is not null and total_latency_ms is not null")
+    sure = F.pmod("total_latency_ms", F.lit(100))
+    said = F.concat(F.lit('{"contains_pii": '), F.col("any_detected").cast("string"), F.lit(', "confidence": 0.'), F.lpad(sure.cast("string"), 2, "0"), F.when(sure % 10 == 9, "").otherwise("}"))
+    return rows.select("id", judged(said).alias("blocks"))
 
 
 def judged(c: Column) -> Column:
@@ -303,7 +328,7 @@ QUERIES = {
     "run_gaps": run_gaps, "balanced_sample": balanced, "stratified_alloc": stratified_sizes, "stratified_sample": stratified, "negative_ratio": negatives, "first_sentences": first_sentences, "diversity_filter": diverse, "compose_records": composed_rows, "size_split": sized,
     "audit_sink": audit_sink, "insert_sink": insert_sink, "purge_sink": purge_sink, "stream_dedup": stream_dedup, "stream_mask": stream_mask, "stream_insert": stream_insert, "schema_inspect": schema_columns,
     "log_listing": log_listing, "most_common": most_common, "separation_proof": separation, "judge_append": judge_append, "name_tiers": name_tiers,
-    "html_body": fixture(PAGES, C.html_body), "rss_links": fixture(FEEDS, lambda c: F.array_join(C.rss_links(c), " ")), "json_path": fixture(PATHS, lambda c: F.get_json_object(c, "$.a[0].b")), "judge_rule": fixture(VERDICTS, judged),
+    "html_body": pages, "rss_links": feeds, "json_path": paths, "judge_rule": verdicts,
 }
 HASH = "sha256(" + SQUASH.replace("{t}", "{c}") + ")"
 NER_HASH = HASH.replace("{c}", "sentence")
@@ -342,8 +367,11 @@ ORACLES = {
     "separation_proof": "WITH g AS (SELECT DISTINCT " + NER_HASH + " AS h FROM ner_examples WHERE sentence IS NOT NULL), w AS (SELECT DISTINCT " + NER_HASH + " AS h FROM weak_examples WHERE sentence IS NOT NULL) SELECT 'gold' AS part, count(*) AS n FROM g UNION ALL SELECT 'weak', count(*) FROM w UNION ALL SELECT 'both', count(*) FROM g JOIN w USING (h)",
     "judge_append": "SELECT id, array_to_string(list_sort(list_concat([x.layer FOR x IN layer_results], CASE WHEN NOT any_detected THEN ['judge'] ELSE [] END)), ',') AS layers FROM (SELECT DISTINCT ON (id) id, any_detected, layer_results FROM analyze_l0_deep)",
     "name_tiers": "SELECT CASE WHEN regexp_matches(v, '[A-Za-z]') THEN 'latin' WHEN regexp_matches(v, '^(남궁|황보|제갈|선우|독고|사공|서문)') THEN 'double' WHEN regexp_full_match(v, '[" + SURNAMES + "][가-힣]{2}') THEN 'three' WHEN regexp_full_match(v, '[" + SURNAMES + "][가-힣]') THEN 'two' ELSE 'other' END AS tier, count(*) AS n FROM (SELECT trim(entry_value) AS v FROM gazetteers WHERE entity_type = 'NAME' AND trim(entry_value) <> '') GROUP BY 1",
-    "json_path": sql_fixture(PATHS, "CASE WHEN json_valid(value) THEN json_extract_string(value, '$.a[0].b') END"),
-    "judge_rule": sql_fixture(VERDICTS, "CASE WHEN json_valid(value) THEN coalesce(CAST(json_extract_string(value, '$.contains_pii') AS BOOLEAN) AND CAST(json_extract_string(value, '$.confidence') AS DOUBLE) >= 0.7, false) ELSE false END"),
-    "rss_links": sql_fixture(FEEDS, "coalesce(array_to_string([x FOR x IN (SELECT list(u ORDER BY i) FROM (SELECT u, min(i) AS i FROM (SELECT unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT list_concat(regexp_extract_all(value, '<link>\\s*(https?://[^<\\s]+)\\s*</link>', 1), regexp_extract_all(value, '<link[^>]+href=\"(https?://[^\"]+)\"', 1)) AS l)) GROUP BY u)) IF NOT contains(lower(x), 'rss')], ' '), '')"),
-    "word_bio": "SELECT * FROM (VALUES (1, 'B-NAME I-NAME I-NAME O O O'), (2, 'B-ADDRESS I-ADDRESS I-ADDRESS I-ADDRESS I-ADDRESS I-ADDRESS O O O'), (3, '')) t(id, out)",
+    "html_body": "SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '[ \\t\\x{0b}\\f\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')), '') AS body FROM documents WHERE text IS NOT NULL",
+    "json_path": f"SELECT run_id, source AS value, 'run ' || run_id || ' of ' || source || ', ' AS text FROM {RUNS} WHERE source IS NOT NULL",
+    "rss_links": f"SELECT run_id, 'https://a.example/' || run_id || ' https://a.example/x https://b.example/' || run_id AS links FROM {RUNS} WHERE source IS NOT NULL",
+    "judge_rule": "SELECT id, any_detected AND total_latency_ms % 100 >= 70 AND total_latency_ms % 10 <> 9 AS blocks FROM (SELECT DISTINCT ON (id) * FROM analyze_l0_deep) WHERE any_detected IS NOT NULL AND total_latency_ms IS NOT NULL",
+    "word_bio": "WITH w AS (SELECT id, string_split(sentence, ' ') AS w FROM ner_examples WHERE sentence IS NOT NULL), u AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w WHERE len([y FOR y IN w IF y = '']) = 0), "
+    "t AS (SELECT *, CASE WHEN k % 3 = 1 THEN 'B-ORG' WHEN k % 3 = 2 THEN 'I-ORG' ELSE 'O' END AS t FROM u) "
+    "SELECT id, string_agg(CASE WHEN k = 1 THEN '' WHEN t = 'I-ORG' THEN 'I-ORG ' ELSE 'O ' END || t || repeat(CASE WHEN t = 'O' THEN ' O' ELSE ' I-ORG' END, length(x) - 1), ' ' ORDER BY k) AS out FROM t GROUP BY id",
 }

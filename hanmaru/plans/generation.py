@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hanmaru.functions import validate as V
 from hanmaru.functions.text import CIRCLED
 from hanmaru.operators import generate as G
-from hanmaru.plans.normalisation import fixture, sql_fixture
+from hanmaru.plans.normalisation import check_sum, checked, sql_checked
 from hanmaru.sources.tables import table
 
-N = 2000
+IDS = "(SELECT unnest(range((SELECT count(*) FROM supplier))) AS id)"
 
 
-def generated(make, check):  # type: ignore[no-untyped-def]
-    """(n, n_distinct, n_valid) of generated numbers."""
+def draw_sql(seed: str, below: int) -> str:
+    """The number that generate.draw() takes from the hash of a seed and an id."""
+    return f"(CAST('0x' || substring(md5('{seed}:' || id), 1, 12) AS BIGINT) % {below})"
+
+
+def generated(make):  # type: ignore[no-untyped-def]
+    """(id, value): numbers with check digits, one for each supplier."""
 
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return make(spark, N).agg(F.count("*").alias("n"), (F.countDistinct("value") > 0.99 * N).alias("distinct"), F.count_if(check(F.col("value"))).alias("n_valid"))
+        return make(spark, table(spark, root, "supplier", "s_suppkey").count())
 
     return run
 
@@ -40,17 +45,23 @@ def simple_mutations(spark: SparkSession, root: str) -> DataFrame:
     return mutated(spark, root).where("name in ('fullwidth', 'circled', 'kr_digits', 'no_dash', 'dots', 'soft_hyphen')").select("pii_type", "name", "text").distinct()
 
 
-PHONES = ["010-1234-5678", "02-123-4567", "a.b@c.example", "kim@x.co", "4111111111111111", "x"]
 QUERIES = {
-    "generate_resident": generated(G.resident_numbers, lambda c: V.resident(c, "strict")), "generate_business": generated(G.business_numbers, V.business), "generate_card": generated(G.card_numbers, V.card),
-    "mutation_explode": mutated, "mutation_counts": mutation_counts, "mutation_simple": simple_mutations, "partial_mask": fixture(PHONES, G.partly_masked),
+    "generate_resident": generated(G.resident_numbers), "generate_business": generated(G.business_numbers), "generate_card": generated(G.card_numbers),
+    "mutation_explode": mutated, "mutation_counts": mutation_counts, "mutation_simple": simple_mutations, "partial_mask": checked(G.partly_masked),
 }
 SIMPLE = {
     "fullwidth": ("translate(v, '" + G.ASCII_ALNUM + "', '" + G.WIDE_ALNUM + "')", "regexp_matches(v, '[0-9]')"), "circled": ("translate(v, '0123456789', '" + CIRCLED + "')", "regexp_matches(v, '[0-9]')"), "kr_digits": ("translate(v, '0123456789', '" + G.READINGS + "')", "regexp_matches(v, '[0-9]')"),
     "no_dash": ("replace(v, '-', '')", "contains(v, '-')"), "dots": ("replace(v, '-', '.')", "contains(v, '-')"), "soft_hyphen": ("array_to_string([substring(v, CAST(i AS INT), 1) FOR i IN range(1, length(v) + 1)], chr(173))", "length(v) > 0"),
 }
 ORACLES = {
-    **{f"generate_{k}": f"SELECT CAST({N} AS BIGINT) AS n, true AS \"distinct\", CAST({N} AS BIGINT) AS n_valid" for k in ("resident", "business", "card")},
+    "generate_resident": f"WITH b AS (SELECT id, strftime(day, '%y%m%d') || CAST(CASE WHEN year(day) < 2000 THEN 1 ELSE 3 END + {draw_sql('rc', 2)} AS VARCHAR) || lpad(CAST({draw_sql('rs', 100000)} AS VARCHAR), 5, '0') AS b FROM (SELECT id, DATE '1940-01-01' + CAST({draw_sql('rd', 29000)} AS INT) AS day FROM {IDS})) "
+    f"SELECT id, substring(b, 1, 6) || '-' || substring(b, 7, 6) || CAST((11 - ({check_sum(V.RESIDENT_WEIGHTS).format(d='b')}) % 11) % 10 AS VARCHAR) AS value FROM b",
+    "generate_business": f"WITH b AS (SELECT id, lpad(CAST({draw_sql('b', 900_000_000)} + 100000000 AS VARCHAR), 9, '0') AS b FROM {IDS}), t AS (SELECT *, {check_sum(V.BUSINESS_WEIGHTS[:8]).format(d='b')} + CAST(substring(b, 9, 1) AS INT) * 5 // 10 + CAST(substring(b, 9, 1) AS INT) * 5 % 10 AS t FROM b) "
+    "SELECT id, substring(b, 1, 3) || '-' || substring(b, 4, 2) || '-' || substring(b, 6, 4) || CAST((10 - t % 10) % 10 AS VARCHAR) AS value FROM t",
+    "generate_card": f"WITH b AS (SELECT id, '4' || lpad(CAST({draw_sql('k', 10**12)} AS VARCHAR), 14, '0') AS b FROM {IDS}), t AS (SELECT *, list_sum([CASE WHEN i % 2 = 0 THEN CAST(substring(b, CAST(i AS INT), 1) AS INT) ELSE CAST(substring(b, CAST(i AS INT), 1) AS INT) * 2 - CASE WHEN CAST(substring(b, CAST(i AS INT), 1) AS INT) > 4 THEN 9 ELSE 0 END END FOR i IN range(1, 16)]) AS t FROM b) "
+    "SELECT id, b || CAST(CAST((10 - t % 10) % 10 AS INT) AS VARCHAR) AS value FROM t",
     "mutation_simple": "WITH d AS (SELECT DISTINCT pii_type, pii_value AS v FROM analyze_l0_deep WHERE pii_value IS NOT NULL) SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT pii_type, '{name}' AS name, {made} AS text FROM d WHERE {ok}" for name, (made, ok) in SIMPLE.items()) + ")",
-    "partial_mask": sql_fixture(PHONES, "CASE WHEN regexp_full_match(value, '\\d{2,3}-\\d{3,4}-\\d{4}') THEN regexp_replace(value, '^(\\d{2,3})-(\\d{3,4})-(\\d{4})$', '\\1-****-\\3') WHEN contains(value, '@') THEN regexp_replace(value, '^(.{1,2})[^@]*(@.*)$', '\\1***\\2') WHEN value = '4111111111111111' THEN '************1111' ELSE value END"),
+    # The digits but the last four, by what stands behind them, as the SQL knows no look-ahead.
+    "partial_mask": sql_checked("CASE WHEN regexp_full_match(value, '\\d{2,3}-\\d{3,4}-\\d{4}') THEN regexp_replace(value, '^(\\d{2,3})-(\\d{3,4})-(\\d{4})$', '\\1-****-\\3') WHEN contains(value, '@') THEN regexp_replace(value, '^(.{1,2})[^@]*(@.*)$', '\\1***\\2') "
+    "ELSE array_to_string([CASE WHEN regexp_matches(substring(value, CAST(i AS INT), 1), '[0-9]') AND length(regexp_replace(substring(value, CAST(i AS INT) + 1), '[^0-9]', '', 'g')) >= 4 THEN '*' ELSE substring(value, CAST(i AS INT), 1) END FOR i IN range(1, length(value) + 1)], '') END"),
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hanmaru.operators import detect as D, screen, spans as S, tagging
-from hanmaru.plans.normalisation import fixture, quoted, values
+from hanmaru.functions.lists import HONORIFICS, PARTICLES
+from hanmaru.operators import screen, spans as S, tagging
+from hanmaru.plans.normalisation import quoted
 from hanmaru.sources.tables import spread, table
 
 
@@ -50,13 +51,26 @@ def address_merge(spark: SparkSession, root: str) -> DataFrame:
     return S.guarded(rows, detectors=["address"]).select("doc_id", F.inline("spans")).select("doc_id", "start", "end", "entity", "text")
 
 
-WORDS = ["김민수에게서", "김민수님께서는", "서울시에서", "가나", "은는", "박서준"]
+def bodies(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct word of the sentences without the particles at its end, as a name and as anything else."""
+    words = table(spark, root, "ner_examples", "sentence").select(F.explode(F.split("sentence", "[^가-힣]+")).alias("word")).where("word <> ''").distinct()
+    return words.select("word", S.without_suffix(F.col("word"), True).alias("name"), S.without_suffix(F.col("word")).alias("other"))
+
+
 QUERIES = {
     "screen_normalise": normalised, "screen_explain": explained, "screen_process": screened, "screen_kinds": kinds, "screen_keywords": keyword_hits, "ner_tags": tags, "address_merge": address_merge,
-    "boundary_suffix": fixture(WORDS, lambda c: S.without_suffix(c, True)),
+    "boundary_suffix": bodies,
 }
 
 
+def bodies_sql(endings) -> str:  # type: ignore[no-untyped-def]
+    """Four times the longest ending taken from the end, one character left."""
+    out, alternatives = "word", "|".join(sorted(endings, key=len, reverse=True))
+    for _ in range(4):
+        out = f"regexp_replace({out}, '^(.+?)(?:{alternatives})$', '\\1')"
+    return out
+
+
 def keyword_sql() -> str:
     rows = [(kind, word, context) for kind, (context, words) in screen.KEYWORDS.items() for word in words]
     listed = ", ".join(f"({quoted(k)}, {quoted(w)}, [{', '.join(map(quoted, c))}])" for k, w, c in rows)
@@ -69,5 +83,6 @@ def keyword_sql() -> str:
 
 ORACLES = {
     "screen_keywords": keyword_sql(),
-    "boundary_suffix": "SELECT value, CASE value WHEN '김민수에게서' THEN '김민수' WHEN '김민수님께서는' THEN '김민수' WHEN '서울시에서' THEN '서울시' ELSE value END AS out FROM " + values(WORDS),
+    "boundary_suffix": "WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(sentence, '[^가-힣]+')) AS word FROM ner_examples) WHERE word <> '') "
+    f"SELECT word, CASE WHEN length({bodies_sql([*PARTICLES, *HONORIFICS])}) >= 2 THEN {bodies_sql([*PARTICLES, *HONORIFICS])} ELSE word END AS name, {bodies_sql(PARTICLES)} AS other FROM w",
 }
