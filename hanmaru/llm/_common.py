@@ -87,7 +87,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not (context.master or "").startswith("local["):
+    if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "hanmaru-checkpoints")
 
