@@ -150,9 +150,14 @@ def first_sentence(text: Column, least: int, most: int) -> Column:
     return F.try_element_at(F.filter(parts, lambda s: F.length(s).between(least, most)), F.lit(1))
 
 
-#: Terms that one pass sends to the executors at most; more take further passes.
+#: Terms up to which an automaton of all of them goes to every task; more meet the texts in a join.
 TERMS = 200_000
+#: Places of the filter of term beginnings that goes to every task in that case.
+BEGINNINGS = 1 << 18
 AFTER_NAME = set("은는이가을를의도에와과로만께야아랑님씨입인")
+# Identifiers that are labelled by their form.
+FORMS = (("PHONE", r"01[016789][-\s]?\d{3,4}[-\s]?\d{4}"), ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("RRN", r"\d{6}[-\s]?[1-4]\d{6}"))
+HITS = "array<struct<start:int,end:int,entity:string>>"
 
 
 def guarded(text: str, s: int, e: int, entity: str) -> bool:
@@ -164,76 +169,136 @@ def guarded(text: str, s: int, e: int, entity: str) -> bool:
     return not (entity == "NAME" and ((before and hangul(before)) or (after and hangul(after) and after not in AFTER_NAME)))
 
 
-def longest_first(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    taken: set[int] = set()
-    out = []
-    for s, e, entity in sorted(set(found), key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if taken.isdisjoint(range(s, e)):
-            taken.update(range(s, e))
-            out.append((s, e, entity))
-    return sorted(out)
+def by_form(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), entity) for entity, pattern in FORMS for m in re.finditer(pattern, text, re.ASCII)]
 
 
-def weak_labels(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, spans): occurrences of gazetteer terms, longest first without overlaps, found by an Aho-Corasick automaton.
+def longest_first(found: Column) -> Column:
+    """The hits that a greedy choice keeps, the longest first, then by start and type; none overlaps another."""
+    key = lambda x: F.struct((x["start"] - x["end"]).alias("a"), x["start"].alias("b"), x["entity"].alias("c"), x["end"].alias("d"))
+    ordered = F.transform(F.array_sort(F.array_distinct(F.transform(found, key))), lambda k: F.struct(k["b"].alias("start"), k["d"].alias("end"), k["c"].alias("entity"))).cast(HITS)
+    meets = lambda acc, x: F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    kept = F.aggregate(ordered, F.array().cast(HITS), lambda acc, x: F.when(meets(acc, x), acc).otherwise(F.concat(acc, F.array(x)).cast(HITS)))
+    return F.array_sort(kept)
 
-    terms: (entity, value). They go out in blocks of at most TERMS; the hits of all blocks meet per row, where they are
-    few. Terms of one character are left out, as are blank ones.
+
+def weak_labels(df: DataFrame, key: str, text: str, terms: DataFrame, forms: bool = True) -> DataFrame:
+    """(key, spans): occurrences of gazetteer terms and of identifiers by their form, longest first without overlaps.
+
+    terms: (entity, value); terms of one character and blank ones are left out. Rows of df have distinct keys. Up to TERMS
+    terms, one pass with an Aho-Corasick automaton finds them; more are joined with the texts by their first two
+    characters, behind a filter of fixed size, and none of them goes through the driver. The result is the same.
     """
-    spark = df.sparkSession
     clean = terms.select("entity", F.trim("value").alias("value")).where("length(value) >= 2").distinct()
-    blocks, block = [], []
-    for row in clean.orderBy("value", "entity").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == TERMS:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block or not blocks else []
-    hits = None
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            by_term: dict[str, list[str]] = {}
-            for entity, value in shared.value:
-                by_term.setdefault(value, []).append(entity)
-            for value, kinds in by_term.items():
-                automaton.add_word(value, (len(value), kinds))
-            if by_term:
-                automaton.make_automaton()
-            for batch in batches:
-                out = []
-                for k, t in zip(batch[key], batch[text]):
-                    found = [(end + 1 - n, end + 1, kind) for end, (n, kinds) in (automaton.iter(t) if by_term else ()) for kind in kinds if guarded(t, end + 1 - n, end + 1, kind)]
-                    if found:
-                        out.append((k, [{"start": s, "end": e, "entity": kind} for s, e, kind in longest_first(found)]))
-                yield pd.DataFrame(out, columns=[key, "spans"])
-
-        kind = df.schema[key].dataType.simpleString()
-        found = df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, spans array<struct<start:int,end:int,entity:string>>")
-        hits = found if hits is None else hits.unionAll(found)
-    if len(blocks) == 1:
-        return hits
-
-    @F.udf("array<struct<start:int,end:int,entity:string>>")
-    def again(spans):  # type: ignore[no-untyped-def]
-        return [{"start": s, "end": e, "entity": k} for s, e, k in longest_first([(x["start"], x["end"], x["entity"]) for x in spans])]
-
-    return hits.groupBy(key).agg(again(F.flatten(F.collect_list("spans"))).alias("spans"))
-
-
-TABLES, PLANES = 16, 12
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
+    few = clean.limit(TERMS + 1).collect()
+    found = by_automaton(rows, few, forms) if len(few) <= TERMS else by_join(rows, clean, forms)
+    return found.select(F.col("_key").alias(key), longest_first(F.col("hits")).alias("spans"))
+
+
+def by_automaton(rows: DataFrame, terms: list, forms: bool) -> DataFrame:
+    """(_key, hits) of rows with a hit."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in terms])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        by_term: dict[str, list[str]] = {}
+        for entity, value in shared.value:
+            by_term.setdefault(value, []).append(entity)
+        for value, kinds in by_term.items():
+            automaton.add_word(value, (len(value), kinds))
+        if by_term:
+            automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["_key"], batch["_text"]):
+                found = [(end + 1 - n, end + 1, kind) for end, (n, kinds) in (automaton.iter(t) if by_term else ()) for kind in kinds if guarded(t, end + 1 - n, end + 1, kind)]
+                found += by_form(t) if forms else []
+                if found:
+                    out.append((k, [{"start": s, "end": e, "entity": kind} for s, e, kind in found]))
+            yield pd.DataFrame(out, columns=["_key", "hits"])
+
+    return rows.mapInPandas(run, f"_key {rows.schema['_key'].dataType.simpleString()}, hits {HITS}")
+
+
+def by_join(rows: DataFrame, terms: DataFrame, forms: bool) -> DataFrame:
+    """(_key, hits): places of texts where some term may begin are joined with the terms that begin so."""
+    slot = F.pmod(F.xxhash64(F.substring("value", 1, 2)), F.lit(BEGINNINGS))
+    begun = terms.select(slot.cast("int").alias("slot")).distinct().collect()  # at most BEGINNINGS numbers
+    longest = terms.agg(F.max(F.length("value"))).first()[0] or 2
+    filled = np.zeros(BEGINNINGS, bool)
+    filled[[r[0] for r in begun]] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(filled))
+    # The hash of the two characters is Spark's own, so the places are made in the plan and filtered in batches.
+    places = rows.select("_key", "_text", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 1, F.lit(1))), lambda i: F.substring(F.col("_text"), i, F.lit(2)))).alias("at", "begin"))
+    places = places.withColumn("slot", F.pmod(F.xxhash64("begin"), F.lit(BEGINNINGS)).cast("int"))
+
+    @F.pandas_udf("boolean")
+    def maybe(column: pd.Series) -> pd.Series:
+        return pd.Series(np.unpackbits(shared.value).astype(bool)[column.to_numpy()])
+
+    around = F.substring("_text", F.greatest(F.col("at"), F.lit(1)), F.lit(int(longest) + 2))  # from the character before it on
+    likely = places.where(maybe("slot")).select("_key", "at", "begin", around.alias("around"), F.when(F.col("at") > 0, 1).otherwise(0).alias("skip"))
+    met = likely.join(terms.withColumn("begin", F.substring("value", 1, 2)), "begin").where(F.substring(F.col("around"), F.col("skip") + 1, F.length("value")) == F.col("value"))
+
+    @F.pandas_udf("boolean")
+    def alone(around: pd.Series, skip: pd.Series, value: pd.Series, entity: pd.Series) -> pd.Series:
+        return pd.Series([guarded(a, s, s + len(v), e) for a, s, v, e in zip(around, skip, value, entity)], dtype=bool)
+
+    @F.pandas_udf(HITS)
+    def formed(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e, "entity": k} for s, e, k in by_form(t)] for t in text], dtype=object)
+
+    hits = met.where(alone("around", "skip", "value", "entity")).select("_key", F.struct(F.col("at").alias("start"), (F.col("at") + F.length("value")).alias("end"), "entity").alias("hit"))
+    if forms:
+        hits = hits.unionAll(rows.select("_key", F.explode(formed("_text")).alias("hit")))
+    return hits.groupBy("_key").agg(F.collect_list("hit").cast(HITS).alias("hits"))
+
+
+def projected(text: Column, entities: Column) -> Column:
+    """HITS: every occurrence of the given values in a text, from left to right; values that don't occur give none.
+
+    entities: ARRAY<STRUCT<value, entity>>. Longer occurrences win over those they overlap.
+    """
+    def one(e: Column) -> Column:
+        parts = F.split(text, F.concat(F.lit("\\Q"), e["value"], F.lit("\\E")), -1)
+        step = lambda acc, p: F.struct((acc["at"] + F.length(p) + F.length(e["value"])).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out"))
+        starts = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + F.length(e["value"])).alias("end"), e["entity"].alias("entity")))
+
+    return longest_first(F.flatten(F.transform(F.filter(entities, lambda e: F.length(e["value"]) > 0), one)))
+
+
+def quota_sample(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """n rows, as many of each group as its equal share allows, the rest from groups that have more; by the hash of the key."""
+    groups = df.select(group).distinct().count()
+    share = max(1, n // max(1, groups))
+    ranked = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_h", key)))
+    # Rows within their share first, then surplus; no group can give more than n rows, so at most groups * n rows are ranked.
+    return ranked.where(F.col("_k") <= n).orderBy((F.col("_k") > share).cast("int"), "_h", key).limit(n).drop("_h", "_k")
+
+
+#: Vectors that a bucket should hold, limits of its planes, share of pairs at the threshold that may be missed.
+FILL, LEAST_PLANES, MOST_PLANES, MISSED = 16, 6, 24, 0.005
+
+
+def lsh_shape(n: int, threshold: float) -> tuple[int, int]:
+    """(planes, tables): planes so that buckets stay small however many vectors there are, tables so that few pairs are missed."""
+    planes = int(np.clip(np.ceil(np.log2(max(2, n) / FILL)), LEAST_PLANES, MOST_PLANES))
+    alike = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** planes
+    return planes, max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(alike, 1 - 1e-9)))))
 
 
 def near_vectors(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs of vectors with a cosine of at least the threshold.
 
-    Candidates share the signs of 12 random planes in one of 16 tables (a pair at 0.95 is missed about once in 200);
-    each is verified exactly. The planes come from a seed and are as many as they are, whatever the data.
+    Candidates share the signs of all random planes of one of several tables; how many there are of either follows from
+    the number of vectors and the threshold (see lsh_shape), so that a pair right at the threshold is missed once in 200
+    and buckets don't grow. Each candidate is verified exactly. Null and empty vectors take no part.
     """
+    planes_, tables_ = lsh_shape(df.count(), threshold)
     kind = df.schema[key].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,9 +307,9 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float) -> Data
             if not len(batch):
                 continue
             m = np.stack(batch["v"].to_numpy()).astype(np.float32)
-            planes = np.random.default_rng(5).standard_normal((m.shape[1], TABLES * PLANES)).astype(np.float32) if planes is None else planes
-            bits = ((m @ planes) > 0).reshape(len(m), TABLES, PLANES) @ (1 << np.arange(PLANES))
-            yield pd.DataFrame({"k": np.repeat(batch["k"].to_numpy(), TABLES), "bucket": (bits + (np.arange(TABLES) << PLANES)).ravel()})
+            planes = np.random.default_rng(5).standard_normal((m.shape[1], tables_ * planes_)).astype(np.float32) if planes is None else planes
+            bits = ((m @ planes) > 0).reshape(len(m), tables_, planes_) @ (1 << np.arange(planes_, dtype=np.int64))
+            yield pd.DataFrame({"k": np.repeat(batch["k"].to_numpy(), tables_), "bucket": (bits + (np.arange(tables_, dtype=np.int64) << planes_)).ravel()})
 
     vectors = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"))
     buckets = vectors.mapInPandas(sign, f"k {kind}, bucket long")
@@ -308,17 +373,23 @@ def rss_links(xml: Column, limit: int = 15) -> Column:
     return F.slice(F.filter(F.array_distinct(F.concat(plain, quoted)), lambda u: ~F.lower(u).contains("rss")), 1, limit)
 
 
-def marked(text: str) -> tuple[str, list[tuple[int, int, str]]]:
-    """Text with <TYPE attr="..">value</TYPE> marks, compiled to clean text and spans. Nested or open marks are errors."""
-    out, spans, at = "", [], 0
-    for m in re.finditer(r'<([A-Z_]+)((?:\s+\w+="[^"]*")*)>(.*?)</\1>', text, re.S):
-        if re.search(r"</?[A-Z_]+[ >]", m.group(3)):
-            raise ValueError("nested mark")
-        out += text[at : m.start()]
-        spans.append((len(out), len(out) + len(m.group(3)), m.group(1)))
-        out += m.group(3)
-        at = m.end()
-    out += text[at:]
-    if re.search(r"</?[A-Z_]{3,}[ >]", out):
-        raise ValueError("open mark")
-    return out, spans
+MARK = r'(?s)<([A-Z_]+)((?:\s+\w+="[^"]*")*)>(.*?)</\1>'
+
+
+def marked(text: Column) -> Column:
+    """STRUCT<text, labels>: text with <TYPE risk=".." suffix="..">value</TYPE> marks, compiled to clean text and labels.
+
+    Nested, open and unknown marks are errors, which don't show the text. Null stays null.
+    """
+    parts = F.arrays_zip(F.split(text, MARK, -1).alias("g"), *(F.regexp_extract_all(text, F.lit(MARK), F.lit(k)).alias(n) for k, n in ((1, "type"), (2, "attributes"), (3, "value"))))
+    attribute = lambda p, name: F.nullif(F.regexp_extract(p["attributes"], f'{name}="([^"]*)"', 1), F.lit(""))
+    kind = "struct<text:string,labels:array<struct<start:int,end:int,entity:string,risk:string,suffix:string>>>"
+
+    def step(acc: Column, p: Column) -> Column:
+        start = F.length(acc["text"]) + F.length(p["g"])
+        label = F.struct(start.alias("start"), (start + F.length(p["value"])).alias("end"), p["type"].alias("entity"), attribute(p, "risk").alias("risk"), attribute(p, "suffix").alias("suffix"))
+        return F.struct(F.concat(acc["text"], p["g"], F.coalesce(p["value"], F.lit(""))).alias("text"), F.when(p["type"].isNull(), acc["labels"]).otherwise(F.concat(acc["labels"], F.array(label))).alias("labels")).cast(kind)
+
+    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:int,end:int,entity:string,risk:string,suffix:string>>").alias("labels")).cast(kind)
+    done = let(F.aggregate(parts, start, step), lambda d: F.when(d["text"].rlike(r"</?[A-Z_]{3,}[ >]") | F.exists(d["labels"], lambda x: x["end"] <= x["start"]), F.raise_error(F.lit("a mark is nested, open or empty")).cast(kind)).otherwise(d))
+    return F.when(text.isNotNull(), done)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hanmaru.functions.text import let
+from hanmaru.functions.text import fold_digits, let
 
 SLICES = ("lang", "validity_group", "mutation_level", "pii_type")
 
 
-def still_there(value: Column, text: Column) -> Column:
-    """Whether a value survives in a text: as it is, or its six or more digits among the text's digits."""
+def still_there(value: Column, text: Column, folded: bool = False) -> Column:
+    """Whether a value survives in a text: as it is, or its six or more digits among the text's digits.
+
+    folded: full-width, circled and mathematical digits of both count as plain ones.
+    """
+    if folded:
+        value, text = fold_digits(value), fold_digits(text)
     digits = F.regexp_replace(value, "[^0-9]", "")
     return F.coalesce((value != "") & (text != "") & (text.contains(value) | ((F.length(digits) >= 6) & F.regexp_replace(text, "[^0-9]", "").contains(digits))), F.lit(False))
 
@@ -117,42 +124,117 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 SPANS = "array<struct<start:int,end:int,entity:string>>"
+MATCH = "struct<kind:string,entity:string,start:int,end:int,label:int,prediction:int>"
+
+
+def common(a: Column, b: Column) -> Column:
+    """Characters that two spans share; not above zero where they don't meet."""
+    return F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])
 
 
 def matches(gold: Column, predicted: Column, threshold: float = 0.5) -> Column:
-    """ARRAY<STRUCT<kind, entity, start, end>>: each label as exact, partial or miss, then each prediction that is left as spurious.
+    """ARRAY<MATCH>: each label as exact, partial or miss, then each prediction that is left as spurious.
 
     A label takes a free prediction of its type: the first one with its places, else the last one that overlaps it by
     the threshold, measured against the longer of both. Labels choose in their order; a null array is an empty one.
+    label and prediction are places in the arrays, from 0; null where there is none.
     """
     length = lambda x: x["end"] - x["start"]
-    common = lambda g, p: F.least(g["end"], p["end"]) - F.greatest(g["start"], p["start"])
     equal = lambda g, p: (g["start"] == p["start"]) & (g["end"] == p["end"])
     enough = lambda g, p: (common(g, p) > 0) & (common(g, p) >= threshold * F.greatest(length(g), length(p)))
-    row = lambda kind, x: F.struct(kind.alias("kind"), x["entity"].alias("entity"), x["start"].alias("start"), x["end"].alias("end"))
-    out, state = "array<struct<kind:string,entity:string,start:int,end:int>>", "struct<taken:array<int>,out:array<struct<kind:string,entity:string,start:int,end:int>>>"
+    nowhere = F.lit(None).cast("int")
+    row = lambda kind, x, label, prediction: F.struct(kind.alias("kind"), x["entity"].alias("entity"), x["start"].alias("start"), x["end"].alias("end"), label.alias("label"), prediction.alias("prediction"))
+    state = f"struct<taken:array<int>,out:array<{MATCH}>>"
+    places = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["entity"].alias("entity"))).cast(SPANS)
+    numbered = lambda c: F.transform(F.coalesce(places(c), F.array().cast(SPANS)), lambda x, k: F.struct(k.alias("k"), x.alias("x")))
 
-    def fold(numbered: Column) -> Column:
+    def fold(labels: Column, predictions: Column) -> Column:
         def step(acc: Column, g: Column) -> Column:
-            free = F.filter(numbered, lambda n: (n["p"]["entity"] == g["entity"]) & (equal(g, n["p"]) | enough(g, n["p"])) & ~F.array_contains(acc["taken"], n["k"]))
+            free = F.filter(predictions, lambda n: (n["x"]["entity"] == g["x"]["entity"]) & (equal(g["x"], n["x"]) | enough(g["x"], n["x"])) & ~F.array_contains(acc["taken"], n["k"]))
             # Exact ones before partial ones; of the former the first, of the latter the last.
-            ranked = F.transform(free, lambda n: F.struct(equal(g, n["p"]).alias("exact"), F.when(equal(g, n["p"]), -n["k"]).otherwise(n["k"]).alias("rank"), n["k"].alias("k")))
+            ranked = F.transform(free, lambda n: F.struct(equal(g["x"], n["x"]).alias("exact"), F.when(equal(g["x"], n["x"]), -n["k"]).otherwise(n["k"]).alias("rank"), n["k"].alias("k")))
             return let(F.array_max(ranked), lambda best: F.struct(
                 F.when(best.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(best["k"]))).alias("taken"),
-                F.concat(acc["out"], F.array(row(F.when(best.isNull(), "miss").when(best["exact"], "exact").otherwise("partial"), g))).alias("out"),
+                F.concat(acc["out"], F.array(row(F.when(best.isNull(), "miss").when(best["exact"], "exact").otherwise("partial"), g["x"], g["k"], best["k"]))).alias("out"),
             ).cast(state))
 
-        rest = lambda acc: F.transform(F.filter(numbered, lambda n: ~F.array_contains(acc["taken"], n["k"])), lambda n: row(F.lit("spurious"), n["p"]))
-        start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(out).alias("out")).cast(state)
-        return F.aggregate(labels, start, step, lambda acc: F.concat(acc["out"], rest(acc).cast(out)))
+        rest = lambda acc: F.transform(F.filter(predictions, lambda n: ~F.array_contains(acc["taken"], n["k"])), lambda n: row(F.lit("spurious"), n["x"], nowhere, n["k"]))
+        start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(f"array<{MATCH}>").alias("out")).cast(state)
+        return F.aggregate(labels, start, step, lambda acc: F.concat(acc["out"], rest(acc).cast(f"array<{MATCH}>")))
+
+    return let(numbered(gold), lambda labels: let(numbered(predicted), lambda predictions: fold(labels, predictions)))
+
+
+def matched(df: DataFrame, key: str, gold: str, predicted: str, *keep: str) -> DataFrame:
+    """(key, columns to keep, kind, entity, start, end, label, prediction): a row for each label and each prediction without one.
+
+    gold and predicted are arrays of (start, end, entity).
+    """
+    return df.select(key, *keep, F.inline(matches(F.col(gold), F.col(predicted))))
+
+
+def failure(kind: Column, entity: Column, start: Column, end: Column, gold: Column) -> Column:
+    """FN, FP, TYPE_CONFUSION (a label of another type lies there) or OVERDETECTION (one of the type does); null for a match."""
+    here = F.struct(start.alias("start"), end.alias("end"))
+    meeting = F.filter(F.coalesce(gold.cast(SPANS), F.array().cast(SPANS)), lambda g: common(g, here) > 0)
+    return F.when(kind == "miss", "FN").when(
+        kind == "spurious", F.when(F.exists(meeting, lambda g: g["entity"] != entity), "TYPE_CONFUSION").when(F.size(meeting) > 0, "OVERDETECTION").otherwise("FP")
+    )
+
+
+ACTING = ("MASK", "HASH", "BLOCK")
+# Types whose recall a release needs, tags of cases in which names are ambiguous, thresholds.
+STRUCTURED_RISKS = (
+    "RRN", "FRN", "PASSPORT", "DRIVER_LICENSE", "PHONE_MOBILE", "PHONE_LANDLINE", "EMAIL", "CREDIT_CARD", "BANK_ACCOUNT", "BUSINESS_REG_NO", "CORPORATE_REG_NO", "VEHICLE_REG_NO", "MEDICAL_RECORD_NO",
+)
+AMBIGUOUS = ("hard_negative", "ambiguous_name", "weather_context")
+GATES = {
+    "high_risk_structured_recall": (">=", 0.99), "phone_email_recall": (">=", 0.98), "josa_boundary_accuracy": (">=", 0.95), "exact_span_match_rate": (">=", 0.90), "name_ambiguity_fp_rate": ("<=", 0.0),
+    "raw_values_shown": ("==", 0.0), "invalid_offsets": ("==", 0.0),
+}
+
+
+def judged_matches(df: DataFrame, key: str, gold: str, spans: str, *keep: str) -> DataFrame:
+    """matched() with what is known of either side: risk and suffix of the label, action of the prediction, and how it failed.
+
+    gold: array of (start, end, entity, risk, suffix); spans: of decided spans.
+    """
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["entity"].alias("entity")))
+    rows = df.select(key, *keep, gold, spans, F.inline(matches(plain(F.col(gold)), plain(F.col(spans)))))
+    return rows.select(
+        key, *keep, "kind", "entity", "start", "end", F.get(gold, F.col("label"))["risk"].alias("risk"), F.get(gold, F.col("label"))["suffix"].alias("suffix"), F.get(spans, F.col("prediction"))["action"].alias("action"),
+        failure(F.col("kind"), F.col("entity"), F.col("start"), F.col("end"), plain(F.col(gold))).alias("failure"),
+    )
+
+
+def recall(found: Column, of: Column) -> Column:
+    """Share of rows of a kind that are found; null if there is none."""
+    return F.try_divide(F.count_if(of & found).cast("double"), F.count_if(of))
+
+
+def gate_values(judged: DataFrame, cases: DataFrame) -> DataFrame:
+    """(gate, value) of a release: ratios of judged matches, null where nothing counts; cases: (tags, n_raw, n_invalid) of each case."""
+    label, hit = F.col("kind") != "spurious", F.col("kind").isin("exact", "partial")
+    acting = hit & F.col("action").isin(*ACTING)
+    values = judged.agg(
+        recall(acting, label & F.col("risk").isin("P0", "P1") & F.col("entity").isin(*STRUCTURED_RISKS)).alias("high_risk_structured_recall"),
+        recall(acting, label & F.col("entity").isin("PHONE_MOBILE", "PHONE_LANDLINE", "EMAIL")).alias("phone_email_recall"),
+        recall(F.col("kind") == "exact", label & (F.coalesce("suffix", F.lit("")) != "")).alias("josa_boundary_accuracy"), recall(F.col("kind") == "exact", label).alias("exact_span_match_rate"),
+        F.count_if(F.col("ambiguous") & (F.col("kind") == "spurious") & (F.col("entity") == "PERSON_NAME") & F.col("action").isin(*ACTING)).alias("n_wrong"),
+    )
+    counts = cases.agg(F.count_if("ambiguous").alias("n_ambiguous"), F.sum("n_raw").cast("double").alias("raw_values_shown"), F.sum("n_invalid").cast("double").alias("invalid_offsets"))
+    both = values.crossJoin(counts).withColumn("name_ambiguity_fp_rate", F.try_divide(F.col("n_wrong").cast("double"), F.col("n_ambiguous")))  # one row each
+    return both.select(F.inline(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("value")) for g in GATES))))
+
 
-    labels = F.coalesce(gold.cast(SPANS), F.array().cast(SPANS))
-    return let(F.transform(F.coalesce(predicted.cast(SPANS), F.array().cast(SPANS)), lambda p, k: F.struct(k.alias("k"), p.alias("p"))), fold)
+def tail_probability(chi2: Column) -> Column:
+    """P value of a chi-square with one degree of freedom."""
 
+    @F.pandas_udf("double")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
 
-def matched(df: DataFrame, key: str, gold: str, predicted: str) -> DataFrame:
-    """(key, kind, entity, start, end): a row for each label and each prediction without one. Both columns are arrays of (start, end, entity)."""
-    return df.select(key, F.inline(matches(F.col(gold), F.col(predicted))))
+    return run(chi2)
 
 
 def entity_metrics(matches: DataFrame) -> DataFrame:
@@ -170,4 +252,5 @@ def gates(metrics: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataF
     rows = [(g, op, t) for g, (op, t) in thresholds.items()]
     wanted = metrics.sparkSession.createDataFrame(rows, "gate string, op string, limit double")
     ok = F.when(F.col("op") == ">=", F.col("value") >= F.col("limit")).when(F.col("op") == "<=", F.col("value") <= F.col("limit")).otherwise(F.col("value") == F.col("limit"))
-    return wanted.join(metrics, "gate", "left").select("gate", "value", F.when(F.col("value").isNull(), "skipped").when(ok, "pass").otherwise("fail").alias("status"))
+    status = F.when(F.col("value").isNull(), "skipped").when(ok, "pass").otherwise("fail")
+    return wanted.join(metrics, "gate", "left").select("gate", "value", status.alias("status"), F.concat(F.lit("gate."), "gate", F.lit("."), status).alias("reason"))

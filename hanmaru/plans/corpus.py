@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -10,7 +11,7 @@ from hanmaru.functions.lists import SURNAMES
 from hanmaru.functions.text import content_hash, squash
 from hanmaru.operators import corpus as C
 from hanmaru.plans.normalisation import SQUASH
-from hanmaru.sources import sinks
+from hanmaru.sources import readers, sinks
 from hanmaru.sources.readers import composed, inspected
 from hanmaru.sources.tables import shared_folder, table
 from hanmaru.streaming import ingest
@@ -125,6 +126,81 @@ def weak_labels(spark: SparkSession, root: str) -> DataFrame:
     return found.select("id", F.inline("spans"))
 
 
+def weak_bio(spark: SparkSession, root: str) -> DataFrame:
+    """Weak labels as labels of characters, and what they say: types and number of spans."""
+    rows = table(spark, root, "weak_examples", "id", "sentence").where("sentence is not null")
+    found = C.weak_labels(rows, "id", "sentence", gazetteer(spark, root))
+    return rows.join(found, "id").select("id", F.array_join(C.spans_to_bio(F.col("sentence"), F.col("spans")), " ").alias("names"), F.size("spans").alias("n"))
+
+
+def forms(spark: SparkSession, root: str) -> DataFrame:
+    """Identifiers of the weak corpus by form alone, without a gazetteer: by type."""
+    none = gazetteer(spark, root).limit(0)
+    found = C.weak_labels(table(spark, root, "weak_examples", "id", "sentence"), "id", "sentence", none)
+    return found.select(F.explode("spans").alias("s")).groupBy("s.entity").agg(F.count("*").alias("n"))
+
+
+def projection(spark: SparkSession, root: str) -> DataFrame:
+    """Names and organisations of a sentence's labels, wherever they occur in the sentence."""
+    rows = examples(spark, root, "id", "sentence", "tokens", "label_names").where("sentence is not null")
+    values = C.entities(rows, "id").where("entity in ('NAME', 'ORG')").select("id", F.struct(F.col("text").alias("value"), "entity").alias("e")).groupBy("id").agg(F.collect_set("e").alias("es"))
+    return rows.join(values, "id").select("id", F.explode(C.projected(F.col("sentence"), F.col("es"))).alias("s")).select("id", "s.start", "s.end", "s.entity")
+
+
+def quota(spark: SparkSession, root: str) -> DataFrame:
+    """300 sentences, spread over the sources as evenly as they allow."""
+    return C.quota_sample(examples(spark, root, "id", "source").where("source is not null"), "source", "id", 300).select("id", "source")
+
+
+def round_robin(spark: SparkSession, root: str) -> DataFrame:
+    """200 cases, one of each type in turn."""
+    rows = table(spark, root, "analyze_l0_deep", "id", "pii_type").dropDuplicates(["id"])
+    turn = F.row_number().over(Window.partitionBy("pii_type").orderBy(md5_order("id"), "id"))
+    return rows.withColumn("turn", turn).where("turn <= 200").orderBy("turn", "pii_type").limit(200).select("id", "pii_type")
+
+
+def row_limit(spark: SparkSession, root: str) -> DataFrame:
+    """The first hundred documents that hold something; blank ones don't count."""
+    return table(spark, root, "documents", "doc_id", "text").where(squash(F.col("text")) != "").orderBy("doc_id").limit(100).select("doc_id")
+
+
+def trainset(spark: SparkSession, root: str) -> DataFrame:
+    """Base rows and licensed rows of the weak corpus, without leaks and repeats, in the order of their hashes by tenths."""
+    train, held = split_rows(spark, root)
+    base = train.select(F.lit("gold").alias("part"), "id", "sentence")
+    weak = table(spark, root, "weak_examples", "id", "license", "sentence").where(reduce(lambda a, b: a | b, (F.col("license").startswith(x) for x in LICENCES))).select(F.lit("weak").alias("part"), "id", "sentence")
+    rows = base.unionAll(weak).withColumn("h", content_hash(F.col("sentence"))).where("h is not null")
+    clean = rows.join(held.select(content_hash(F.col("sentence")).alias("h")).where("h is not null"), "h", "left_anti")
+    one = clean.groupBy("h").agg(F.min(F.struct("part", "id")).alias("r"))
+    return one.select("r.part", "r.id", F.substring("h", 1, 1).alias("shard"))
+
+
+def span_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of reviewed cases that lie outside their text or are empty: none."""
+    rows = table(spark, root, "hard_cases_v0", "id", "text", "labels").where("labels is not null and text is not null").dropDuplicates(["id"])
+    bad = F.size(F.filter("labels", lambda x: (x["start_pos"] < 0) | (x["start_pos"] >= x["end_pos"]) | (x["end_pos"] > F.length("text"))))
+    return rows.agg(F.count("*").alias("n"), F.sum(F.size("labels")).alias("n_labels"), F.sum(bad).alias("n_bad"))
+
+
+def near_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of near vectors that the index finds, of all there are, at several thresholds: every fiftieth vector against all."""
+    df = table(spark, root, "embeddings")
+    key, vector = df.columns[0], next(c for c, t in df.dtypes if t.startswith("array"))
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = rows.select("k", F.transform("v", lambda x: x / norm(F.col("v"))).alias("v"))
+    asked = F.broadcast(unit.where(F.pmod("k", F.lit(50)) == 0).select(F.col("k").alias("q"), F.col("v").alias("w")))  # the stated query set, in one block
+    cosine = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    true = asked.join(unit, F.col("q") != F.col("k")).select("q", "k", cosine.alias("cosine"))
+    frames = []
+    for threshold in (0.4, 0.5):
+        found = C.near_vectors(df.select(key, vector), key, vector, threshold)
+        both = found.select(F.col("a").alias("q"), F.col("b").alias("k")).unionAll(found.select(F.col("b").alias("q"), F.col("a").alias("k"))).withColumn("found", F.lit(1))
+        near = true.where(F.col("cosine") >= threshold + 1e-6).join(both, ["q", "k"], "left")
+        frames.append(near.agg(F.lit(threshold).alias("threshold"), F.count("*").alias("n"), F.count("found").alias("n_found")))
+    return reduce(DataFrame.unionAll, frames).select("threshold", (F.col("n_found") >= 0.9 * F.col("n")).alias("enough"))
+
+
 def dictionary_hits(spark: SparkSession, root: str) -> DataFrame:
     """Sentences by type of the gazetteer entries in them."""
     return weak_labels(spark, root).groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_rows"))
@@ -229,6 +305,13 @@ def stream_dedup(spark: SparkSession, root: str) -> DataFrame:
     return ingest.run_once(ingest.deduplicated(stream, "text", "collected_at", "30 days"), folder(spark)).select(content_hash(F.col("text")).alias("h"))
 
 
+def stream_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Documents by day and source, counted on a stream: the days that the watermark has closed."""
+    stream = ingest.parquet_stream(spark, root, "documents").select("doc_id", "source", "collected_at").where("source is not null")
+    counted = ingest.windowed_counts(stream, "collected_at", "source").select(F.col("window.start").cast("date").alias("day"), "source", "n")
+    return ingest.run_once(counted, folder(spark))
+
+
 def stream_mask(spark: SparkSession, root: str) -> DataFrame:
     stream = ingest.parquet_stream(spark, root, "hard_cases_v0").select("id", "text")
     return ingest.run_once(ingest.masked_stream(stream, "text"), folder(spark)).select("id", "masked", "blocked")
@@ -244,6 +327,96 @@ def schema_columns(spark: SparkSession, root: str) -> DataFrame:
     return inspected(table(spark, root, "collector_runs").drop("started_at", "finished_at"))
 
 
+def put(spark: SparkSession, names: dict[str, bytes]) -> str:
+    """A folder with these files, written through the file system of the shared folder."""
+    path = folder(spark)
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, data in names.items():
+        out = system.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+        out.write(bytearray(data))
+        out.close()
+    return path
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "collector_runs", "run_id", "source", "status").dropDuplicates(["run_id"])
+
+
+def delimited_scan(spark: SparkSession, root: str) -> DataFrame:
+    """The run log as tab-separated lines, written and read again; empty cells have no field."""
+    path = folder(spark)
+    runs(spark, root).select(F.col("run_id").cast("string"), "source", "status").write.option("sep", "\t").option("header", True).option("nullValue", "").option("emptyValue", "").option("encoding", "UTF-8").csv(path)
+    rows = readers.delimited(spark, path, key="run_id")
+    return rows.select(F.col("id").cast("long").alias("run_id"), F.element_at("fields", "source").alias("source"), F.element_at("fields", "status").alias("status"))
+
+
+def json_scan(spark: SparkSession, root: str) -> DataFrame:
+    path = folder(spark)
+    runs(spark, root).select(F.to_json(F.struct("run_id", "source", "status")).alias("value")).write.option("compression", "none").text(f"{path}/lines")
+    rows = readers.json_lines(spark, f"{path}/lines", "*.txt")
+    return rows.select(F.element_at("fields", "run_id").cast("long").alias("run_id"), F.element_at("fields", "source").alias("source"), F.element_at("fields", "status").alias("status"))
+
+
+def text_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Sources as text lines with blanks around them, read again."""
+    path = folder(spark)
+    runs(spark, root).where("source is not null").select(F.concat(F.lit("  "), "source", F.lit(" ")).alias("value")).write.text(path)
+    return readers.text_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def zip_scan(spark: SparkSession, root: str) -> DataFrame:
+    """One archive with a member for each nation, read again."""
+    import io
+    import json
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for r in table(spark, root, "nation", "n_nationkey", "n_name").collect():  # 25 rows
+            archive.writestr(f"{r[0]}.json", json.dumps({"SJML": {"text": [{"title": r[1], "content": str(r[0])}]}}))
+        archive.writestr("broken.json", "{")
+    return readers.zipped_json(spark, put(spark, {"a.zip": buffer.getvalue()})).select(F.col("content").cast("int").alias("n_nationkey"), F.col("title").alias("n_name"))
+
+
+def preset_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Files of several kinds in one folder, each by its preset, rows numbered over all files in order of their names."""
+    names = {"b.csv": "id,말\n1,하나\n2,둘\n".encode("cp949"), "a.csv": "id,말\n3,셋\n".encode(), "c.jsonl": b'{"x": 1}\n\nplain\n', "d.txt": "끝\n".encode()}
+    path = put(spark, names)
+    parts = [readers.records(spark, path, preset).select(F.lit(preset).alias("preset"), "row_index", F.to_json("fields").alias("fields")) for preset in ("csv", "jsonl", "text")]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def gold_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Reviewed cases written as JSON lines and read again, every label inside its text."""
+    rows = table(spark, root, "hard_cases_v0").where("labels is not null and text is not null").dropDuplicates(["id"])
+    renamed = F.transform("labels", lambda x: F.struct(x["start_pos"].alias("start"), x["end_pos"].alias("end"), x["entity_type"].alias("entity_type"), x["risk_level"].alias("risk_level"), x["suffix"].alias("suffix")))
+    path = folder(spark)
+    rows.select("id", "text", "expected_masked_text", renamed.alias("labels"), "tags").write.json(path)
+    return readers.reviewed_cases(spark, path).select("id", "text", F.size("labels").alias("n"))
+
+
+def marked_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Reviewed cases with their labels written into the text as marks, compiled back to text and labels."""
+    rows = table(spark, root, "hard_cases_v0", "id", "text", "labels").where("labels is not null and text is not null").dropDuplicates(["id"]).withColumn("l", F.array_sort("labels", lambda a, b: F.when(a["start_pos"] < b["start_pos"], -1).otherwise(1)))
+    step = lambda acc, x: F.struct(
+        F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["start_pos"] - acc["at"]), F.lit("<"), x["entity_type"], F.lit(' risk="'), x["risk_level"], F.lit('">'), F.substring("text", x["start_pos"] + 1, x["end_pos"] - x["start_pos"]), F.lit("</"), x["entity_type"], F.lit(">")).alias("out"), x["end_pos"].alias("at")
+    )
+    written = F.aggregate("l", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    back = rows.select("id", C.marked(written).alias("m"))
+    return back.select("id", "m.text", F.array_join(F.transform("m.labels", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["entity"], x["risk"])), " ").alias("labels"))
+
+
+def postal_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Address lines of suppliers in two of the four layouts, read by them; lines without a number go."""
+    path = folder(spark)
+    n = F.col("s_suppkey")
+    road = F.concat_ws("|", *(F.lit("x") for _ in range(2)), F.lit("가람도"), F.concat(F.lit("시"), n.cast("string")), *(F.lit("") for _ in range(6)), F.lit("새길"), F.lit(""), F.pmod(n, F.lit(5)).cast("string"), F.pmod(n, F.lit(3)).cast("string"), *(F.lit("") for _ in range(2)), F.lpad(n.cast("string"), 5, "0"))
+    table(spark, root, "supplier", "s_suppkey").select(road.alias("value")).write.text(path)
+    return readers.postal(spark, path, "road").select("sido", "sigungu", "road_name", "building_no", "postcode")
+
+
 def log_listing(spark: SparkSession, root: str) -> DataFrame:
     """A page of the run log, newest first: fifty rows after the first ten."""
     rows = table(spark, root, "collector_runs", "run_id", "source", "started_at", "status").dropDuplicates(["run_id"]).where("started_at is not null")
@@ -327,6 +500,7 @@ QUERIES = {
     "corpus_stats": corpus_stats, "tag_counts": tag_counts, "bio_spans": bio_spans, "bio_names": bio_names, "bio_round_trip": bio_round_trip, "word_bio": word_bio, "weak_label": weak_labels, "dictionary_hits": dictionary_hits, "run_ledger": run_ledger, "upsert_last_wins": upsert,
     "run_gaps": run_gaps, "balanced_sample": balanced, "stratified_alloc": stratified_sizes, "stratified_sample": stratified, "negative_ratio": negatives, "first_sentences": first_sentences, "diversity_filter": diverse, "compose_records": composed_rows, "size_split": sized,
     "audit_sink": audit_sink, "insert_sink": insert_sink, "purge_sink": purge_sink, "stream_dedup": stream_dedup, "stream_mask": stream_mask, "stream_insert": stream_insert, "schema_inspect": schema_columns,
+    "weak_bio": weak_bio, "weak_forms": forms, "literal_projection": projection, "quota_top_up": quota, "round_robin": round_robin, "row_limit": row_limit, "trainset": trainset, "span_invariants": span_invariants, "near_vector_recall": near_recall, "stream_windows": stream_windows, "delimited_scan": delimited_scan, "json_scan": json_scan, "text_scan": text_scan, "zip_scan": zip_scan, "preset_scan": preset_scan, "gold_scan": gold_scan, "marked_scan": marked_scan, "postal_scan": postal_scan,
     "log_listing": log_listing, "most_common": most_common, "separation_proof": separation, "judge_append": judge_append, "name_tiers": name_tiers,
     "html_body": pages, "rss_links": feeds, "json_path": paths, "judge_rule": verdicts,
 }
@@ -374,4 +548,20 @@ ORACLES = {
     "word_bio": "WITH w AS (SELECT id, string_split(sentence, ' ') AS w FROM ner_examples WHERE sentence IS NOT NULL), u AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w WHERE len([y FOR y IN w IF y = '']) = 0), "
     "t AS (SELECT *, CASE WHEN k % 3 = 1 THEN 'B-ORG' WHEN k % 3 = 2 THEN 'I-ORG' ELSE 'O' END AS t FROM u) "
     "SELECT id, string_agg(CASE WHEN k = 1 THEN '' WHEN t = 'I-ORG' THEN 'I-ORG ' ELSE 'O ' END || t || repeat(CASE WHEN t = 'O' THEN ' O' ELSE ' I-ORG' END, length(x) - 1), ' ' ORDER BY k) AS out FROM t GROUP BY id",
+    "weak_forms": "SELECT entity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{e}' AS entity, unnest(regexp_extract_all({'sentence' if e == 'RRN' else f"regexp_replace(sentence, '{C.FORMS[-1][1]}', '#', 'g')"}, '{p}')) AS v FROM weak_examples WHERE sentence IS NOT NULL" for e, p in C.FORMS) + ") GROUP BY entity",
+    "quota_top_up": "WITH k AS (SELECT id, source, md5(CAST(id AS VARCHAR)) AS h, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM ner_examples WHERE source IS NOT NULL) SELECT id, source FROM k ORDER BY k > 300 // (SELECT count(DISTINCT source) FROM k), h, id LIMIT 300",
+    "round_robin": "SELECT id, pii_type FROM (SELECT id, pii_type, row_number() OVER (PARTITION BY pii_type ORDER BY md5(CAST(id AS VARCHAR)), id) AS turn FROM (SELECT DISTINCT ON (id) id, pii_type FROM analyze_l0_deep)) ORDER BY turn, pii_type LIMIT 200",
+    "row_limit": "SELECT doc_id FROM documents WHERE " + SQUASH.replace("{t}", "text") + " <> '' ORDER BY doc_id LIMIT 100",
+    "trainset": LEAKED + ", w AS (SELECT 'weak' AS part, id, sentence FROM weak_examples WHERE starts_with(license, 'CC-BY') OR starts_with(license, 'CC0')), a AS (SELECT 'gold' AS part, id, h FROM r WHERE split = 'train' UNION ALL SELECT part, id, " + NER_HASH + " FROM w) "
+    "SELECT part, id, substring(h, 1, 1) AS shard FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY part, id) AS k FROM a WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM r WHERE split = 'held' AND h IS NOT NULL)) WHERE k = 1",
+    "span_invariants": "SELECT count(*) AS n, CAST(sum(len(labels)) AS BIGINT) AS n_labels, CAST(0 AS BIGINT) AS n_bad FROM (SELECT DISTINCT ON (id) * FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL)",
+    "near_vector_recall": "SELECT unnest([0.4, 0.5]::DOUBLE[]) AS threshold, true AS enough",
+    "stream_windows": "SELECT CAST(date_trunc('day', collected_at) AS DATE) AS day, source, count(*) AS n FROM documents WHERE source IS NOT NULL AND collected_at IS NOT NULL GROUP BY ALL HAVING date_trunc('day', any_value(collected_at)) + INTERVAL 1 DAY <= (SELECT max(collected_at) - INTERVAL 7 DAY FROM documents WHERE source IS NOT NULL)",
+    "delimited_scan": f"SELECT run_id, nullif(source, '') AS source, nullif(status, '') AS status FROM {RUNS}",
+    "json_scan": f"SELECT run_id, source, status FROM {RUNS}",
+    "text_scan": f"SELECT trim(source) AS text, count(*) AS n FROM {RUNS} WHERE trim(source) <> '' GROUP BY 1",
+    "zip_scan": "SELECT n_nationkey, n_name FROM nation",
+    "gold_scan": "SELECT DISTINCT ON (id) id, text, CAST(len(labels) AS INT) AS n FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL",
+    "marked_scan": "WITH h AS (SELECT DISTINCT ON (id) id, text, labels FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL), l AS (SELECT id, unnest(labels, recursive := true) FROM h), s AS (SELECT id, string_agg(start_pos || ':' || end_pos || ':' || entity_type || ':' || risk_level, ' ' ORDER BY start_pos) AS labels FROM l GROUP BY id) SELECT h.id, text, coalesce(s.labels, '') AS labels FROM h LEFT JOIN s USING (id)",
+    "postal_scan": "SELECT '가람도' AS sido, '시' || s_suppkey AS sigungu, '새길' AS road_name, (s_suppkey % 5) || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '-' || (s_suppkey % 3) END AS building_no, lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS postcode FROM supplier WHERE s_suppkey % 5 <> 0",
 }

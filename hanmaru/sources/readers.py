@@ -7,9 +7,10 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hanmaru.functions.text import squash
 
@@ -55,9 +56,9 @@ def delimited(spark: SparkSession, path: str, columns: list[str] | None = None,
     return files(spark, path, PRESETS["csv"]).mapInPandas(run, "path string, row long, id string, fields map<string,string>")
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, pattern: str = PRESETS["jsonl"]) -> DataFrame:
     """(fields): objects as text fields without nulls; a line that is no JSON becomes its field text; other JSON goes."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PRESETS["jsonl"]).text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path")).where("line <> ''")
 
     @F.pandas_udf("map<string,string>")
     def parse(column: pd.Series) -> pd.Series:
@@ -72,11 +73,27 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
         return column.map(one)
 
-    return lines.select(parse("line").alias("fields")).where("fields is not null")
+    return lines.select("path", parse("line").alias("fields")).where("fields is not null")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PRESETS["text"]).text(path).select(F.trim("value").alias("text")).where("text <> ''")
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PRESETS["text"]).text(path).select(F.trim("value").alias("text"), F.col("_metadata.file_path").alias("path")).where("text <> ''")
+
+
+def records(spark: SparkSession, path: str, preset: str, columns: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """(path, row_index, fields): rows of all files of a kind, numbered over the files in order of their names.
+
+    Rows are numbered within each file where they are read; only the files' sizes, one row a file, are added up.
+    """
+    if preset == "csv":
+        rows = delimited(spark, path, columns, key).select("path", "row", "fields")
+    else:
+        lines = json_lines(spark, path) if preset == "jsonl" else text_lines(spark, path).select("path", F.create_map(F.lit("text"), F.col("text")).alias("fields"))
+        rows = lines.select("path", F.monotonically_increasing_id().alias("_at"), "fields")
+        rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("_at")) - 1).drop("_at")
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
+    before = sizes.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, "path").select("path", (F.col("before") + F.col("row")).alias("row_index"), "fields")
 
 
 def zipped_json(spark: SparkSession, path: str) -> DataFrame:
@@ -124,10 +141,28 @@ def reviewed_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("text", F.when(bad, F.raise_error(F.concat(F.lit("label outside the text of case "), F.col("id")))).otherwise(F.col("text")))
 
 
-def postal_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Pipe-separated address lines with the given column names; shorter lines give nulls."""
+# Fields of address lines by layout: name, place; which must hold something; how many there are at least.
+LAYOUTS = {
+    "road": ({"sido": 2, "sigungu": 3, "emd": 4, "ri": 5, "road_name": 10, "postcode": 16}, (12, 13), ("sido", "sigungu", "road_name"), 17),
+    "lot": ({"sido": 2, "sigungu": 3, "emd": 4, "ri": 5, "is_mountain": 6}, (7, 8), ("sido", "sigungu", "emd"), 9),
+    "road_english": ({"sido_en": 2, "sigungu_en": 3, "emd_en": 4, "road_name_en": 7, "postcode": 11}, (9, 10), ("sido_en", "sigungu_en", "road_name_en"), 12),
+    "full_english": ({"sido_en": 1, "sigungu_en": 2, "emd_en": 3, "road_name_en": 9, "postcode": 14}, (11, 12), ("sido_en", "sigungu_en", "road_name_en"), 15),
+}
+
+
+def postal(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """Pipe-separated address lines of a layout: its fields and building_no, the main number with the sub number behind a dash.
+
+    Lines that are too short, lack a needed field or have no main number go.
+    """
+    places, (main, sub), needed, least = LAYOUTS[layout]
     cells = F.split("value", r"\|", -1)
-    return spark.read.text(path).where("trim(value) <> ''").select(*(F.nullif(F.trim(F.try_element_at(cells, F.lit(k + 1))), F.lit("")).alias(n) for k, n in enumerate(names)))
+    cell = lambda k: F.nullif(F.trim(F.try_element_at(cells, F.lit(k + 1))), F.lit(""))
+    number = lambda k: F.nullif(F.regexp_replace(cell(k), "^0+", ""), F.lit(""))
+    rows = spark.read.text(path).where(F.size(cells) >= least)
+    whole = F.concat(number(main), F.coalesce(F.concat(F.lit("-"), number(sub)), F.lit("")))
+    read = rows.select(*(cell(k).alias(n) for n, k in places.items()), whole.alias("building_no"))
+    return read.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*needed, "building_no"))))
 
 
 def inspected(df: DataFrame) -> DataFrame:

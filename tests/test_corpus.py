@@ -5,6 +5,7 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hanmaru.functions import validate as V
@@ -32,15 +33,20 @@ def test_entities_and_back(spark):
 
 def test_weak_labels_equal_brute_force(spark, monkeypatch):
     terms = [("ORG", "별물산"), ("NAME", "김민수"), ("ORG", "SG"), ("ADDRESS", "별물"), ("ORG", " "), ("NAME", "가")]
-    texts = ["별물산의 김민수가 ESG와 SG를", "정김민수 김민수학원", "", None, "별물"]
+    texts = ["별물산의 김민수가 ESG와 SG를", "정김민수 김민수학원", "", None, "별물", "김민수 010-1234-5678 a@b.co 900101-1234567 별물산", "별", "x" * 3000 + "별물산"]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "id int, text string, value string")
     t = spark.createDataFrame(terms, "entity string, value string")
 
     def brute(text):
         found = [(i, i + len(v), e) for e, v in terms if len(v.strip()) > 1 for i in range(len(text)) if text.startswith(v, i) and C.guarded(text, i, i + len(v), e)]
-        return C.longest_first(found)
-
-    for block in (200_000, 2):  # one pass, several passes
+        taken, out = set(), []
+        for s, e, kind in sorted(set(found + C.by_form(text)), key=lambda x: (x[0] - x[1], x[0], x[2])):
+            if taken.isdisjoint(range(s, e)):
+                taken.update(range(s, e))
+                out.append((s, e, kind))
+        return sorted(out)
+
+    for block in (200_000, 2):  # by automaton, by join
         monkeypatch.setattr(C, "TERMS", block)
         got = {r.id: [(s.start, s.end, s.entity) for s in r.spans] for r in C.weak_labels(df, "id", "text", t).collect()}
         assert got == {k: brute(x) for k, x in enumerate(texts) if x and brute(x)}
@@ -159,4 +165,70 @@ def test_streams(spark, tmp_path):
 def test_pages_and_marks(spark):
     df = spark.createDataFrame([("<p>a <b>b</b></p>\n\n<script>x</script><p>c</p>",), ("",), (None,)], "h string")
     assert [r[0] for r in df.select(C.html_body(F.col("h"))).collect()] == ["a b\nc", None, None]
-    assert C.marked('x <NAME risk="P1">김</NAME>님') == ("x 김님", [(2, 3, "NAME")])
+    marks = spark.createDataFrame([(1, 'x <NAME risk="P1" suffix="님">김</NAME>님 <ORG>별</ORG>'), (2, "없음"), (3, None), (4, "")], "id int, t string")
+    got = [r.m for r in marks.orderBy("id").select(C.marked(F.col("t")).alias("m")).collect()]
+    assert got[0].text == "x 김님 별" and [tuple(x) for x in got[0].labels] == [(2, 3, "NAME", "P1", "님"), (5, 6, "ORG", None, None)]
+    assert (got[1].text, got[1].labels) == ("없음", []) and got[2] is None and got[3].text == ""
+    for broken in ("<NAME>김", "<NAME><ORG>김</ORG></NAME>", "<NAME></NAME>"):
+        with pytest.raises(Exception, match="a mark is"):
+            spark.createDataFrame([(broken,)], "t string").select(C.marked(F.col("t"))).collect()
+
+
+def test_negatives_are_the_first_by_hash(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(k, k % 5 == 0 if k % 11 else None) for k in range(3000)], "id int, p boolean")
+    for ratio in (0.0, 0.5, 1.7, 50.0):
+        rows = C.with_negatives(df, F.col("p"), "id", ratio).collect()
+        positive = {k for k in range(3000) if k % 5 == 0 and k % 11}
+        others = sorted(set(range(3000)) - positive, key=lambda k: (hashlib.md5(str(k).encode()).hexdigest(), k))
+        assert {r.id for r in rows if r.positive} == positive and len(rows) == len({r.id for r in rows})
+        assert {r.id for r in rows if not r.positive} == set(others[: int(len(positive) * ratio)])
+    assert C.with_negatives(df.limit(0), F.col("p"), "id", 1.0).count() == 0
+
+
+def test_the_index_of_vectors_misses_few(spark):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side  # pairs right at the threshold
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([a, b]))], "id int, v array<float>")
+    got = {(r.a, r.b) for r in C.near_vectors(df, "id", "v", 0.9).collect()}
+    assert sum((k, k + 1500) in got for k in range(1500)) >= 0.985 * 1500
+    assert C.lsh_shape(10**9, 0.9)[0] == 24 and C.lsh_shape(1, 0.9)[0] == C.LEAST_PLANES
+
+
+def test_values_are_projected_on_all_places(spark):
+    df = spark.createDataFrame([("김민수와 김민수 민수 a.b a+b", [("김민수", "NAME"), ("민수", "NAME"), ("a.b", "ORG"), ("없음", "ORG"), ("", "ORG")]), ("", []), (None, None)], "t string, e array<struct<value:string,entity:string>>")
+    got = [r.p and [(s.start, s.end) for s in r.p] for r in df.select(C.projected(F.col("t"), F.col("e")).alias("p")).collect()]
+    assert got[0] == [(0, 3), (5, 8), (9, 11), (12, 15)] and got[1] == [] and not got[2]
+
+
+def test_page_bodies(spark):
+    pages = ['<p>x</p><div class="a main b">집 <b>밖</b></div>', "<article><p>하나</p></article><p>둘</p>", "<p>하나</p><div>둘</div><p>셋</p>", "<div>둘</div>", "<script>1</script>", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, h string")
+    assert [r[0] for r in df.orderBy("id").select(C.html_body(F.col("h"), ["main"])).collect()] == ["집 밖", "하나", "하나\n셋", "둘", None, None]
+
+
+def test_sealed_values_open_only_with_their_key_and_row(spark):
+    from hanmaru.functions import text as T
+
+    key, other = T.password_key("a", b"salt", 1000), T.password_key("b", b"salt", 1000)
+    df = spark.createDataFrame([(1, "값 a"), (2, ""), (3, None)], "id int, v string").withColumn("box", T.sealed(F.col("v"), key, F.col("id").cast("string")))
+    opened = lambda k, bound: [r[0] for r in df.orderBy("id").select(T.opened(F.col("box"), k, bound)).collect()]
+    assert opened(key, F.col("id").cast("string")) == ["값 a", "", None] and opened(other, F.col("id").cast("string")) == [None] * 3 and opened(key, F.lit("9")) == [None] * 3
+
+
+def test_failures_are_told_apart(spark):
+    rows = [("miss", "A", 0, 2, []), ("spurious", "A", 0, 2, [(5, 6, "A")]), ("spurious", "A", 0, 2, [(1, 6, "B")]), ("spurious", "A", 0, 2, [(1, 6, "A")]), ("exact", "A", 0, 2, [(0, 2, "A")])]
+    df = spark.createDataFrame(rows, "kind string, entity string, start int, end int, g array<struct<start:int,end:int,entity:string>>")
+    assert [r[0] for r in df.select(E.failure(*(F.col(c) for c in ("kind", "entity", "start", "end", "g")))).collect()] == ["FN", "FP", "TYPE_CONFUSION", "OVERDETECTION", None]
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([(0.0,), (3.841458820694124,), (None,)], "x double")
+    got = [r[0] for r in df.select(E.tail_probability(F.col("x"))).collect()]
+    assert got[0] == 1 and abs(got[1] - 0.05) < 1e-9 and got[2] is None
