@@ -55,10 +55,21 @@ def p2_report(spark: SparkSession, root: str) -> DataFrame:
     best = near_dup.overlap_counts(overlaps(spark, root)).withColumnRenamed("id", "eval_id")
     return (
         held_out.join(best, "eval_id", "left").groupBy("split", "source")
-        .agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.count_if(F.col("best") == 1).alias("n_exact"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+        .agg(
+            F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs")
+        )
     )
 
 
+def p2_exact(spark: SparkSession, root: str) -> DataFrame:
+    """The exact half of the report: evaluation rows by split and source whose canonical record is in training as well."""
+    rows = read(spark, root, "ner_examples", "id", "sentence", "split_hint", "source")
+    found = near_dup.equal_records(rows, "id", near_dup.letters_and_numbers(F.col("sentence")), split_role("split_hint"))
+    split = F.lower(F.trim("split_hint"))
+    split = F.when(split.isin("val", "valid", "validation", "dev"), "val").otherwise("test")
+    return rows.join(found, "id", "left_semi").groupBy(split.alias("split"), "source").agg(F.count("*").alias("n_exact"))
+
+
 def p3_restored(spark: SparkSession, root: str) -> DataFrame:
     """Every damaged row with its restored text; statistics come from all undamaged sentences."""
     sentences = read(spark, root, "ner_examples", "id", "sentence")
@@ -154,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_exact": p2_exact,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
@@ -188,8 +200,13 @@ def looks_sql(table: str, column: str) -> str:
 
 
 RUNS_SQL = "SELECT DISTINCT {k}, substring(t, CAST(i AS INT), 40) AS g FROM (SELECT {k}, t, unnest(range(1, length(t) - 38)) AS i FROM (SELECT {k}, " + BARE.replace("{c}", "text") + " AS t FROM {n} WHERE text IS NOT NULL) WHERE length(t) >= 40)"
+P7_SQL = "SELECT DISTINCT doc_id, item_id FROM (" + RUNS_SQL.replace("{k}", "doc_id").replace("{n}", "documents") + ") d JOIN (" + RUNS_SQL.replace("{k}", "item_id").replace("{n}", "eval_items") + ") e ON d.g = e.g"
+HINT_SQL = "lower(trim(split_hint))"
 ORACLES: dict[str, str] = {
+    "p2_exact": f"WITH r AS (SELECT id, source, {HINT_SQL} AS s, {BARE.replace('{c}', 'sentence')} AS t FROM ner_examples WHERE sentence IS NOT NULL) SELECT CASE WHEN s = 'test' THEN 'test' ELSE 'val' END AS split, source, count(*) AS n_exact FROM r "
+    "WHERE s IN ('val', 'valid', 'validation', 'dev', 'test') AND length(t) >= 3 AND t IN (SELECT t FROM r WHERE s IN ('train', 'training')) GROUP BY 1, 2",
+    "p7_clean": f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P7_SQL}))",
     "p4_found": " UNION ALL ".join(looks_sql(t, c) for t, c in LOOKS),
     "p4_canonical": " UNION ALL ".join(f"SELECT '{t}' AS tbl, id AS key, {c} AS text, {form_sql(c)} AS canonical FROM {t}" for t, c in LOOKS),
-    "p7_found": "SELECT DISTINCT doc_id, item_id FROM (" + RUNS_SQL.replace("{k}", "doc_id").replace("{n}", "documents") + ") d JOIN (" + RUNS_SQL.replace("{k}", "item_id").replace("{n}", "eval_items") + ") e ON d.g = e.g",
+    "p7_found": P7_SQL,
 }
