@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: A backend takes texts and gives (start, end, label, probability) spans of each; it is built once per task.
 Backend = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
@@ -100,3 +100,17 @@ def tagged(df: DataFrame, key: str, text: str, backend: Callable[[], Backend], l
             yield pd.DataFrame(rows, columns=[key, "start", "end", "entity", "score", "confident"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, start int, end int, entity string, score double, confident boolean")
+
+
+def decoded(df: DataFrame, key: str, labels: str) -> DataFrame:
+    """(key, start, end, entity): spans of a column of labels, one label a character."""
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for batch in batches:
+            out = []
+            for k, names in zip(batch[key], batch[labels]):
+                names = list(names)
+                out += [(k, a, b, entity) for a, b, entity, _ in decode(names, [(j, j + 1) for j in range(len(names))], [1.0] * len(names))]
+            yield pd.DataFrame(out, columns=[key, "start", "end", "entity"])
+
+    return df.where(F.col(labels).isNotNull()).select(key, labels).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, start int, end int, entity string")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hanmaru.functions.lists import SURNAMES
 from hanmaru.functions.text import content_hash, squash
-from hanmaru.operators import corpus as C
+from hanmaru.operators import corpus as C, tagging
 from hanmaru.plans.normalisation import SQUASH
 from hanmaru.sources import readers, sinks
 from hanmaru.sources.readers import composed, inspected
@@ -417,6 +417,53 @@ def postal_scan(spark: SparkSession, root: str) -> DataFrame:
     return readers.postal(spark, path, "road").select("sido", "sigungu", "road_name", "building_no", "postcode")
 
 
+def retention(spark: SparkSession, root: str) -> DataFrame:
+    """Documents by day of collection, written by day; the days more than ninety days before the last one are removed."""
+    path = folder(spark)
+    rows = table(spark, root, "documents", "doc_id", "collected_at").where("collected_at is not null").withColumn("day", F.date_format("collected_at", "yyyy-MM-dd"))
+    rows.select("doc_id", "day").write.partitionBy("day").parquet(path)
+    last = rows.agg(F.date_format(F.date_sub(F.max("collected_at").cast("date"), 90), "yyyy-MM-dd")).first()[0]
+    sinks.drop_days(spark, path, last)
+    return spark.read.schema("doc_id long, day string").parquet(path).groupBy("day").agg(F.count("*").alias("n"))
+
+
+def reported(spark: SparkSession, root: str) -> DataFrame:
+    """Two small tables of metrics as a report, and its lines read again."""
+    path = folder(spark)
+    sinks.report({"sources": most_common(spark, root), "tags": tag_counts(spark, root).groupBy("tag").agg(F.sum("n").alias("n"))}, path)
+    return spark.read.schema("name string, row string").json(f"{path}/json").select("name", F.get_json_object("row", "$.n").cast("long").alias("n"))
+
+
+def safe_log(spark: SparkSession, root: str) -> DataFrame:
+    """A log of requests in which later rows replace earlier ones, each payload checked for the values it must not hold."""
+    rows = table(spark, root, "hard_cases_v0", "id", "text", "labels", "expected_masked_text").where("labels is not null and text is not null")
+    values = F.transform("labels", lambda x: F.substring("text", x["start_pos"] + 1, x["end_pos"] - x["start_pos"]))
+    new = rows.select("id", sinks.shows_nothing(F.coalesce("expected_masked_text", F.lit("")), values).alias("payload"), F.lit("2").alias("at"))
+    old = rows.select("id", F.lit("old").alias("payload"), F.lit("1").alias("at"))
+    return sinks.upserted(old, new, "id", "at").select("id", "payload")
+
+
+def seed_parts(spark: SparkSession, root: str) -> DataFrame:
+    """Nations in parts of JSON lines, one part named twice, read in order of their numbers, each file once."""
+    import json
+
+    rows = table(spark, root, "nation", "n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows
+    part = lambda k: "".join(json.dumps({"key": r[0], "name": r[1]}) + "\n" for r in rows if r[0] % 3 == k).encode()
+    path = put(spark, {f"seed_part{k + 1:03d}.jsonl": part(k) for k in range(3)})
+    return readers.seed_parts(spark, [f"{path}/seed_part*.jsonl", f"{path}/seed_part002.jsonl"], "key int, name string").select("key", "name", F.regexp_extract("path", r"part(\d+)", 1).cast("int").alias("part"))
+
+
+def file_schemas(spark: SparkSession, root: str) -> DataFrame:
+    """What can be told of files without showing a value: encoding, columns, rows, and the presets that fit."""
+    path = put(spark, {"b.csv": "id,말\n1,하나\n2,둘\n".encode("cp949"), "a.tsv": "id\t말\n3,셋\n".encode(), "c.jsonl": b'{"x": 1, "y": 2}\n\nplain\n', "d.txt": "끝\n\n끝\n".encode(), "e.bin": b"\x00"})
+    return readers.inspected_files(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "encoding", F.array_join("columns", ",").alias("columns"), "n_rows", F.array_join("presets", ",").alias("presets"))
+
+
+def bio_decode(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of the weak corpus decoded as a tagger's output: an I without its B begins a span of its own."""
+    return tagging.decoded(table(spark, root, "weak_examples", "id", "label_names"), "id", "label_names")
+
+
 def log_listing(spark: SparkSession, root: str) -> DataFrame:
     """A page of the run log, newest first: fifty rows after the first ten."""
     rows = table(spark, root, "collector_runs", "run_id", "source", "started_at", "status").dropDuplicates(["run_id"]).where("started_at is not null")
@@ -501,6 +548,7 @@ QUERIES = {
     "run_gaps": run_gaps, "balanced_sample": balanced, "stratified_alloc": stratified_sizes, "stratified_sample": stratified, "negative_ratio": negatives, "first_sentences": first_sentences, "diversity_filter": diverse, "compose_records": composed_rows, "size_split": sized,
     "audit_sink": audit_sink, "insert_sink": insert_sink, "purge_sink": purge_sink, "stream_dedup": stream_dedup, "stream_mask": stream_mask, "stream_insert": stream_insert, "schema_inspect": schema_columns,
     "weak_bio": weak_bio, "weak_forms": forms, "literal_projection": projection, "quota_top_up": quota, "round_robin": round_robin, "row_limit": row_limit, "trainset": trainset, "span_invariants": span_invariants, "near_vector_recall": near_recall, "stream_windows": stream_windows, "delimited_scan": delimited_scan, "json_scan": json_scan, "text_scan": text_scan, "zip_scan": zip_scan, "preset_scan": preset_scan, "gold_scan": gold_scan, "marked_scan": marked_scan, "postal_scan": postal_scan,
+    "retention": retention, "report_files": reported, "safe_log": safe_log, "seed_parts": seed_parts, "file_schemas": file_schemas, "bio_decode": bio_decode,
     "log_listing": log_listing, "most_common": most_common, "separation_proof": separation, "judge_append": judge_append, "name_tiers": name_tiers,
     "html_body": pages, "rss_links": feeds, "json_path": paths, "judge_rule": verdicts,
 }
@@ -531,6 +579,9 @@ ORACLES = {
     "balanced_sample": "SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM ner_examples) WHERE k <= 20",
     "stratified_alloc": "WITH s AS (SELECT lang, validity_group, count(*) AS n FROM (SELECT DISTINCT ON (id) id, lang, validity_group FROM analyze_l0_deep) GROUP BY ALL), p AS (SELECT *, least(CAST(round(100 * n / sum(n) OVER ()) AS BIGINT), n) AS share, row_number() OVER (ORDER BY lang NULLS FIRST, validity_group NULLS FIRST) AS place, count(*) OVER () AS last FROM s) "
     "SELECT lang, validity_group, n, CAST(CASE WHEN place = last THEN least(greatest(100 - coalesce(sum(share) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), n) ELSE share END AS BIGINT) AS size FROM p",
+    "stratified_sample": "WITH d AS (SELECT DISTINCT ON (id) id, lang, validity_group FROM analyze_l0_deep), s AS (SELECT lang, validity_group, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT *, least(CAST(round(100 * n / sum(n) OVER ()) AS BIGINT), n) AS share, row_number() OVER (ORDER BY lang NULLS FIRST, validity_group NULLS FIRST) AS place, count(*) OVER () AS last FROM s), "
+    "z AS (SELECT lang, validity_group, CASE WHEN place = last THEN least(greatest(100 - coalesce(sum(share) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), n) ELSE share END AS size FROM p), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY lang, validity_group ORDER BY substring(md5('s' || id), 1, 8), id) AS k FROM d) SELECT k.id, k.lang, k.validity_group FROM k JOIN z ON k.lang IS NOT DISTINCT FROM z.lang AND k.validity_group IS NOT DISTINCT FROM z.validity_group WHERE k.k <= z.size",
     "negative_ratio": "SELECT id, true AS positive FROM ner_examples WHERE n_entities > 0 UNION ALL SELECT id, false AS positive FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM ner_examples WHERE n_entities = 0) WHERE k <= (SELECT floor(count(*) * 0.5) FROM ner_examples WHERE n_entities > 0)",
     "insert_sink": f"SELECT DISTINCT {NER_HASH} AS content_hash FROM ner_examples WHERE sentence IS NOT NULL",
     "purge_sink": "SELECT CASE WHEN source = (SELECT min(source) FROM ner_examples) THEN -id ELSE id END AS id, source FROM ner_examples WHERE source IS NOT NULL",
@@ -564,4 +615,11 @@ ORACLES = {
     "gold_scan": "SELECT DISTINCT ON (id) id, text, CAST(len(labels) AS INT) AS n FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL",
     "marked_scan": "WITH h AS (SELECT DISTINCT ON (id) id, text, labels FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL), l AS (SELECT id, unnest(labels, recursive := true) FROM h), s AS (SELECT id, string_agg(start_pos || ':' || end_pos || ':' || entity_type || ':' || risk_level, ' ' ORDER BY start_pos) AS labels FROM l GROUP BY id) SELECT h.id, text, coalesce(s.labels, '') AS labels FROM h LEFT JOIN s USING (id)",
     "postal_scan": "SELECT '가람도' AS sido, '시' || s_suppkey AS sigungu, '새길' AS road_name, (s_suppkey % 5) || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '-' || (s_suppkey % 3) END AS building_no, lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS postcode FROM supplier WHERE s_suppkey % 5 <> 0",
+    "retention": "SELECT strftime(collected_at, '%Y-%m-%d') AS day, count(*) AS n FROM documents WHERE collected_at >= (SELECT CAST(max(collected_at) AS DATE) - 90 FROM documents) GROUP BY 1",
+    "report_files": "SELECT 'sources' AS name, n FROM (SELECT source, count(*) AS n FROM ner_examples GROUP BY source ORDER BY n DESC, source LIMIT 10) UNION ALL SELECT 'tags', count(*) FROM (SELECT unnest(label_names) AS l FROM weak_examples) WHERE starts_with(l, 'B-') GROUP BY substring(l, 3)",
+    "safe_log": "SELECT DISTINCT id, coalesce(expected_masked_text, '') AS payload FROM hard_cases_v0 WHERE labels IS NOT NULL AND text IS NOT NULL",
+    "seed_parts": "SELECT n_nationkey AS key, n_name AS name, CAST(n_nationkey % 3 + 1 AS INT) AS part FROM nation",
+    "bio_decode": "WITH u AS (SELECT id, k, label_names[k] AS l FROM (SELECT id, label_names, unnest(range(1, len(label_names) + 1)) AS k FROM weak_examples WHERE label_names IS NOT NULL)), "
+    "p AS (SELECT *, coalesce(starts_with(l, 'I-') AND substring(lag(l) OVER w, 3) = substring(l, 3) AND lag(l) OVER w <> 'O', false) AS goes FROM u WINDOW w AS (PARTITION BY id ORDER BY k)), g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS run FROM p) "
+    "SELECT id, CAST(min(k) - 1 AS INT) AS \"start\", CAST(max(k) AS INT) AS \"end\", substring(any_value(l), 3) AS entity FROM g WHERE l <> 'O' GROUP BY id, run",
 }

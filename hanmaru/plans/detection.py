@@ -194,10 +194,10 @@ def summaries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def masked_conversations(spark: SparkSession, root: str) -> DataFrame:
-    """Messages masked one by one; a conversation (source) is blocked if a message of it is."""
-    rows = table(spark, root, "hard_cases_v0", "id", "text", "tags").where("text is not null").distinct()
-    done = S.guarded(rows.select(F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("none")).alias("conversation"), "id", "text"))
-    return done.groupBy("conversation").agg(F.count("*").alias("n_messages"), F.bool_or("blocked").alias("blocked"), F.count_if(F.col("masked") != F.col("text")).alias("n_masked"))
+    """Messages masked one by one; a conversation (a source's sentences of a day) is blocked if a message of it is."""
+    rows = table(spark, root, "ner_examples", "id", "source", "sentence", "collected_at").where("sentence is not null")
+    done = S.guarded(rows.select("source", F.col("collected_at").cast("date").alias("day"), "id", F.col("sentence").alias("text")))
+    return done.groupBy("source", "day").agg(F.count("*").alias("n_messages"), F.bool_or("blocked").alias("blocked"), F.count_if(F.col("masked") != F.col("text")).alias("n_masked"))
 
 
 RAW = ("registration", "phone", "card", "account")

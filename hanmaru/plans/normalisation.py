@@ -230,6 +230,10 @@ ORACLES = {
     "strip_invisible": sql_over("analyze_l0_deep", "id", "mutated", DROP.format(t="t")),
     "fold_dashes": sql_over("analyze_l0_deep", "id", "mutated", f"translate(t, '{T.DASHES}', '{'-' * len(T.DASHES)}')"),
     "translate_digits": sql_over("analyze_l0_deep", "id", "mutated", FOLD.format(t="t")),
+    # Twice, as the SQL knows no look-around and a digit can stand between two runs.
+    "strip_marks": sql_over("analyze_l0_deep", "id", "mutated", "nfc_normalize(strip_accents(t))"),
+    "digit_compact": sql_over("hard_cases_v0", "id", "text", nested_pattern("t", [("([0-9])[-./_\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+([0-9])", "\\1\\2", "g")] * 2)),
+    "collapse_digit_spaces": sql_over("hard_cases_v0", "id", "text", nested_pattern("t", [("([0-9])\\s+([0-9])", "\\1\\2", "g")] * 2 + [("([0-9])\\s*-\\s*([0-9])", "\\1-\\2", "g")] * 2)),
     "content_hash": sql_over("ner_examples", "id", "sentence", "sha256(" + SQUASH.replace("{t}", "t") + ")"),
     "squash_spaces": sql_over("weak_examples", "id", "sentence", SQUASH.replace("{t}", "t")),
     "hmac_digest": sql_over("gazetteers", "id", "entry_value", "'hmac-sha256:k1:' || sha256(unhex('" + bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex() + "') || unhex(sha256(unhex('" + bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex() + "') || encode(t))))"),

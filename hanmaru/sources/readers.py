@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -170,3 +171,50 @@ def inspected(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count("*").alias("_n"), *(F.count(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(df.columns)))
     rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_n").alias("n_rows"), F.col(f"c{k}").alias("n_filled")) for k, (c, t) in enumerate(df.dtypes)]
     return counts.select(F.inline(F.array(*rows)))
+
+
+def seed_parts(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of JSON-line files named by paths with wildcards, with the path of each; a file that several of them name is read once."""
+    jvm = spark.sparkContext._jvm
+    first = jvm.org.apache.hadoop.fs.Path(paths[0])
+    system = first.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = sorted({s.getPath().toString() for p in paths for s in system.globStatus(jvm.org.apache.hadoop.fs.Path(p)) or []})
+    return spark.read.schema(schema).json(named).select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def inspected_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, columns, n_rows, presets) of each file that a preset can read; never a value of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for where, content in zip(batch["path"], batch["content"]):
+                kind = where.rsplit(".", 1)[-1].lower()
+                encoding = next((e for e in ENCODINGS if readable(content, e)), "utf-8")
+                lines = [x for x in decoded(content).splitlines() if x.strip()]
+                if kind in ("csv", "tsv"):
+                    rows.append((where, encoding, re.split("[,\t|;]", lines[0]) if lines else [], max(0, len(lines) - 1), ["csv"]))
+                elif kind in ("jsonl", "ndjson"):
+                    names = next((list(x) for x in map(json_object, lines) if x is not None), [])
+                    rows.append((where, encoding, names, len(lines), ["jsonl", "text"]))
+                elif kind == "txt":
+                    rows.append((where, encoding, [], len(lines), ["text"]))
+            yield pd.DataFrame(rows, columns=["path", "encoding", "columns", "n_rows", "presets"])
+
+    return files(spark, path, "*").mapInPandas(run, "path string, encoding string, columns array<string>, n_rows int, presets array<string>")
+
+
+def readable(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def json_object(line: str) -> dict | None:
+    try:
+        value = json.loads(line)
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -79,3 +80,32 @@ def sized_parts(df: DataFrame, most: int) -> DataFrame:
             yield full()
 
     return df.mapInPandas(run, "part string, n_rows long, n_bytes long, lines string")
+
+
+def shows_nothing(payload: Column, values: Column) -> Column:
+    """The payload; an error, which doesn't show it, if one of the values occurs in it."""
+    return F.when(F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda v: (F.length(v) > 0) & payload.contains(v)), F.raise_error(F.lit("a detected value would be stored")).cast("string")).otherwise(payload)
+
+
+def drop_days(spark: SparkSession, path: str, before: str) -> list[str]:
+    """Remove the partitions day=... of a table that lie before a day; returns their names. Later and other folders stay."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = [s.getPath() for s in system.listStatus(place) if s.getPath().getName().startswith("day=")]
+    old = [d for d in days if d.getName()[4:] < before]
+    for d in old:
+        system.delete(d, True)
+    return sorted(d.getName() for d in old)
+
+
+def report(metrics: dict[str, DataFrame], path: str, most: int = 1000) -> None:
+    """Small tables of metrics as JSON lines (name, row) and as one Markdown page below path; at most so many rows of each are shown on the page."""
+    spark = next(iter(metrics.values())).sparkSession
+    lines, page = [], []
+    for name, df in metrics.items():
+        lines.append(df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("row")))
+        rows = df.limit(most).collect()
+        page += [f"# {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows), ""]
+    reduce(DataFrame.unionAll, lines).write.mode("overwrite").json(f"{path}/json")
+    spark.createDataFrame([("\n".join(page),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/page")
