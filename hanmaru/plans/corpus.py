@@ -623,3 +623,13 @@ ORACLES = {
     "p AS (SELECT *, coalesce(starts_with(l, 'I-') AND substring(lag(l) OVER w, 3) = substring(l, 3) AND lag(l) OVER w <> 'O', false) AS goes FROM u WINDOW w AS (PARTITION BY id ORDER BY k)), g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS run FROM p) "
     "SELECT id, CAST(min(k) - 1 AS INT) AS \"start\", CAST(max(k) AS INT) AS \"end\", substring(any_value(l), 3) AS entity FROM g WHERE l <> 'O' GROUP BY id, run",
 }
+NAMED = VALID[len("coalesce(len(labels) = len(tokens) AND len(label_names) = len(tokens) AND ") : -len(", false)")]
+FIELDS = ("entity_type", "entry_value", "source")
+LINES = [f"CASE WHEN coalesce({SQUASH.replace('{t}', c)}, '') <> '' THEN '{c}: ' || {SQUASH.replace('{t}', c)} || chr(10) ELSE '' END" for c in FIELDS]
+ORACLES |= {
+    "compose_records": f"WITH l AS (SELECT id, [{', '.join(LINES)}] AS l FROM gazetteers) SELECT id, array_to_string(l, '') AS text, CAST(len([x FOR x IN l IF x <> '']) AS INT) AS n_fields, CAST(greatest(length(array_to_string(l, '')) - 1, 0) AS INT) AS last_end FROM l",
+    "schema_inspect": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows, count({c}) AS n_filled FROM collector_runs" for c, t in (("run_id", "bigint"), ("source", "string"), ("status", "string"), ("license", "string"), ("n_seen", "bigint"), ("n_inserted", "bigint"), ("n_dup", "bigint"), ("n_invalid", "bigint"), ("error", "string"))),
+    "first_sentences": f"WITH p AS (SELECT id, [x FOR x IN [{SQUASH.replace('{t}', 'y')} FOR y IN string_split(regexp_replace(sentence, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))] IF length(x) BETWEEN 30 AND 200] AS p FROM weak_examples WHERE sentence IS NOT NULL) SELECT id, p[1] AS first FROM p",
+    "bio_names": f"WITH s AS ({ORACLES['bio_spans']}), n AS (SELECT regexp_replace(text, '(은|는|이|가|을|를|의|님|씨)$', '') AS name FROM s WHERE entity = 'NAME') SELECT name, count(*) AS n FROM n WHERE regexp_full_match(name, '[가-힣]{{2,5}}') GROUP BY name",
+    "bio_round_trip": f"SELECT true AS same, count(*) AS n FROM ner_examples WHERE sentence IS NOT NULL AND label_names IS NOT NULL AND len(tokens) = length(sentence) AND len(label_names) = len(tokens) AND coalesce({NAMED}, false) AND list_bool_or([starts_with(x, 'B-') FOR x IN label_names])",
+}

@@ -185,6 +185,9 @@ EMAIL = "(length({v}) <= 254 AND length(split_part({v}, '@', 1)) BETWEEN 1 AND 6
 PRIVATE = "(0|10|127|22[4-9]|23\\d|24\\d|25[0-5])\\..*|172\\.(1[6-9]|2\\d|3[01])\\..*|192\\.168\\..*|169\\.254\\..*|192\\.0\\.[02]\\..*|198\\.1[89]\\..*|198\\.51\\.100\\..*|203\\.0\\.113\\..*"
 OCTET = "(0|[1-9]\\d?|1\\d\\d|2[0-4]\\d|25[0-5])"
 
+BUSINESS = "CASE WHEN regexp_full_match({d}, '\\d{{10}}') AND NOT regexp_full_match({d}, '0+|1+') THEN (10 - ({s} + CAST(substring({d}, 9, 1) AS INT) * 5 // 10 + (CAST(substring({d}, 9, 1) AS INT) * 5) % 10) % 10) % 10 = CAST(substring({d}, 10, 1) AS INT) ELSE false END".format(d=DIGITS, s=check_sum(V.BUSINESS_WEIGHTS[:8]).format(d=DIGITS))
+CHECKED = f"(11 - ({check_sum(V.RESIDENT_WEIGHTS).format(d=DIGITS)}) % 11) % 10 = CAST(substring({DIGITS}, 13, 1) AS INT)"
+
 QUERIES = {
     "strip_invisible": over("analyze_l0_deep", "id", "mutated", T.strip_invisible),
     "fold_dashes": over("analyze_l0_deep", "id", "mutated", T.fold_dashes),
@@ -259,7 +262,7 @@ ORACLES = {
     "mac_validate": sql_checked("CASE WHEN regexp_full_match(value, '([0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|([0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}') THEN lower(replace(value, '-', ':')) END"),
     "ipv4_classify": sql_checked(f"CASE WHEN NOT regexp_full_match(value, '({OCTET}\\.){{3}}{OCTET}') THEN NULL WHEN regexp_full_match(value, '{PRIVATE}') THEN 'private' ELSE 'public' END"),
     "secret_entropy": f"SELECT value, round(-sum(p * log2(p)), 6) AS out FROM (SELECT value, c, count(*) / length(value) AS p FROM (SELECT value, unnest(string_split(value, '')) AS c FROM {VALUES_SQL}) GROUP BY value, c) GROUP BY value",
-    "bizno_validate": sql_checked("CASE WHEN regexp_full_match({d}, '\\d{{10}}') AND NOT regexp_full_match({d}, '0+|1+') THEN (10 - ({s} + CAST(substring({d}, 9, 1) AS INT) * 5 // 10 + (CAST(substring({d}, 9, 1) AS INT) * 5) % 10) % 10) % 10 = CAST(substring({d}, 10, 1) AS INT) ELSE false END".format(d=DIGITS, s=check_sum(V.BUSINESS_WEIGHTS[:8]).format(d=DIGITS))),
+    "bizno_validate": sql_checked(BUSINESS),
 }
 
 
@@ -274,3 +277,7 @@ def bank_sql(value: str = "value") -> str:
 
 
 ORACLES["bank_profile"] = sql_checked(bank_sql())
+ORACLES["identifiers_validate"] = (
+    f"SELECT value, {born(DIGITS, False)} AS rrn, {born(DIGITS, True)} AS frn, CASE WHEN {born(DIGITS, False)} THEN {CHECKED} ELSE false END AS rrn_strict, {PHONE.format(d=DIGITS)} AS phone, {EMAIL.format(v='value')} AS email, {LUHN.format(d=DIGITS)} AS card, {BUSINESS} AS business, {bank_sql()} AS bank "
+    "FROM (SELECT DISTINCT pii_value AS value FROM analyze_l0_deep WHERE pii_value IS NOT NULL)"
+)
