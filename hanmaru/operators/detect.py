@@ -222,13 +222,11 @@ def candidates(text: Column, detectors: Iterable[str] | None = None, variants: b
     used = {rule for name in named for rule in known[name]}
 
     def build(m: Column) -> Column:
-        lines = [(rule, entity, score) for rule, entity, score in decision(m) if rule in used]
-        kind = F.coalesce(*(F.when(m["rule"] == rule, F.lit(e) if isinstance(e, str) else e) for rule, e, _ in lines))
-        score = F.coalesce(*(F.when(m["rule"] == rule, F.lit(s) if isinstance(s, float) else s) for rule, _, s in lines))
+        made = lambda entity, score: F.struct((F.lit(entity) if isinstance(entity, str) else entity).alias("e"), (F.lit(score) if isinstance(score, float) else score).cast("double").alias("s"))
+        decided = F.coalesce(*(F.when(m["rule"] == rule, made(entity, score)) for rule, entity, score in decision(m) if rule in used))
         origin = F.when(m["rule"].isin([r for d in STRUCTURED.values() for r in d]), "regex.").otherwise("dictionary.")
-        return F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"), kind.alias("entity"), score.cast("double").alias("score"), F.concat(origin, m["rule"]).alias("detector"),
-        )
+        place = F.substring(text, m["start"] + 1, m["end"] - m["start"])
+        return let(decided, lambda d: F.struct(m["start"].alias("start"), m["end"].alias("end"), place.alias("text"), d["e"].alias("entity"), d["s"].alias("score"), F.concat(origin, m["rule"]).alias("detector")))
 
     return let(scan(text, named, variants), lambda found: fold(F.filter(F.transform(found, build), lambda s: s["entity"].isNotNull()).cast(SPAN)))
 
