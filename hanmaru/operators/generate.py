@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hanmaru.functions.text import CIRCLED, FULLWIDTH
+from hanmaru.functions.text import CIRCLED, replace_once
 from hanmaru.functions.validate import BUSINESS_WEIGHTS, RESIDENT_WEIGHTS, weighted
 
 ASCII_ALNUM = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,6 +66,48 @@ def initial(c: Column) -> Column:
     return F.when(code.between(0xAC00, 0xD7A3), F.substring(F.lit(LEADS), F.floor((code - 0xAC00) / 588).cast("int") + 1, F.lit(1))).otherwise(c)
 
 
+# Letters of syllables, bold digits, short and foreign forms of labels, endings and what may stand for them.
+VOWELS, TAILS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ", "ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
+BOLD = "𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕𝟖𝟗"
+SHORT = {"주민등록번호": "주번", "전화번호": "전번", "계좌번호": "계번", "신용카드": "카드", "이메일": "메일", "비밀번호": "비번"}
+SWITCHED = {"주민등록번호": "resident registration number", "전화번호": "phone number", "계좌번호": "account number", "이메일": "email", "비밀번호": "password", "입니다": "is"}
+FOREIGN = {
+    "주민등록번호": {"ja": "住民登録番号", "zh": "居民登记号码", "de": "Einwohnernummer"}, "전화번호": {"ja": "電話番号", "zh": "电话号码", "de": "Telefonnummer"}, "이메일": {"ja": "メール", "zh": "电子邮件", "fr": "e-mail"}, "이름": {"ja": "名前", "zh": "姓名", "de": "Name"},
+}
+ENDINGS = {"입니다": "이에요", "는": "이란"}
+
+
+def letters(c: Column) -> Column:
+    """The letters of a syllable; other characters as they are."""
+    code = F.ascii(c) - 0xAC00
+    at = lambda table, k: F.substring(F.lit(table), k.cast("int"), F.lit(1))
+    tail = F.pmod(code, F.lit(28))
+    spelt = F.concat(at(LEADS, F.floor(code / 588) + 1), at(VOWELS, F.floor(F.pmod(code, F.lit(588)) / 28) + 1), F.when(tail > 0, at(TAILS, tail)).otherwise(""))
+    return F.when(code.between(0, 11171), spelt).otherwise(c)
+
+
+def bold(c: Column) -> Column:
+    return F.when(c.rlike("^[0-9]$"), F.element_at(F.array(*map(F.lit, BOLD)), c.try_cast("int") + 1)).otherwise(c)
+
+
+def sentence_mutations(label: Column, value: Column) -> Column:
+    """ARRAY<STRUCT<name, level, text>> of "label는 value입니다" and what becomes of it: short and foreign labels, other endings, contexts."""
+    plain = F.concat(label, F.lit("는 "), value, F.lit("입니다"))
+    forms = [
+        ("plain", 0, plain, F.lit(True)), ("abbreviation", 4, replace_once(plain, SHORT), label.isin(*SHORT)), ("code_switch", 4, replace_once(plain, SWITCHED), label.isin(*SWITCHED)),
+        *((f"ml_{lang}", 4, F.concat(mapped_label(label, lang), F.lit("는 "), value, F.lit("입니다")), mapped_label(label, lang).isNotNull()) for lang in ("ja", "zh", "de", "fr")),
+        ("ending", 4, F.concat(label, F.lit("는 "), value, F.lit(ENDINGS["입니다"])), F.lit(True)), ("particle", 4, F.concat(label, F.lit(ENDINGS["는"]), F.lit(" "), value, F.lit("입니다")), F.lit(True)),
+        ("prefixed", 5, F.concat(F.lit("시스템 점검 중입니다 ==== "), plain), F.lit(True)), ("json", 5, F.concat(F.lit('{"'), label, F.lit('":"'), value, F.lit('"}')), F.lit(True)), ("record", 5, F.concat(F.lit("고객 조회 결과: "), label, F.lit(" "), value), F.lit(True)),
+    ]
+    made = F.array(*(F.when(ok, F.struct(F.lit(name).alias("name"), F.lit(level).alias("level"), text.alias("text"))) for name, level, text, ok in forms))
+    return F.filter(made, lambda m: m.isNotNull() & m["text"].isNotNull())
+
+
+def mapped_label(label: Column, language: str) -> Column:
+    table = {k: v[language] for k, v in FOREIGN.items() if language in v}
+    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), label)
+
+
 def family(text: Column, table: dict[str, str], gap: str) -> Column:
     spelt = F.element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), F.substring(text, 1, 1))
     return F.when(spelt.isNotNull(), F.concat(spelt, F.lit(gap), F.substring(text, 2, 1000)))
@@ -85,6 +127,10 @@ def mutations(value: Column) -> Column:
         ("no_dash", 1, F.replace(value, F.lit("-"), F.lit("")), has_dash),
         ("dots", 1, F.replace(value, F.lit("-"), F.lit(".")), has_dash),
         ("choseong", 3, each(value, initial), value.rlike("[가-힣]")),
+        ("jamo", 3, each(value, letters), value.rlike("[가-힣]")),
+        ("homoglyph", 2, each(value, bold), has_digit),
+        ("emoji", 2, F.array_join(F.transform(F.split(value, ""), lambda c, k: F.when(k % 3 == 2, F.concat(c, F.lit("🔒"))).otherwise(c)), ""), F.length(value) > 2),
+        ("combining", 2, F.regexp_replace(value, "([0-9])", "$1\u0301"), has_digit),
         ("hanja", 3, family(value, HANJA, ""), value.rlike("^[가-힣]{2,4}$")),
         ("romanize", 3, family(value, ROMAN, " "), value.rlike("^[가-힣]{2,4}$")),
     ]

@@ -42,7 +42,31 @@ def mutation_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def simple_mutations(spark: SparkSession, root: str) -> DataFrame:
-    return mutated(spark, root).where("name in ('fullwidth', 'circled', 'kr_digits', 'no_dash', 'dots', 'soft_hyphen')").select("pii_type", "name", "text").distinct()
+    return mutated(spark, root).where("name in ('fullwidth', 'circled', 'kr_digits', 'no_dash', 'dots', 'soft_hyphen', 'homoglyph', 'emoji', 'combining')").select("pii_type", "name", "text").distinct()
+
+
+#: What the types of the analysis table are called in a sentence.
+LABELS = {"rrn": "주민등록번호", "phone": "전화번호", "email": "이메일", "name": "이름"}
+
+
+def sentences(spark: SparkSession, root: str) -> DataFrame:
+    """Values in sentences, and all that becomes of these; one row for each type, mutation and text."""
+    label = F.element_at(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair)), F.col("pii_type"))
+    rows = values(spark, root).where(F.col("pii_type").isin(*LABELS)).select("pii_type", F.explode(G.sentence_mutations(label, F.col("pii_value"))).alias("m"))
+    return rows.select("pii_type", "m.name", "m.level", "m.text").distinct()
+
+
+def sentences_sql() -> str:
+    case = lambda table: "CASE l " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+    foreign = lambda lang: case({k: v[lang] for k, v in G.FOREIGN.items() if lang in v})
+    plain = "l || '는 ' || v || '입니다'"
+    forms = [
+        ("plain", 0, plain), ("abbreviation", 4, f"{case(G.SHORT)} || '는 ' || v || '입니다'"), ("code_switch", 4, f"{case(G.SWITCHED)} || '는 ' || v || '{G.SWITCHED['입니다']}'"), *((f"ml_{x}", 4, f"{foreign(x)} || '는 ' || v || '입니다'") for x in ("ja", "zh", "de", "fr")),
+        ("ending", 4, f"l || '는 ' || v || '{G.ENDINGS['입니다']}'"), ("particle", 4, f"l || '{G.ENDINGS['는']} ' || v || '입니다'"), ("prefixed", 5, f"'시스템 점검 중입니다 ==== ' || {plain}"), ("json", 5, "'{\"' || l || '\":\"' || v || '\"}'"), ("record", 5, "'고객 조회 결과: ' || l || ' ' || v"),
+    ]
+    labels = "CASE pii_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
+    base = f"WITH d AS (SELECT DISTINCT pii_type, pii_value AS v, {labels} AS l FROM analyze_l0_deep WHERE pii_value IS NOT NULL) "
+    return base + "SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT pii_type, '{name}' AS name, {level} AS level, {text} AS text FROM d WHERE l IS NOT NULL" for name, level, text in forms) + ") WHERE text IS NOT NULL"
 
 
 def words() -> dict[str, list[str]]:
@@ -84,13 +108,16 @@ def all_kinds_sql() -> str:
 
 QUERIES = {
     "generate_resident": generated(G.resident_numbers), "generate_business": generated(G.business_numbers), "generate_card": generated(G.card_numbers),
-    "generate_all": all_kinds, "mutation_explode": mutated, "mutation_counts": mutation_counts, "mutation_simple": simple_mutations, "partial_mask": checked(G.partly_masked),
+    "generate_all": all_kinds, "mutation_explode": mutated, "mutation_sentences": sentences, "mutation_counts": mutation_counts, "mutation_simple": simple_mutations, "partial_mask": checked(G.partly_masked),
 }
 SIMPLE = {
     "fullwidth": ("translate(v, '" + G.ASCII_ALNUM + "', '" + G.WIDE_ALNUM + "')", "regexp_matches(v, '[0-9]')"), "circled": ("translate(v, '0123456789', '" + CIRCLED + "')", "regexp_matches(v, '[0-9]')"), "kr_digits": ("translate(v, '0123456789', '" + G.READINGS + "')", "regexp_matches(v, '[0-9]')"),
     "no_dash": ("replace(v, '-', '')", "contains(v, '-')"), "dots": ("replace(v, '-', '.')", "contains(v, '-')"), "soft_hyphen": ("array_to_string([substring(v, CAST(i AS INT), 1) FOR i IN range(1, length(v) + 1)], chr(173))", "length(v) > 0"),
+    "homoglyph": ("translate(v, '0123456789', '" + G.BOLD + "')", "regexp_matches(v, '[0-9]')"), "combining": ("regexp_replace(v, '([0-9])', '\\1' || chr(769), 'g')", "regexp_matches(v, '[0-9]')"),
+    "emoji": ("array_to_string([substring(v, CAST(i AS INT), 1) || CASE WHEN i % 3 = 0 THEN '🔒' ELSE '' END FOR i IN range(1, length(v) + 1)], '')", "length(v) > 2"),
 }
 ORACLES = {
+    "mutation_sentences": sentences_sql(),
     "generate_all": all_kinds_sql(),
     "generate_resident": f"WITH b AS (SELECT id, strftime(day, '%y%m%d') || CAST(CASE WHEN year(day) < 2000 THEN 1 ELSE 3 END + {draw_sql('rc', 2)} AS VARCHAR) || lpad(CAST({draw_sql('rs', 100000)} AS VARCHAR), 5, '0') AS b FROM (SELECT id, DATE '1940-01-01' + CAST({draw_sql('rd', 29000)} AS INT) AS day FROM {IDS})) "
     f"SELECT id, substring(b, 1, 6) || '-' || substring(b, 7, 6) || CAST((11 - ({check_sum(V.RESIDENT_WEIGHTS).format(d='b')}) % 11) % 10 AS VARCHAR) AS value FROM b",
