@@ -122,11 +122,6 @@ def drawn(df: DataFrame, keys: list[str], sizes: DataFrame, key: str, seed: str)
     return likely.withColumn("_rank", rank).where("_rank <= size").drop("_draw", "_rank", "n", "size")
 
 
-def hash_draw(key: str, seed: str = "") -> Column:
-    """A number below 2**32 from the hash of a key."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
-
-
 def with_negatives(df: DataFrame, positive: Column, key: str, ratio: float) -> DataFrame:
     """(key, positive): all positive rows and the first ratio times as many others in the order of their key's hash.
 

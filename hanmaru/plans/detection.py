@@ -58,6 +58,16 @@ def variant_set(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("v.name").agg(F.count("*").alias("n"), F.count_if(F.length("v.text") == F.length("text")).alias("n_as_long"))
 
 
+def variant_places(spark: SparkSession, root: str) -> DataFrame:
+    """Syllables of folded texts led back to their places: how many there are, and how many stand on another syllable (none)."""
+    rows = searched(spark, root).select("tbl", "text", F.explode(T.variants(F.col("text"))).alias("v")).where("v.name = 'folded'")
+    here = lambda k: F.substring("v.text", k + 1, F.lit(1))
+    there = lambda k: T.let(T.original_span(F.col("v.runs"), k, k + 1), lambda p: F.substring("text", p["start"] + 1, p["end"] - p["start"]))
+    syllables = F.filter(F.sequence(F.lit(0), F.length("v.text") - 1), lambda k: here(k).rlike("[가-힣]"))
+    wrong = F.filter(syllables, lambda k: T.let(there(k), lambda t: t.rlike("^[가-힣]$") & (t != here(k))))
+    return rows.where(F.length("v.text") > 0).groupBy("tbl").agg(F.sum(F.size(syllables)).alias("n"), F.sum(F.size(wrong)).alias("n_wrong"))
+
+
 #: Detectors of what the tables of texts don't hold; they search texts made of the keys of suppliers.
 RARE = ("network", "business", "document", "labelled", "secret")
 
@@ -204,7 +214,7 @@ RAW = ("registration", "phone", "card", "account")
 QUERIES = {
     "mask_documents": mask_documents, "case_spans": case_spans, "entity_counts_by_lang": entity_counts, "email_spans": email_documents, "audit_events": audit_events, "leak_scan": leak_scan, "overlap_islands": islands,
     "placeholder_numbering": numbering, "chat_mask": masked_conversations, **{f"{name}_detector": spans_of(name) for name in (*D.STRUCTURED, *D.DICTIONARY) if name not in RARE}, **{f"{name}_plain": spans_of(name, False) for name in RAW},
-    "variant_set": variant_set, "pattern_only": pattern_only, "rare_detectors": rare_detectors, "mask_reviewed": mask_reviewed, "mask_redacted": redacted, "span_stages": stages, "span_reasons": reasons, "public_spans": public_spans, "mask_hashed": hashed,
+    "variant_set": variant_set, "variant_places": variant_places, "pattern_only": pattern_only, "rare_detectors": rare_detectors, "mask_reviewed": mask_reviewed, "mask_redacted": redacted, "span_stages": stages, "span_reasons": reasons, "public_spans": public_spans, "mask_hashed": hashed,
     "mask_outgoing": outgoing, "mask_storable": storable, "field_summary": summaries,
 }
 MAIL = "[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"

@@ -157,12 +157,6 @@ DIGITS = "regexp_replace(" + FOLD.format(t="value") + ", '[^0-9]', '', 'g')"
 SQUASH = "trim(regexp_replace({t}, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g'))"
 
 
-def nested(start: str, table_: dict[str, str]) -> str:
-    for k in sorted(table_, key=len, reverse=True):
-        start = f"replace({start}, {quoted(k)}, {quoted(table_[k])})"
-    return start
-
-
 def nested_pattern(start: str, pairs: list[tuple[str, str, str]]) -> str:
     for pattern, to, flags in pairs:
         start = f"regexp_replace({start}, {quoted(pattern)}, {quoted(to)}, {quoted(flags)})"
