@@ -5,7 +5,8 @@ character knows its place in the stored text), then split into words: address-li
 their own. The field sees, for each word and its two neighbours on either side, the word, its shape, its ends, what a
 particle leaves of it, and pairs of neighbouring shapes, all hashed. It is trained on a small labelled table: reviewed
 cases, at most ``REVIEWED`` of them, each several times with values of its types from other reviewed cases, and the
-marked sentences below, which are written without the tables and keep the field sane where hardly anything is reviewed.
+marked sentences below, which share no wording with the tables (though their kinds were chosen with errors on them in
+view, see README) and keep the field sane where hardly anything is reviewed.
 It is decoded by Viterbi in NumPy batches; a word's contributions are computed once per worker. Spans are then trimmed
 of particles, titles and punctuation.
 
