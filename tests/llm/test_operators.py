@@ -201,6 +201,38 @@ def test_roles_cross(spark):
     assert {(r.id_a, r.id_b) for r in near_dup.row_pairs(join, cross=True).collect()} == {(1, 2), (2, 3), (6, 7)}
 
 
+def scattered(sizes=(40, 90, 260), n=8):
+    """Texts with a version that is changed at every eighth to eleventh character, one with its words in another order, one cut short; and a common phrase."""
+    rng = np.random.default_rng(11)
+    letters = list("가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허")
+    rows = []
+    for size in sizes:
+        for k in range(n):
+            words = ["".join(rng.choice(letters, int(rng.integers(3, 6)))) for _ in range(size // 5)]
+            text = " ".join(words)
+            rows += [text, "".join(c if (j + 1) % (8 + k % 4) else "#" for j, c in enumerate(text)), " ".join(rng.permutation(words)), text[: len(text) * (5 + k % 3) // 8], text + " 참조하시기 바랍니다"]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("table", sorted(queries.VERSIONS))
+def test_changes_that_leave_no_long_run_hide_no_pair(spark, monkeypatch, table):
+    """At the settings of p1_found, dealt over several cells."""
+    monkeypatch.setattr(near_dup, "CELL", 2000)
+    rows = scattered()
+    join = near_dup.similarity_join(spark.createDataFrame(rows, "id long, sentence string"), "id", F.col("sentence"), queries.VERSIONS[table])
+    got = [(r.id_a, r.id_b) for r in near_dup.row_pairs(join).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 0.5, str)
+
+
+def test_every_pair_of_many_copies_is_listed(spark, tmp_path):
+    rows = [(k, SENTENCES[0]) for k in range(503)] + [(1000, SENTENCES[0] + " 끝"), (1001, SENTENCES[1])]
+    for t in queries.VERSIONS:
+        spark.createDataFrame(rows, "id long, sentence string").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = [tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()]
+    true = {(a, b) for a in range(503) for b in (*range(a + 1, 503), 1000)}
+    assert len(got) == len(set(got)) and set(got) == {(t, a, b) for t in queries.VERSIONS for a, b in true}
+
+
 def test_similarities_are_exact():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("가나다라마 ab"), int(rng.integers(0, 60)))) for _ in range(60)]
