@@ -224,6 +224,19 @@ def test_changes_that_leave_no_long_run_hide_no_pair(spark, monkeypatch, table):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 0.5, str)
 
 
+def test_changes_that_leave_no_long_run_hide_no_overlap(spark, monkeypatch):
+    """At the settings of p2_found; some texts are in both roles, some in none."""
+    monkeypatch.setattr(near_dup, "CELL", 2000)
+    rows = scattered(n=12)
+    roles = {k: (1, 2, 1, 2, None, 2, 1)[k % 7] for k, _ in rows}
+    rows += [(k + 10000, t) for k, t in rows[::9]]
+    roles |= {k: 3 - (roles[k - 10000] or 2) for k, _ in rows if k >= 10000}
+    df = spark.createDataFrame([(k, t, roles[k]) for k, t in rows], "id long, sentence string, role int")
+    join = near_dup.similarity_join(df, "id", F.col("sentence"), queries.OVERLAPS, F.col("role"))
+    got = [(r.id_a, r.id_b) for r in near_dup.every_pair(join).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in brute_pairs(rows, 0.6, str) if {roles[a], roles[b]} == {1, 2}}
+
+
 def test_every_pair_of_many_copies_is_listed(spark, tmp_path):
     rows = [(k, SENTENCES[0]) for k in range(503)] + [(1000, SENTENCES[0] + " 끝"), (1001, SENTENCES[1])]
     for t in queries.VERSIONS:
