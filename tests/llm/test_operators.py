@@ -246,6 +246,53 @@ def test_every_pair_of_many_copies_is_listed(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == {(t, a, b) for t in queries.VERSIONS for a, b in true}
 
 
+def cell_side(sets):
+    """A cell's side of sets of sequences numbered by frequency, with whole prefixes."""
+    n = np.array([len(x) for x in sets])
+    ranks = [np.sort(np.array(sorted(x), np.int32)) for x in sets]
+    h = np.concatenate(ranks).astype(np.uint64)
+    return {"tid": np.arange(len(n)), "n": n, "dead": np.zeros(len(n), np.int32), "held": n.astype(np.int32), "ranks": np.concatenate(ranks), "shadow": near_dup.parity(np.repeat(np.arange(len(n)), n), h, len(n), 1024)}
+
+
+@pytest.mark.parametrize("step", [50, 250_000])
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_cells_find_each_pair_once(monkeypatch, step, threshold):
+    monkeypatch.setattr(near_dup, "STEP", step)
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 2, 5, 30, 100, 300) * 6:
+        base = set(rng.integers(0, 3000, size).tolist())
+        sets += [base, {x for x in base if rng.random() < 0.85} or base, base | set(rng.integers(0, 3000, size // 4).tolist())]
+    similar = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(x & y) >= threshold * len(x | y) - 1e-9}
+    side, left, right = (cell_side(x) for x in (sets, sets[:50], sets[50:]))
+    got = [(min(p), max(p)) for a, b in near_dup.searched(side, side, True, threshold) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and {(i, j) for i, j in similar if i < j} <= set(got) and all(i < j for i, j in got)
+    got = [(i, j + 50) for a, b in near_dup.searched(left, right, False, threshold) for i, j in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and {(i, j) for i, j in similar if i < 50 <= j} <= set(got)
+
+
+def test_searching_a_cell_is_spared_needless_meetings(monkeypatch):
+    """No two texts of a band meet twice, and prefixes of long texts aren't asked for more than rules pairs out."""
+    # 200 texts that have one frequent sequence, and 99 of their own.
+    side = cell_side([{*range(1 + 99 * k, 100 + 99 * k), 100_000} for k in range(200)])
+    side |= {"ranks": np.full(200, 100_000, np.int32), "held": np.ones(200, np.int32)}
+    made, repeat = [], np.repeat
+    monkeypatch.setattr(near_dup.np, "repeat", lambda a, n, *x: made.append(len(got := repeat(a, n, *x))) or got)
+    monkeypatch.setattr(near_dup, "prefix_length", lambda n, *_: n)
+    assert not [p for a, b in near_dup.searched(side, side, True, 0.5) for p in zip(a, b)]
+    assert max(made) == 200 * 199 // 2
+    assert near_dup.depth(100, 100, 0.5) == 5 and near_dup.depth(300, 300, 0.5) == near_dup.depth(5000, 5000, 0.5) == near_dup.MOST
+
+
+@pytest.mark.parametrize("words", [8, 16, 64])
+def test_differing_bits_are_counted(words):
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << 63, (30, words)).astype(np.uint64) for _ in range(2))
+    a[0], b[0] = 0, ~np.uint64(0)
+    x, y = np.r_[0, rng.integers(0, 30, 99)], np.r_[0, rng.integers(0, 30, 99)]
+    assert near_dup.differing(a, x, b, y).tolist() == [sum(int(p ^ q).bit_count() for p, q in zip(a[i].tolist(), b[j].tolist())) for i, j in zip(x, y)]
+
+
 def test_similarities_are_exact():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("가나다라마 ab"), int(rng.integers(0, 60)))) for _ in range(60)]
